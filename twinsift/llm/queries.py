@@ -6,21 +6,74 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, sharding
 from .common import read_table
 
 #: The rank file by which documents are encoded.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
+    )
+
+
+#: Full sort in place of histograms: in each source the documents in order of their hashes.
+MIXING_SQL = """
+with docs as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5(concat_ws(':', doc_id::varchar, md5(text))), 1, 15))::bigint as h
+  from documents
+), sizes as (
+  select source, sum(size)::bigint as source_size,
+    row_number() over (order by source nulls last) as place
+  from docs group by source
+), ranked as (
+  select *, 3.0::double * source_size as bound,
+    (case (place - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double as weight
+  from sizes
+), filled as (
+  select *, bound / weight as reach,
+    (sum(source_size::double) over () - (sum(bound) over w - bound))
+      / (sum(weight) over () - sum(weight) over w + weight) as level
+  from ranked
+  window w as (order by bound / weight, place rows unbounded preceding)
+), leveled as (
+  select source, source_size, least(bound, weight * (
+    select arg_min(level, (reach, place)) from filled where level <= reach)) as target
+  from filled
+), planned as (
+  select *, case when source_size > 0 then least(3, floor(target / source_size)) else 0 end as times
+  from leveled
+), ordered as (
+  select d.*, p.source_size, p.target, p.times,
+    case when p.times < 3 then p.target - p.times * p.source_size else 0 end as budget,
+    sum(d.size) over (partition by d.source order by d.h) as through,
+    sum(d.size) over (partition by d.source, d.h) as tied
+  from docs d join planned p on d.source is not distinct from p.source
+)
+select doc_id, size, source_size::bigint as source_size, target,
+  (size * (times + case when through <= budget then 1
+    when through - tied <= budget and 2 * (budget - (through - tied)) >= tied then 1
+    else 0 end))::bigint as taken
+from ordered
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), RANKS)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": MIXING_SQL}
