@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, mixing, sharding, simhash
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -71,8 +71,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op7_sharding": op7_sharding}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
