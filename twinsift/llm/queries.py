@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash
+from . import bpe, mixing, pii, sharding, simhash
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -75,8 +75,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
