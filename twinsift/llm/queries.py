@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, sharding, simhash
+from . import bpe, licenses, mixing, pii, sharding, simhash, topk
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -79,9 +79,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+TOPK_SQL = """
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as x from embeddings
+), scored as (
+  select q.vec_id as query_id, r.vec_id, list_inner_product(q.x, r.x)::bigint as score
+  from rows q join rows r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank,
+    vec_id, score
+  from scored
+)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL}
+    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL}
