@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, pii, quality, sharding, simhash, topk
+from . import bpe, langid, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -83,6 +83,15 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+#: The chain's categories, in order, over the table ``labels``.
+CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), labels, CATEGORIES)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -113,7 +122,7 @@ select query_id, rank::integer as rank, vec_id, score from ranked where rank <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
