@@ -1,15 +1,15 @@
 """Toxicity by a chain of linear classifiers over the categories that labels name.
 
-Categories are predicted one after the other: each is a logistic regression on the words of
-a vocabulary and on the probabilities of the categories before it.  In training those
+Categories are predicted one after the other: each is a logistic regression on the words and
+word beginnings of a vocabulary and on the probabilities of the categories before it.  In training those
 probabilities are out-of-fold (models of the other folds make them), so that a later model
 learns from what it will see; folds are dealt by a hash of the text, which keeps copies in
 one fold.  For prediction each category's model is fitted once more on all folds.
 
 The vocabulary has the words that go along with a category by a chi-squared statistic.  It
 counts distinct contexts (a word with its neighbours), so that a text copied many times
-counts once.  These counts cover all labelled rows; the regressions are fitted on a
-bounded sample, ``SAMPLE`` rows expected at most, those with the lowest stable hashes.
+counts once.  The classifier, its vocabulary included, is fitted on a bounded sample of the
+labelled rows: ``SAMPLE`` are expected at most, those with the lowest stable hashes.
 
 Null texts are read as empty and get the probabilities of a text without known words.  A
 null label leaves its row out of that category only; rows labelled twice count with
@@ -19,6 +19,7 @@ results.  Columns other than id and text are left out.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed
 
-SAMPLE, FOLDS, WORDS, LEAST_CHI2, LEAST_CONTEXTS = 20_000, 5, 200, 40.0, 8
+SAMPLE, FOLDS, WORDS, LEAST_CHI2, LEAST_CONTEXTS = 10_000, 5, 120, 40.0, 12
+#: Lengths of the word beginnings that are features beside whole words.
+BEGINNINGS = (5, 6, 7)
 THRESHOLD = 0.5
 _GAPS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_GAPS).split()
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().encode().translate(_GAPS).decode().split()
 
 
 @dataclass
@@ -44,17 +47,21 @@ class Chain:
     """Categories in order, each with its vocabulary and weights (words, earlier, constant)."""
 
     categories: list[str]
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
+    vocabulary: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:
+        """Damped counts of the vocabulary's features."""
         out = np.zeros((len(texts), len(self.vocabulary)))
-        known = self.vocabulary.keys()
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            for word in known & set(words):
-                out[i, self.vocabulary[word]] = np.log1p(words.count(word))
-        return out
+        get = self.vocabulary.get
+        for row, text in zip(out, texts):
+            for word, n in Counter(words_of(text)).items():
+                if (at := get(word)) is not None:
+                    row[at] += n
+                for size in BEGINNINGS:
+                    if len(word) >= size and (at := get(f"{word[:size]}*")) is not None:
+                        row[at] += n
+        return np.log1p(out)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities, a column for each category."""
@@ -107,39 +114,42 @@ def fit_chain(chain: Chain, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> C
 
 
 def _contexts(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """(word, context, labels...) of every word of every labelled text."""
+    """(word, context, labels...) of the distinct contexts of every text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text=0, most_bytes=1 << 20):
+            word, context, row = [], [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = words_of(text)
-                padded = [b"", *words, b""]
+                padded = " ".join(["", *words, ""]).encode().split(b" ")
                 seen = {(w, xxhash.xxh64_intdigest(b" ".join(padded[k : k + 3])) >> 1) for k, w in enumerate(words)}
-                if seen:
-                    word, context = zip(*seen)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([w.decode("utf-8", "replace") for w in word]),
-                            pa.array(context, pa.int64()),
-                            *[pa.array([batch.column(1 + c)[i].as_py()] * len(word), pa.int32()) for c in range(len(categories))],
-                        ],
-                        ["word", "context", *categories],
-                    )
+                for w, c in seen:
+                    word.append(w), context.append(c), row.append(i)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word, pa.string()), pa.array(context, pa.int64()), *[c.take(at) for c in batch.columns[1:]]],
+                ["word", "context", *categories],
+            )
 
     kinds = ", ".join(f"`{c}` int" for c in categories)
     return rows.select("text", *categories).mapInArrow(run, f"word string, context long, {kinds}")
 
 
-def vocabulary(rows: DataFrame, categories: Sequence[str]) -> dict[bytes, int]:
-    """At most ``WORDS`` words for each category, those with the largest statistics."""
-    distinct = _contexts(rows, categories).groupBy("word", "context").agg(*[F.max(c).alias(c) for c in categories])
+def vocabulary(rows: DataFrame, categories: Sequence[str]) -> dict[str, int]:
+    """At most ``WORDS`` features for each category, those with the largest statistics."""
+    once = _contexts(rows, categories).groupBy("word", "context").agg(*[F.max(c).alias(c) for c in categories])
+    starts = [F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in BEGINNINGS]
+    by_word = once.groupBy("word").agg(
+        *[F.sum(c).alias(f"yes_{c}") for c in categories], *[F.count(c).alias(f"all_{c}") for c in categories]
+    )
+    distinct = by_word.withColumn("word", F.explode(F.array_compact(F.array("word", *starts))))
     counted = checkpointed(
-        distinct.groupBy("word").agg(
-            *[F.sum(c).alias(f"yes_{c}") for c in categories], *[F.count(c).alias(f"all_{c}") for c in categories]
-        )
+        distinct.groupBy("word").agg(*[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in categories for k in ("yes", "all")])
     )
+    # words and beginnings together: a share's scale, not a count of texts
     totals = counted.agg(*[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in categories for k in ("yes", "all")]).first()
     words: set[str] = set()
+    totals = totals.asDict()
     for c in categories:
         n, yes = totals[f"all_{c}"] or 0, totals[f"yes_{c}"] or 0
         if not 0 < yes < n:
@@ -148,7 +158,7 @@ def vocabulary(rows: DataFrame, categories: Sequence[str]) -> dict[bytes, int]:
         chi2 = (F.col(f"yes_{c}") - seen * share) ** 2 / (seen * share * (1 - share))
         best = counted.where(seen >= LEAST_CONTEXTS).select("word", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
         words |= {x["word"] for x in best.orderBy(F.desc("chi2"), "word").limit(WORDS).collect()}
-    return {w.encode(): i for i, w in enumerate(sorted(words))}
+    return {w: i for i, w in enumerate(sorted(words))}
 
 
 def train(
@@ -171,9 +181,9 @@ def train(
     chain = Chain(names)
     if not n:
         return chain
-    chain.vocabulary = vocabulary(rows, names)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     chosen = rows.where(draw / float(1 << 30) < sample / n)
+    chain.vocabulary = vocabulary(chosen, names)
     known = chain
     fields = ", ".join(f"`{c}` double" for c in names)
 
