@@ -213,7 +213,7 @@ class Vocabulary(dict):
     merge in each.  Once ``most`` pieces are remembered, the memory starts anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         super().__init__()
         self.ranks, self.most = ranks, most
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -221,16 +221,20 @@ class Vocabulary(dict):
             self.bytes_of[rank] = piece
         self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
         self.single = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
-        pairs = [
-            (left << 32 | right, rank)
-            for piece, rank in ranks.items()
-            for cut in range(1, len(piece))
-            if (left := ranks.get(piece[:cut])) is not None
-            and (right := ranks.get(piece[cut:])) is not None
-        ]
-        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.pairs = np.append(table[:, 0], np.iinfo(np.int64).max)
-        self.made = np.append(table[:, 1], len(self.bytes_of))
+        self.pairs = self.made = None
+
+    def _pair_up(self) -> None:
+        """Every way in which two ids make a third, sorted by the two."""
+        left, right, made = [], [], []
+        for piece, rank in self.ranks.items():
+            for cut in range(1, len(piece)):
+                a, b = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
+                if a is not None and b is not None:
+                    left.append(a), right.append(b), made.append(rank)
+        key = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
+        order = np.argsort(key)
+        self.pairs = np.append(key[order], np.iinfo(np.int64).max)
+        self.made = np.append(np.array(made, np.int64)[order], len(self.bytes_of))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair of ids merges to; beyond all ids if to none."""
@@ -240,6 +244,8 @@ class Vocabulary(dict):
 
     def _merged(self, raws: list[bytes]) -> list[tuple[int, ...]]:
         """Merge in each piece the leftmost pair of lowest rank until none is known."""
+        if self.pairs is None:
+            self._pair_up()
         never, n = len(self.bytes_of), len(raws)
         size = np.fromiter(map(len, raws), np.int64, n)
         wide = int(size.max())
@@ -388,7 +394,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in blocks(batches, most_bytes=2 << 20):
+        for batch in blocks(batches, most_bytes=1 << 20):
             ids = words.encode([x or "" for x in batch.column(1).to_pylist()])
             ends = [np.cumsum(words.sizes[x]).astype("<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays(
