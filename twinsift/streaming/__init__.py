@@ -1,0 +1 @@
+"""Nothing here streams: all of this engine's dataflows are bounded scans."""
