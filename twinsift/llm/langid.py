@@ -6,7 +6,8 @@ weighted by inverse document frequency and scaled to length one.  Each language
 centroids (spherical k-means over its sample), and a text gets the language of the centroid
 with the largest cosine, which is its score.  A text is rejected if its cosine distance is
 larger than ``slack`` times the distance that all but one in a thousand of the winning
-centroid's own sample keep to it, or if it has no letter.
+language's own sample keep to its centroids (and than ``LEAST_REACH``), or if it has no
+letter.
 
 The model is fitted on a bounded sample: of each language ``SAMPLE`` rows are expected at
 most, those whose stable hash is lowest.  Counts for this cover all rows.
@@ -32,7 +33,9 @@ from .common import blocks
 
 WIDTH, GRAMS = 1 << 13, 3
 #: Expected rows of each language that the model is fitted on, and its centroids.
-SAMPLE, CENTROIDS = 1500, 4
+SAMPLE, CENTROIDS = 800, 4
+#: No text nearer than this is rejected, however alike the sample's texts are.
+LEAST_REACH = 0.75
 UNKNOWN = "und"
 
 
@@ -61,7 +64,7 @@ def counts(text: str | None) -> np.ndarray | None:
             skip = max(0, (GRAMS - 1 if first else 0) - n + 1)
             place = (grams[skip:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - WIDTH.bit_length() + 1)
             total += np.bincount(place, minlength=WIDTH)
-    return total if some else None
+    return total.astype(np.float32) if some else None
 
 
 @dataclass
@@ -74,8 +77,11 @@ class Model:
     reach: np.ndarray
 
     def vectors(self, rows: list[np.ndarray]) -> np.ndarray:
-        found = (np.log1p(np.array(rows)) * self.idf).astype(np.float32)
-        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+        found = np.array(rows, np.float32).reshape(len(rows), WIDTH)
+        np.log1p(found, out=found)
+        found *= self.idf.astype(np.float32)
+        found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+        return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, cosines and whether each text is rejected."""
@@ -99,7 +105,9 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, slack: float
     kept = [(lang, x) for lang, text in sorted(samples) if (x := counts(text)) is not None]
     if not kept:
         return Model(np.ones(WIDTH), np.zeros((0, WIDTH), np.float32), [], np.zeros(0))
-    seen = sum((x > 0).astype(np.float64) for _, x in kept)
+    seen = np.zeros(WIDTH)
+    for _, x in kept:
+        seen += x > 0
     model = Model(np.log((1 + len(kept)) / (1 + seen)) + 1, np.zeros((0, WIDTH)), [], np.zeros(0))
     rows, reach = [], []
     for lang in sorted({lang for lang, _ in kept}):
@@ -110,10 +118,10 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, slack: float
             sums = np.array([x[nearest == c].sum(0) if (nearest == c).any() else middle[c] for c in range(len(middle))])
             middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         cosine = x @ middle.T
-        for c in range(len(middle)):
-            own = 1 - cosine[cosine.argmax(1) == c, c]
-            rows.append(middle[c]), model.labels.append(lang)
-            reach.append(min(1.0, slack * float(np.quantile(own, 0.999))) if len(own) else 1.0)
+        far = slack * float(np.quantile(1 - cosine.max(1), 0.999))
+        far = min(1.0, max(LEAST_REACH, far))
+        for one in middle:
+            rows.append(one), model.labels.append(lang), reach.append(far)
     model.centroids, model.reach = np.array(rows, np.float32), np.array(reach)
     return model
 
