@@ -181,7 +181,7 @@ def train(
     chain = Chain(names)
     if not n:
         return chain
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     chosen = rows.where(draw / float(1 << 30) < sample / n)
     chain.vocabulary = vocabulary(chosen, names)
     known = chain
@@ -194,8 +194,8 @@ def train(
                 [pa.array([r.tobytes() for r in x], pa.binary()), *batch.columns[1:]], ["x", "draw", *names]
             )
 
-    found = chosen.select("text", draw.alias("draw"), *[F.col(c).cast("double").alias(c) for c in names])
-    got = found.mapInArrow(run, f"x binary, draw long, {fields}").orderBy("draw", "x").toPandas()
+    found = chosen.select("text", F.xxhash64("text").alias("draw"), *[F.col(c).cast("double").alias(c) for c in names])
+    got = found.mapInArrow(run, f"x binary, draw long, {fields}").toPandas().sort_values(["draw", "x", *names])
     if not len(got):
         return chain
     x = np.array([np.frombuffer(r, np.float32) for r in got["x"]], np.float64).reshape(len(got), len(chain.vocabulary))
