@@ -68,7 +68,11 @@ def group_files(files: DataFrame, *more: str) -> DataFrame:
     ``more`` are further columns that must be equal (``content`` for byte comparison).  A
     group's id is its digest and its first path, as two groups may share a digest.
     """
-    single = collapse_links(files.where("size > 0"))
+    return grouped(collapse_links(files.where("size > 0")), *more)
+
+
+def grouped(single: DataFrame, *more: str) -> DataFrame:
+    """The same from rows that already stand for all their links."""
     keys = ["size", "partial", "full", *more]
     groups = (
         single.dropna(subset=keys).groupBy(*keys)

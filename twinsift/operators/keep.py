@@ -7,10 +7,13 @@ ranked by all rules in turn.  Groups are summed, decided and joined back to thei
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import paths
@@ -103,6 +106,12 @@ def mark_keep(members: DataFrame, chosen: DataFrame) -> DataFrame:
     return members.join(kept, "group_id").select("group_id", "path", (F.col("path") != F.col("kept")).alias("selected"))
 
 
+@F.pandas_udf(StringType())
+def similar_group_id(paths_of_group: pd.Series) -> pd.Series:
+    """A short digest of a similar group's paths, given in order."""
+    return paths_of_group.map(lambda x: hashlib.blake2b("\n".join(x).encode(), digest_size=8).hexdigest())
+
+
 def quality_order(root: str | None = None) -> list[Column]:
     """Best first: pixels, size, then the signs of a copy."""
     path = F.col("path")

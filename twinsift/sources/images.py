@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images
+from ..functions.paths import RASTER
 
 SCHEMA = (
     "path string, width int, height int, taken long, phash long, dhash long, "
@@ -23,8 +24,10 @@ def hashed(spark: SparkSession, paths: list[str]) -> DataFrame:
     Images without content to compare have no variants.  Formats are those of the JVM's
     reader (JPEG, PNG, GIF, BMP); a sketch is made only where the capture time is known.
     """
-    decoded = spark.read.format("image").option("dropInvalid", "false").load(paths).select("image.*")
-    raw = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("origin"), "content")
+    ends = ",".join(x[1:] + "," + x[1:].upper() for x in RASTER)
+    below = {"recursiveFileLookup": "true", "pathGlobFilter": f"*.{{{ends}}}"}
+    decoded = spark.read.format("image").options(dropInvalid="false", **below).load(paths).select("image.*")
+    raw = spark.read.format("binaryFile").options(**below).load(paths).select(F.col("path").alias("origin"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
