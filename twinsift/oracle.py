@@ -291,6 +291,21 @@ ORACLES["plan_refusals"] = (
     + " union all select concat(path, ': not part of any duplicate group') from selection where path not in (select path from members)"
     + f" union all select concat(path, ': is in a protected folder') from selection where {SHIELDED}"
 )
+# one step for each image in order of rank, carrying the ranks of the leaders so far
+ORACLES["leader_clusters"] = (MERGED + META[len(HASHES) :]).replace("with signs", "with recursive signs", 1) + f""", ranked as (
+  select idx, row_number() over (order by {ORDER})::int as rank from keyed
+), links as (
+  select i, j from merged where dp <= 8 and dd <= 8 union select j, i from merged where dp <= 8 and dd <= 8
+), nearby as materialized (
+  select r.rank, r.idx, coalesce(list(o.rank) filter (o.rank is not null), []) as others
+  from ranked r left join links on r.idx = i left join ranked o on o.idx = j group by r.rank, r.idx
+), walk as (
+  select 0 as k, []::int[] as leaders
+  union all select k + 1, case when list_has_any(others, leaders) then leaders else list_append(leaders, rank) end
+  from walk join nearby on rank = k + 1
+), chosen as (select leaders from walk order by k desc limit 1)
+select n.idx, l.idx as leader from nearby n, chosen join nearby l
+  on l.rank = case when list_contains(leaders, n.rank) then n.rank else list_min(list_intersect(n.others, leaders)) end"""
 
 
 def oracle_sql() -> dict[str, str]:
