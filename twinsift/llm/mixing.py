@@ -27,6 +27,8 @@ from .common import WORD, checkpointed
 #: Bits of the hash, and those that one histogram tells apart.
 BITS, LEVEL_BITS = 60, 12
 MOST_TIMES = 3
+#: So many sources' plans, of some 100 bytes each, are small enough to send to every executor.
+FEW_SOURCES = 50_000
 
 
 def words(text: Column) -> Column:
@@ -141,10 +143,13 @@ def thresholds(docs: DataFrame, weights: Sequence[float], most: int = MOST_TIMES
 def taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` with source_size, target and ``repeats``: how often the mix takes each row.
 
-    The join is on the source; the plan has one row for each, which Spark broadcasts if its
-    measured size allows it, and else skewed partitions are split at run time.
+    The join is on the source.  The plan has one row for each: up to ``FEW_SOURCES`` rows are
+    counted and then broadcast, so that no document is shuffled; beyond, both sides are
+    shuffled and skewed partitions are split at run time.
     """
+    few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     plan = plan.withColumnRenamed("source", "planned")
+    plan = F.broadcast(plan) if few else plan
     once_more = (F.col("h") < F.col("threshold")) | (
         (F.col("h") == F.col("threshold")) & F.col("with_ties")
     )
