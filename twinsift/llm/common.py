@@ -38,7 +38,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def blocks(
-    batches: Iterator[pa.RecordBatch], text: int = 1, most_bytes: int = 4 << 20
+    batches: Iterator[pa.RecordBatch], text: int = 1, most_bytes: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose texts hold ``most_bytes`` at most, one row at least."""
     for batch in batches:

@@ -167,8 +167,8 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
                 labels, score, rejected = shared.value.predict(part.column(1).to_pylist())
                 keep = [i for i, x in enumerate(columns) if x != text_col or text_col in more]
                 yield pa.RecordBatch.from_arrays(
