@@ -75,11 +75,11 @@ def items(files: DataFrame, root: str, home: str, open_files: DataFrame | None =
         F.col("category").isin(OFFICE_LOCK, BACKUP) | name.isin(*PRESELECTED)
         | ((F.col("category") == SWAP) & name.endswith(".swp") & ~held)
     )
-    return summed.select(
-        "path", "is_dir", "size", "category", is_protected(path).alias("protected"), is_home_dot(path, home).alias("home_dot"),
-    ).join(summed.select("path", wanted.alias("wanted")), "path").withColumn(
-        "preselect", ~F.col("protected") & ~F.col("home_dot") & F.col("wanted")
-    ).drop("wanted")
+    found = summed.select(
+        "path", "is_dir", "size", "category", is_protected(path).alias("protected"),
+        is_home_dot(path, home).alias("home_dot"), wanted.alias("wanted"),
+    )
+    return found.withColumn("preselect", ~F.col("protected") & ~F.col("home_dot") & F.col("wanted")).drop("wanted")
 
 
 def tree_sizes(files: DataFrame, root: str) -> DataFrame:
