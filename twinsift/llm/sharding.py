@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: So many shards' parts, of 24 bytes each, are small enough to send to every executor.
+FEW_PARTS = 1 << 18
+
 
 def score(key: Column, shard: int, weight: float) -> Column:
     draw = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10)
@@ -63,11 +66,12 @@ def shard(
         .agg(F.count("*").alias("n"))
         .select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
+    if len(weights) * parts <= FEW_PARTS:  # one row for each shard and part, whatever the input
+        offsets = F.broadcast(offsets)
     inside = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")
     return (
         rows.withColumn("row", F.row_number().over(inside) - 1)
-        # one row for each shard and part, whatever the input's size
-        .join(F.broadcast(offsets), ["shard", "part"])
+        .join(offsets, ["shard", "part"])
         .select(
             F.col("id").alias(id_col),
             "size",
