@@ -84,6 +84,7 @@ def test_bpe_spans_and_query(spark, encoder):
     row = bpe.encode(df, RANKS).first()
     ids, ends = np.frombuffer(row["ids"], "<u4"), np.frombuffer(row["ends"], "<u4")
     assert bpe.vocabulary(RANKS).decode_span(ids, ends, 3, 14) == text.encode()[3:14]
+    assert bpe.decode(bpe.encode(df, RANKS), RANKS).first()["decoded"] == text.encode()
     found = bpe.round_trip(df, RANKS).first()
     packed = np.array(encoder.encode_ordinary(text), "<u4").tobytes()
     assert found["ids_sha256"] == hashlib.sha256(packed).hexdigest()
