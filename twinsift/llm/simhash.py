@@ -106,11 +106,11 @@ def links(distinct: DataFrame, most_pairs: int = 1 << 16) -> DataFrame:
     asked = distinct.select("fp", F.explode(asks_for).alias("k"))
     held = held.select("k.half", "k.key", F.col("fp").alias("b"))
     asked = asked.select("k.half", "k.key", F.col("fp").alias("a"))
-    counts = held.groupBy("half", "key").agg(F.count("*").alias("n_held"))
-    asks = asked.groupBy("half", "key").agg(F.count("*").alias("n_asked"))
+    # a key that one fingerprint holds gives no more pairs than ask for it
+    crowded = held.groupBy("half", "key").agg(F.count("*").alias("n_held")).where("n_held > 1")
     hot = checkpointed(
-        counts.where("n_held > 1")  # a key asked for by others only makes few pairs
-        .join(asks, ["half", "key"])
+        asked.join(crowded, ["half", "key"])
+        .groupBy("half", "key", "n_held").agg(F.count("*").alias("n_asked"))
         .where(F.col("n_held") * F.col("n_asked") > most_pairs)
         .select("half", "key")
     )
@@ -131,7 +131,8 @@ def links(distinct: DataFrame, most_pairs: int = 1 << 16) -> DataFrame:
     star = near.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = near.join(star, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
     found = pairs.unionByName(stars)
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return found.select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
