@@ -109,6 +109,28 @@ def test_language_rejects_what_is_far():
     assert labels == ["en", "en", "und", "und", "und"] and rejected.tolist() == [False, True, True, True, True]
 
 
+def test_language_rejects_other_languages_on_real_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(df, langid.usable_rows())
+    rng = random.Random(3)
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由 在尊严和权利上一律平等 他们赋有理性和良心 并应以兄弟关系的精神相对待",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)),
+    ]
+    assert model.predict(strange + [x * 20 for x in strange])[2].all()
+    texts = [x["text"] for x in df.where(langid.held_out()).select("text").collect()]
+    labels, _, rejected = model.predict(texts)
+    assert rejected.mean() < 0.002
+    short = [gone for text, gone in zip(texts, rejected) if len(text) <= 32]
+    assert len(short) > 10 and not any(short)
+    assert np.diff(model.reach).max() <= 0 and model.reach[:, -1].max() < 0.8
+
+
 # -- 4
 
 

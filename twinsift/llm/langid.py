@@ -4,10 +4,12 @@ A text's letters are lower-cased, everything else becomes a gap between words, a
 n-grams of one to three characters are counted in ``WIDTH`` hashed places.  Counts are damped,
 weighted by inverse document frequency and scaled to length one.  Each language has several
 centroids (spherical k-means over its sample), and a text gets the language of the centroid
-with the largest cosine, which is its score.  A text is rejected if its cosine distance is
-larger than ``slack`` times the distance that all but one in a thousand of the winning
-language's own sample keep to its centroids (and than ``LEAST_REACH``), or if it has no
-letter.
+with the largest cosine, which is its score.  Few letters give a small cosine in any
+language, so the least cosine is found for each band of lengths: that which all but one in a
+thousand of the winning language's own sample reach, its whole texts in the band and the
+beginnings of all texts (without repeated words), cut to the band's least number of letters.  A text is rejected if
+its cosine is less than this by more than the factor ``slack`` (and its distance larger than
+``LEAST_REACH``), or if it has no letter.
 
 The model is fitted on a bounded sample: of each language ``SAMPLE`` rows are expected at
 most, those whose stable hash is lowest.  Counts for this cover all rows.
@@ -19,6 +21,7 @@ that sorts first.  Columns other than id and text don't reach a prediction.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +39,8 @@ WIDTH, GRAMS = 1 << 13, 3
 SAMPLE, CENTROIDS = 800, 4
 #: No text nearer than this is rejected, however alike the sample's texts are.
 LEAST_REACH = 0.75
+#: Least number of letters of each band of lengths.
+BANDS = (1, 2, 4, 8, 16, 32, 64, 128)
 UNKNOWN = "und"
 
 
@@ -49,14 +54,14 @@ def letters() -> np.ndarray:
     return table
 
 
-def counts(text: str | None) -> np.ndarray | None:
-    """How often each hashed n-gram occurs in the whole text; None if it has no letter."""
+def counts(text: str | None) -> tuple[np.ndarray, int] | None:
+    """How often each hashed n-gram occurs in the whole text, and its letters; None if it has no letter."""
     points = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
     total = np.zeros(WIDTH)
-    some = False
+    n_letters = 0
     for first in range(0, len(points), 1 << 20):  # two characters more for n-grams across
         part = letters()[points[max(0, first - GRAMS + 1) : first + (1 << 20)]]
-        some = some or bool(part.any())
+        n_letters += int(np.count_nonzero(part[GRAMS - 1 if first else 0 :]))
         grams = part * np.uint32(0x9E3779B1)
         for n in range(1, GRAMS + 1):
             if n > 1:
@@ -64,12 +69,30 @@ def counts(text: str | None) -> np.ndarray | None:
             skip = max(0, (GRAMS - 1 if first else 0) - n + 1)
             place = (grams[skip:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - WIDTH.bit_length() + 1)
             total += np.bincount(place, minlength=WIDTH)
-    return total.astype(np.float32) if some else None
+    return (total.astype(np.float32), n_letters) if n_letters else None
+
+
+def beginnings(text: str) -> list[str]:
+    """A text's distinct words in their order, up to the least letters of each band that they fill."""
+    words, n = {}, 0
+    for found in re.finditer(r"\S+", text):
+        if found[0] not in words:
+            words[found[0]] = None
+            n += np.count_nonzero(letters()[np.frombuffer(found[0][: 2 * BANDS[-1]].encode("utf-32-le"), "<u4")])
+            if n >= BANDS[-1]:
+                break
+    joined = " ".join(words)
+    at = np.flatnonzero(letters()[np.frombuffer(joined.encode("utf-32-le"), "<u4")])
+    return [joined[: int(at[least - 1]) + 1] for least in BANDS if least <= len(at)]
+
+
+def band(n_letters: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BANDS, n_letters, "right") - 1
 
 
 @dataclass
 class Model:
-    """``centroids`` has a row for each, ``labels`` its language, ``reach`` its largest distance."""
+    """``centroids`` has a row for each, ``labels`` its language, ``reach`` its largest distance in each band."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -90,36 +113,45 @@ class Model:
         labels = [UNKNOWN] * len(texts)
         score, rejected = np.zeros(len(texts)), np.ones(len(texts), bool)
         if some:
-            cosine = self.vectors([found[i] for i in some]) @ self.centroids.T
+            cosine = self.vectors([found[i][0] for i in some]) @ self.centroids.T
             best = cosine.argmax(1)
             top = cosine[np.arange(len(some)), best]
             for i, b in zip(some, best.tolist()):
                 labels[i] = self.labels[b]
             score[some] = np.clip(top, 0, 1)
-            rejected[some] = 1 - top > self.reach[best]
+            rejected[some] = 1 - top > self.reach[best, band(np.array([found[i][1] for i in some]))]
         return labels, score, rejected
 
 
 def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, slack: float = 1.75) -> Model:
     """From (language, text) pairs; the same pairs always give the same model."""
-    kept = [(lang, x) for lang, text in sorted(samples) if (x := counts(text)) is not None]
+    kept = [(lang, text, *x) for lang, text in sorted(samples) if (x := counts(text)) is not None]
+    none = np.zeros((0, len(BANDS)))
     if not kept:
-        return Model(np.ones(WIDTH), np.zeros((0, WIDTH), np.float32), [], np.zeros(0))
+        return Model(np.ones(WIDTH), np.zeros((0, WIDTH), np.float32), [], none)
     seen = np.zeros(WIDTH)
-    for _, x in kept:
+    for _, _, x, _ in kept:
         seen += x > 0
-    model = Model(np.log((1 + len(kept)) / (1 + seen)) + 1, np.zeros((0, WIDTH)), [], np.zeros(0))
+    model = Model(np.log((1 + len(kept)) / (1 + seen)) + 1, np.zeros((0, WIDTH)), [], none)
     rows, reach = [], []
-    for lang in sorted({lang for lang, _ in kept}):
-        x = model.vectors([row for own, row in kept if own == lang])
+    for lang in sorted({x[0] for x in kept}):
+        own = [x[1:] for x in kept if x[0] == lang]
+        x = model.vectors([row for _, row, _ in own])
         middle = x[np.linspace(0, len(x) - 1, min(centroids, len(x))).astype(int)]
         for _ in range(12):
             nearest = (x @ middle.T).argmax(1)
             sums = np.array([x[nearest == c].sum(0) if (nearest == c).any() else middle[c] for c in range(len(middle))])
             middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        cosine = x @ middle.T
-        far = slack * float(np.quantile(1 - cosine.max(1), 0.999))
-        far = min(1.0, max(LEAST_REACH, far))
+        whole, n_letters = (x @ middle.T).max(1), np.array([n for _, _, n in own])
+        del x
+        first, far = [beginnings(text) for text, _, _ in own], np.full(len(BANDS), LEAST_REACH)
+        for b in reversed(range(len(BANDS))):
+            cut = model.vectors([counts(x[b])[0] for x in first if b < len(x)])
+            near = np.concatenate([(cut @ middle.T).max(1, initial=0), whole[band(n_letters) == b]])
+            if len(near):
+                far[b] = max(LEAST_REACH, 1 - float(np.quantile(near, 0.001)) / slack)
+            if b + 1 < len(BANDS):  # fewer letters never tell more
+                far[b] = max(far[b], far[b + 1])
         for one in middle:
             rows.append(one), model.labels.append(lang), reach.append(far)
     model.centroids, model.reach = np.array(rows, np.float32), np.array(reach)
