@@ -2,8 +2,9 @@
 
 1. ``language_id``: documents whose language the model rejects (among them those without a
    letter) go.
-2. ``near_dedup``: of each component of linked SimHash fingerprints the document with the
-   smallest id stays.  Rows with a null id stay only if their component has no id at all.
+2. ``near_dedup``: of each component of linked SimHash fingerprints one row stays, that with
+   the smallest id, then the smallest hash of its columns.  A row with a null id stays only if
+   its component has no id at all; an id that names rows of several components can stay in each.
 3. ``pii``: personal data gives way to ``<KIND>`` marks.
 4. ``mix``: documents are dropped or repeated so that each source comes near its target.
 5. ``bpe``: the result, a row for each kept copy: doc_id, n_tokens, ids and digests.
@@ -17,7 +18,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from twinsift.llm import bpe, langid, mixing, pii, simhash
 from twinsift.llm.common import checkpoint_folder
@@ -33,13 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
-    kept = docs.join(staying, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    if not staying.groupBy("stays").count().where("count > 1").isEmpty():  # repeated ids
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("first", F.row_number().over(first)).where("first = 1").drop("first")
-    return kept
+    return simhash.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,16 @@ def test_stages_keep_columns_and_edges(spark):
             assert kept.count() <= 3 * n
             if name == "near_dedup" and n:
                 assert sorted(str(x["doc_id"]) for x in docs.collect()) == ["1", "None"]
+
+
+def test_near_dedup_keeps_a_row_of_each_component(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, word(k), "en", "a", k) for k in range(20)]  # components without an id
+    rows += [(7, word(k), "en", "a", k) for k in range(20, 40)]  # one id over different texts
+    rows += [(3, word(50), "en", "a", 1), (5, word(50), "en", "a", 2), (5, word(51), "en", "b", 3)]  # 5 is a copy of 3, and alone
+    rows += [(9, word(60), "en", "a", 4)] * 3 + [(9, word(60), "fr", "b", 4), (None, word(60), "en", "a", 4)]  # equal, nearly equal
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, shape).repartition(5), "")
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = Counter((x["doc_id"], x["text"]) for x in found.collect())
+    assert kept == Counter([x[:2] for x in rows[:40]] + [(3, word(50)), (5, word(51)), (9, word(60))])

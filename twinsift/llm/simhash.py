@@ -70,18 +70,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 8 << 20)
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit integer."""
-    kind = df.schema[id_col].dataType.simpleString()
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, more..., fp): the fingerprint as a signed 64-bit integer."""
+    kept = [id_col, *more]
+    fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"]
+                [*[batch.column(i) for i in range(len(kept) + 1) if i != 1], pa.array(found.view(np.int64))], [*kept, "fp"]
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return df.select(id_col, text_col, *more).mapInArrow(run, f"{fields}, fp long")
 
 
 def _bits(n: int) -> Column:
@@ -191,3 +192,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "component_id",
         F.col("n_links").cast("long").alias("n_links"),
     )
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns: the smallest id, null last, then the smallest hash.
+
+    Rows are told apart by 128 bits over all their columns, not by their ids.
+    """
+    rows = [F.col(f"`{x}`") for x in df.columns]
+    rows += [x.isNull() for x in rows]  # a null leaves a hash as it is
+    key = F.struct(F.xxhash64(*rows).alias("a"), F.xxhash64(F.lit(1), *rows).alias("b"))
+    keyed = df.select(F.col(f"`{id_col}`").alias("of"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
+    found = checkpointed(fingerprints(keyed, "of", "text", "key"))
+    roots = components(links(checkpointed(found.select("fp").distinct())))
+    # equal rows have equal fingerprints, so that their component is the same
+    rank = F.struct(F.col("of").isNull().alias("unnamed"), "of", "key")
+    by_print = found.groupBy("fp", rank.alias("rank")).agg(F.count("*").alias("n"))
+    by_print = by_print.groupBy("fp").agg(F.min(F.struct("rank", "n")).alias("least"))
+    chosen = checkpointed(
+        by_print.join(roots, F.col("fp") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "fp").alias("component")).agg(F.min("least").alias("least"))
+        .select(F.col("least.rank.key").alias("stays"), F.col("least.n").alias("n"))
+    )
+
+    def held(of: DataFrame) -> DataFrame:
+        return df.join(of.select("stays"), key == F.col("stays"), "left_semi")
+
+    if chosen.where("n > 1").isEmpty():
+        return held(chosen)
+    return held(chosen.where("n = 1")).unionByName(held(chosen.where("n > 1")).dropDuplicates())
