@@ -53,6 +53,18 @@ def test_thresholds_are_nested(spark):
     assert all(less[k] <= more[k] for k in less)
 
 
+def test_equal_rows_share_a_budget(spark):
+    rows = [(1, "w " * 10, "a")] * 50 + [(2, "v " * 10, "b")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(df).toPandas()
+    assert len(found) == 100
+    taken = (found["size"] * found["repeats"]).groupby(found["source"]).sum()
+    target = found.groupby("source").target.first()
+    assert (abs(taken - target) <= 5).all()
+    documents = mixing.mixed_documents(df).groupBy("source").count().toPandas().set_index("source")["count"]
+    assert (documents.sort_index() * 10 == taken.sort_index()).all()
+
+
 # -- 2
 
 
@@ -105,8 +117,34 @@ def test_language_accuracy(spark, small):
 
 def test_language_rejects_what_is_far():
     model = langid.fit([("en", f"the cat and the dog number {i} are here") for i in range(50)])
-    labels, score, rejected = model.predict(["the cat and the dog", "жщъ ыэю", "123 !!", None, ""])
-    assert labels == ["en", "en", "und", "und", "und"] and rejected.tolist() == [False, True, True, True, True]
+    labels, score, rejected = model.predict(["the cat and the dog", "жщъ ыэю", "123 !!", None, "", "\u0301\u0302"])
+    assert labels == ["en", "en", "und", "und", "und", "und"] and rejected.tolist() == [False] + [True] * 5
+
+
+def test_language_sample_is_bounded_and_distinct(spark):
+    rows = [(i, f"word{i % 50} the cat", "en") for i in range(2000)] + [(5000 + i, "le chat noir", "fr") for i in range(3000)]
+    rows += [(9000, "x", None), (9001, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = langid.train(df, sample=10)
+    assert set(model.labels) == {"en", "fr"} and model.predict(["le chat", "the cat"])[0] == ["fr", "en"]
+
+
+def test_language_by_plain_centroids(spark):
+    """Predictions held against cosines of dense vectors, gram by gram."""
+    model = langid.fit([(k, f"{a} {b} {a}") for k, ws in {"en": "the cat and dog".split(), "fr": "le chat et chien".split()}.items() for a in ws for b in ws])
+    for text in ("the cat", "le chien et", "cat chien", "and the", "é"):
+        points = [ord(c.lower()) if c.isalpha() else 0 for c in text]
+        row = np.zeros(langid.WIDTH)
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                gram = points[i] * 0x9E3779B1 % 2**32
+                for p in points[i + 1 : i + n]:
+                    gram = ((gram ^ (gram >> 15)) * 0x85EBCA77 + p) % 2**32
+                row[gram * 0xC2B2AE3D % 2**32 >> 19] += 1
+        row = np.log1p(row) * model.idf
+        cosines = model.centroids @ (row / np.linalg.norm(row))
+        labels, score, _ = model.predict([text])
+        assert labels[0] == model.labels[int(cosines.argmax())] and score[0] == pytest.approx(max(0, cosines.max()), abs=1e-5)
 
 
 def test_language_rejects_other_languages_on_real_documents(spark):

@@ -6,8 +6,11 @@ the next bits, and only that bucket.  What lies below the threshold is taken onc
 Thresholds are nested: a larger budget takes all that a smaller one takes.
 
 Null texts have size 0 and are never taken.  A null source is a source of its own, the
-last.  Rows with the same id and text have the same hash, so they are taken together.
-An empty table gives an empty result.  Other columns of the input are left out.
+last.  Rows with the same source, id and text have the same hash; where the budget runs out
+inside such a hash, as many of its rows are taken as come nearest to the budget (in order of a hash
+over all columns; equal rows stand for each other, so that reruns agree).  Long texts count
+like others, in one pass of the expression.  An empty table gives an empty result.  Other columns
+of the input are left out, whatever their names.
 
 Everything is DataFrame operations.  What is shuffled is one number for each source and
 bucket, and a narrow row (no text) for each document; both are dealt by source and bucket,
@@ -29,6 +32,8 @@ BITS, LEVEL_BITS = 60, 12
 MOST_TIMES = 3
 #: So many sources' plans, of some 100 bytes each, are small enough to send to every executor.
 FEW_SOURCES = 50_000
+#: Rows that one step makes from a row that stands for many equal ones.
+PIECE = 100_000
 
 
 def words(text: Column) -> Column:
@@ -85,7 +90,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: int = MOST_TIMES)
 
 
 def _edge(histogram: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Of each source the bucket in which its budget runs out: (source, path, b, n, budget).
+    """Of each source the bucket in which its budget runs out: (source, path, b, n, m, budget).
 
     ``budget`` comes back as what is left of it at the bucket's beginning.
     """
@@ -96,7 +101,7 @@ def _edge(histogram: DataFrame, budgets: DataFrame) -> DataFrame:
         .alias("h")
         .join(budgets.alias("p"), F.col("h.source").eqNullSafe(F.col("p.source")))
         .where("before <= budget and budget < before + n")
-        .select("h.source", "path", "b", "n", (F.col("budget") - F.col("before")).alias("budget"))
+        .select("h.source", "path", "b", "n", "m", (F.col("budget") - F.col("before")).alias("budget"))
     )
 
 
@@ -113,9 +118,10 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, *more: Col
 def thresholds(docs: DataFrame, weights: Sequence[float], most: int = MOST_TIMES) -> DataFrame:
     """Of each source what all its documents are taken, and below which hash once more.
 
+    ``tied`` rows have the threshold itself, ``extra`` of them are taken once more.
     ``docs`` has (source, size, h), best checkpointed: it is read several times.
     """
-    histogram = docs.groupBy("source", _bucket(0).alias("b")).agg(F.sum("size").alias("n"))
+    histogram = docs.groupBy("source", _bucket(0).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
     sizes = histogram.groupBy("source").agg(F.sum("n").alias("source_size"))
     plan = checkpointed(targets(sizes, weights, most))
     edge = _edge(histogram, plan.select("source", "budget", F.lit(0).cast("long").alias("path")))
@@ -125,17 +131,20 @@ def thresholds(docs: DataFrame, weights: Sequence[float], most: int = MOST_TIMES
         here = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.b") == F.col("e.b"))
         kept = open_docs.withColumn("b", _bucket(level - 1)).alias("d").join(edge.alias("e"), here)
         open_docs = checkpointed(kept.select("d.source", "d.size", "d.h"))
-        deeper = open_docs.groupBy("source", _bucket(level).alias("b")).agg(F.sum("size").alias("n"))
+        deeper = open_docs.groupBy("source", _bucket(level).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
         path = (F.col("path") * (1 << LEVEL_BITS) + F.col("b")).alias("path")
         edge = _edge(deeper, edge.select("source", "budget", path))
+    # rows of one hash have one text, so one size: n / m
+    extra = F.floor(F.col("budget") * F.col("m") / F.col("n") + 0.5)
     last = edge.select(
         F.col("source").alias("at"),
         (F.col("path") * (1 << LEVEL_BITS) + F.col("b")).alias("threshold"),
-        (F.col("budget") * 2 >= F.col("n")).alias("with_ties"),
+        F.col("m").alias("tied"),
+        F.least(F.col("m"), extra).cast("long").alias("extra"),
     )
     return checkpointed(
         plan.join(last, F.col("source").eqNullSafe(F.col("at")), "left").select(
-            "source", "source_size", "target", "times", "threshold", "with_ties"
+            "source", "source_size", "target", "times", "threshold", "tied", "extra"
         )
     )
 
@@ -148,18 +157,41 @@ def taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
     shuffled and skewed partitions are split at run time.
     """
     few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    splits = not plan.where("0 < extra and extra < tied").isEmpty()
     plan = plan.withColumnRenamed("source", "planned")
     plan = F.broadcast(plan) if few else plan
-    once_more = (F.col("h") < F.col("threshold")) | (
-        (F.col("h") == F.col("threshold")) & F.col("with_ties")
+    at_edge = F.coalesce(F.col("h") == F.col("threshold"), F.lit(False))
+    once_more = F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)) | (at_edge & (F.col("extra") == F.col("tied")))
+    repeats = F.when(F.col("size") > 0, F.col("times") + once_more.cast("long")).otherwise(F.lit(0))
+    split = at_edge & F.coalesce(F.expr("0 < extra and extra < tied"), F.lit(False))
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("planned"))).withColumn("repeats", repeats.cast("long"))
+    spent = ("planned", "times", "threshold", "tied", "extra", "h")
+    if not splits:
+        return joined.drop(*spent)
+    rows = [F.col(x) for x in docs.columns]
+    rows += [x.isNull() for x in rows]  # a null leaves a hash as it is
+    key = [F.xxhash64(*rows).alias("key_a"), F.xxhash64(F.lit(1), *rows).alias("key_b")]
+    classes = checkpointed(
+        joined.where(split).select("*", *key).groupBy("key_a", "key_b")
+        .agg(F.first(F.struct(*joined.columns)).alias("one"), F.count("*").alias("m"))
+        .select("one.*", "key_a", "key_b", "m")
     )
-    more = F.when(F.coalesce(once_more, F.lit(False)), 1).otherwise(0)
-    repeats = F.when(F.col("size") > 0, F.col("times") + more).otherwise(F.lit(0))
-    return (
-        docs.join(plan, F.col("source").eqNullSafe(F.col("planned")))
-        .withColumn("repeats", repeats.cast("long"))
-        .drop("planned", "times", "threshold", "with_ties", "h")
+    so_far = Window.partitionBy("planned").orderBy("key_a", "key_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("m").over(so_far), F.lit(0))
+    counted = classes.select("key_a", "key_b", "m", "planned", "extra").select(
+        "key_a", "key_b", F.least(F.col("m"), F.greatest(F.lit(0), F.col("extra") - before)).alias("more")
+    )
+    each = _numbered(classes.join(counted, ["key_a", "key_b"]), "m", "number").withColumn(
+        "repeats", F.col("times") + (F.col("number") < F.col("more")).cast("long")
     )
+    return joined.where(~split).drop(*spent).unionByName(each.drop("number", "more", "m", "key_a", "key_b", *spent))
+
+
+def _numbered(rows: DataFrame, many: str, number: str) -> DataFrame:
+    """Each row as often as ``many`` says, numbered from 0; large numbers are dealt to all tasks in pieces."""
+    piece = rows.select("*", F.explode(F.expr(f"sequence(0, ({many} - 1) div {PIECE})")).alias("piece"))
+    first, last = f"piece * {PIECE}", f"least({many}, (piece + 1) * {PIECE}) - 1"
+    return piece.repartition(F.col("piece")).select("*", F.explode(F.expr(f"sequence({first}, {last})")).alias(number)).drop("piece")
 
 
 def mix(

@@ -52,12 +52,13 @@ with docs as (
   select d.*, p.source_size, p.target, p.times,
     case when p.times < 3 then p.target - p.times * p.source_size else 0 end as budget,
     sum(d.size) over (partition by d.source order by d.h) as through,
-    sum(d.size) over (partition by d.source, d.h) as tied
+    sum(d.size) over (partition by d.source, d.h) as tied,
+    row_number() over (partition by d.source, d.h) as number
   from docs d join planned p on d.source is not distinct from p.source
 )
 select doc_id, size, source_size::bigint as source_size, target,
   (size * (times + case when through <= budget then 1
-    when through - tied <= budget and 2 * (budget - (through - tied)) >= tied then 1
+    when through - tied <= budget and 2 * (budget - (through - tied) - (number - 1) * size) >= size then 1
     else 0 end))::bigint as taken
 from ordered
 """
