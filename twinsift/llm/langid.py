@@ -11,12 +11,14 @@ beginnings of all texts (without repeated words), cut to the band's least number
 its cosine is less than this by more than the factor ``slack`` (and its distance larger than
 ``LEAST_REACH``), or if it has no letter.
 
-The model is fitted on a bounded sample: of each language ``SAMPLE`` rows are expected at
-most, those whose stable hash is lowest.  Counts for this cover all rows.
-
-Null texts and texts without a letter are ``und`` with score 0, and rejected.  Without any
-learned language every text is.  Repeated rows get equal results, ties go to the language
-that sorts first.  Columns other than id and text don't reach a prediction.
+The model is fitted on a bounded sample: of each of the ``LANGUAGES`` most frequent languages
+``SAMPLE`` distinct texts at most, those whose stable hashes are lowest.  Counts for this cover
+all rows; a sampled text is counted where it is read, and only its counts reach the driver.
+
+Null texts and texts without a letter (marks alone are none) are ``und`` with score 0, and
+rejected.  Without any learned language every text is; an empty table gives an empty result.  Very
+long texts are counted whole, in blocks.  Repeated rows get equal results, ties go to the
+language that sorts first.  Columns other than id and text don't reach a prediction.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import blocks
 
 WIDTH, GRAMS = 1 << 13, 3
-#: Expected rows of each language that the model is fitted on, and its centroids.
-SAMPLE, CENTROIDS = 800, 4
+#: Distinct texts of each language that the model is fitted on, its centroids, and how many languages.
+SAMPLE, CENTROIDS, LANGUAGES = 800, 4, 256
 #: No text nearer than this is rejected, however alike the sample's texts are.
 LEAST_REACH = 0.75
 #: Least number of letters of each band of lengths.
@@ -54,6 +57,12 @@ def letters() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def is_letter() -> np.ndarray:
+    """Whether each code point is a letter; marks belong to n-grams but are none."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
 def counts(text: str | None) -> tuple[np.ndarray, int] | None:
     """How often each hashed n-gram occurs in the whole text, and its letters; None if it has no letter."""
     points = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
@@ -61,7 +70,7 @@ def counts(text: str | None) -> tuple[np.ndarray, int] | None:
     n_letters = 0
     for first in range(0, len(points), 1 << 20):  # two characters more for n-grams across
         part = letters()[points[max(0, first - GRAMS + 1) : first + (1 << 20)]]
-        n_letters += int(np.count_nonzero(part[GRAMS - 1 if first else 0 :]))
+        n_letters += int(np.count_nonzero(is_letter()[points[first : first + (1 << 20)]]))
         grams = part * np.uint32(0x9E3779B1)
         for n in range(1, GRAMS + 1):
             if n > 1:
@@ -78,11 +87,11 @@ def beginnings(text: str) -> list[str]:
     for found in re.finditer(r"\S+", text):
         if found[0] not in words:
             words[found[0]] = None
-            n += np.count_nonzero(letters()[np.frombuffer(found[0][: 2 * BANDS[-1]].encode("utf-32-le"), "<u4")])
+            n += np.count_nonzero(is_letter()[np.frombuffer(found[0][: 2 * BANDS[-1]].encode("utf-32-le"), "<u4")])
             if n >= BANDS[-1]:
                 break
     joined = " ".join(words)
-    at = np.flatnonzero(letters()[np.frombuffer(joined.encode("utf-32-le"), "<u4")])
+    at = np.flatnonzero(is_letter()[np.frombuffer(joined.encode("utf-32-le"), "<u4")])
     return [joined[: int(at[least - 1]) + 1] for least in BANDS if least <= len(at)]
 
 
@@ -125,26 +134,31 @@ class Model:
 
 def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, slack: float = 1.75) -> Model:
     """From (language, text) pairs; the same pairs always give the same model."""
-    kept = [(lang, text, *x) for lang, text in sorted(samples) if (x := counts(text)) is not None]
+    found = [(lang, *x, beginnings(text)) for lang, text in sorted(samples) if (x := counts(text)) is not None]
+    return fit_counts(found, centroids, slack)
+
+
+def fit_counts(kept: list[tuple[str, np.ndarray, int, list[str]]], centroids: int = CENTROIDS, slack: float = 1.75) -> Model:
+    """The same from languages, counts, numbers of letters and beginnings, in a stable order."""
     none = np.zeros((0, len(BANDS)))
     if not kept:
         return Model(np.ones(WIDTH), np.zeros((0, WIDTH), np.float32), [], none)
     seen = np.zeros(WIDTH)
-    for _, _, x, _ in kept:
+    for _, x, _, _ in kept:
         seen += x > 0
     model = Model(np.log((1 + len(kept)) / (1 + seen)) + 1, np.zeros((0, WIDTH)), [], none)
     rows, reach = [], []
     for lang in sorted({x[0] for x in kept}):
         own = [x[1:] for x in kept if x[0] == lang]
-        x = model.vectors([row for _, row, _ in own])
+        x = model.vectors([row for row, _, _ in own])
         middle = x[np.linspace(0, len(x) - 1, min(centroids, len(x))).astype(int)]
         for _ in range(12):
             nearest = (x @ middle.T).argmax(1)
             sums = np.array([x[nearest == c].sum(0) if (nearest == c).any() else middle[c] for c in range(len(middle))])
             middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        whole, n_letters = (x @ middle.T).max(1), np.array([n for _, _, n in own])
+        whole, n_letters = (x @ middle.T).max(1), np.array([n for _, n, _ in own])
         del x
-        first, far = [beginnings(text) for text, _, _ in own], np.full(len(BANDS), LEAST_REACH)
+        first, far = [x for _, _, x in own], np.full(len(BANDS), LEAST_REACH)
         for b in reversed(range(len(BANDS))):
             cut = model.vectors([counts(x[b])[0] for x in first if b < len(x)])
             near = np.concatenate([(cut @ middle.T).max(1, initial=0), whole[band(n_letters) == b]])
@@ -170,13 +184,40 @@ def train(
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    many = {x["lang"]: x["n"] for x in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not many:
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("draw"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("texts"))
+    frequent = counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not frequent:
         return fit([])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, sample / n))])
-    chosen = rows.where(draw < rate[F.col(lang_col)]).select(lang_col, text_col).collect()
-    return fit([(x[0], x[1]) for x in chosen])
+    # more than are wanted, as their number is an estimate; then the lowest of them
+    span = float(1 << 63)
+    rate = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], min(1.0, 4 * sample / r["texts"]))])
+    near = rows.where((F.col("draw").cast("double") + span) / (2 * span) < rate[F.col("lang")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # as many as the sample, at most
+        for batch in blocks(batches):
+            out = []
+            for lang, text, draw in zip(*[c.to_pylist() for c in batch.columns]):
+                if (lang, draw) not in seen and (found := counts(text)) is not None:
+                    at = np.flatnonzero(found[0])
+                    packed = at.astype("<u2").tobytes() + found[0][at].astype("<f4").tobytes()
+                    out.append((lang, draw, packed, found[1], beginnings(text)))
+                seen.add((lang, draw))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.string())))],
+                ["lang", "draw", "packed", "n_letters", "first"],
+            )
+
+    counted = near.mapInArrow(run, "lang string, draw long, packed binary, n_letters long, first array<string>")
+    lowest = Window.partitionBy("lang").orderBy("draw")
+    chosen = counted.dropDuplicates(["lang", "draw"]).withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= sample)
+    kept = []
+    for x in sorted(chosen.collect(), key=lambda x: (x["lang"], x["draw"])):
+        n, row = len(x["packed"]) // 6, np.zeros(WIDTH, np.float32)
+        row[np.frombuffer(x["packed"][: 2 * n], "<u2")] = np.frombuffer(x["packed"][2 * n :], "<f4")
+        kept.append((x["lang"], row, x["n_letters"], x["first"]))
+    return fit_counts(kept)
 
 
 def usable_rows(id_col: str = "doc_id") -> Column:
@@ -195,7 +236,7 @@ def predict(
     """(id, more..., lang_pred, score, rejected) of every row."""
     columns = list(dict.fromkeys([id_col, text_col, *more]))
     fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in columns if x != text_col or text_col in more)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by its parameters
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 128 KiB a language, ``LANGUAGES`` at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
