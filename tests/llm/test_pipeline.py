@@ -7,14 +7,14 @@ from collections import Counter
 import numpy as np
 import tiktoken
 from public_tokenizers import PATTERN
-from test_operators import brute_fingerprint, brute_spans
+from test_operators import brute_fingerprint, brute_own_spans, brute_spans
 
 import corpus_pipeline
 from twinsift.llm import bpe, langid
 
 
 def redacted(text):
-    marks = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute_spans(text)))
+    marks = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute_spans(text) + brute_own_spans(text)))
     out, at = [], 0
     for start, stop, kind in marks:
         if start >= at:
