@@ -254,9 +254,39 @@ def test_licenses_against_brute_force():
 def test_expressions():
     postfix = licenses.parse("MIT OR Apache-2.0 AND GPL-2.0 WITH Classpath-exception-2.0")
     assert postfix == ["mit", "apache-2.0", "gpl-2.0", "classpath-exception-2.0", "with", "and", "or"]
-    assert licenses.evaluate(postfix) == [frozenset({"mit"}), frozenset({"apache-2.0", "gpl-2.0 with classpath-exception-2.0"})]
+    assert licenses.evaluate(postfix)[1] == set()
     assert licenses.parse("(MIT") is None and licenses.parse("and MIT") is None and licenses.parse("") is None
-    assert licenses.scan_text("// SPDX-License-Identifier: (MIT or ISC)\ncode")[5] == "isc,mit"
+    assert licenses.parse("(MIT or ISC) with x") is None and licenses.parse("MIT with (x)") is None and licenses.parse("a with b with c") is None
+    found = licenses.scan_text("// SPDX-License-Identifier: (MIT or ISC)\ncode")
+    assert found[5] == "isc,mit" and found[8] == "" and found[6] == pytest.approx(1 - 0.4**2)
+    both = licenses.scan_text("/* spdx-license-identifier: MIT and ISC */\n" * 3)
+    assert both[5] == both[8] == "isc,mit" and both[6] == pytest.approx(1 - 0.1**2) and len(both[7]) == 3
+    assert licenses.scan_text("SPDX license identifier: MIT")[5] == ""
+    assert len(licenses.evaluate(licenses.parse(" and ".join(f"(a{i} or b{i})" for i in range(5000))))[0]) == 10_000
+
+
+def test_expressions_against_all_choices():
+    """Required licences, labels and scores from every set of licences that one can hold."""
+    rng, names = random.Random(8), ["a", "b", "c", "d", "a with x"]
+
+    def grown(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(names)
+        return f"({grown(depth - 1)} {rng.choice(['and', 'or'])} {grown(depth - 1)})"
+
+    for _ in range(150):
+        expression = grown(4)
+        postfix = licenses.parse(expression.upper())
+        named = set(re.findall(r"a with x|\b[a-d]\b", expression))
+        sets = [{x for k, x in enumerate(names) if bits >> k & 1} for bits in range(32)]
+        plain = lambda held: eval(re.sub(r"a with x|\b[a-d]\b", lambda m: str(m[0] in held), expression))  # noqa: E731, B023
+        good = [held for held in sets if plain(held)]
+        assert [held for held in sets if licenses.satisfied(postfix, held)] == good
+        required = set.intersection(*good)
+        found = licenses.scan_text(f"x\n# SPDX-License-Identifier: {expression}\r\nmit license y")
+        assert found[5] == ",".join(sorted(named | {"mit"})) and found[8] == ",".join(sorted(required))
+        doubt = 0.3 * 0.1 ** len(required) * 0.4 ** len(named - required)
+        assert found[6] == pytest.approx(1 - doubt)
 
 
 # -- 7
@@ -347,14 +377,34 @@ def test_topk_against_brute_force(spark):
 def test_search_stops_early():
     rng = np.random.default_rng(1)
     rows = np.floor(rng.exponential(size=(4000, 3)) ** 3 * 100)
-    found = topk.search(np.array([[5.0, 1.0, 0.0]]), np.array([-1]), rows, np.arange(4000), 5)
+    found = topk.search(np.array([[5.0, 1.0, 0.0]]), np.array([-1]), rows, np.arange(4000), np.ones(4000, int), 5)
     assert found[3][0] < 1
     assert found[2] == sorted((rows @ [5, 1, 0]).astype(int).tolist(), reverse=True)[:5]
 
 
-def test_huge_components_stay_exact():
+def test_huge_components_stay_exact(spark):
     rows = np.array([[2.0**40, 1.0], [2.0**40, 0.0]])
-    assert topk.search(rows[:1], np.array([7]), rows, np.array([0, 1]), 2)[2] == [2**80 + 1, 2**80]
+    assert topk.search(rows[:1], np.array([-1]), rows, np.array([0, 1]), np.array([1, 1]), 2)[2] == [2**80 + 1, 2**80]
+    df = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<double>")
+    found = [(x["vec_id"], x["score"]) for x in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert found == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_rows_are_told_apart_by_themselves(spark):
+    """Repeated and missing ids against brute force over rows."""
+    rng = np.random.default_rng(5)
+    ids = [0, 0, 0, 100, None, None, 3, 3, 4] + list(range(200, 230))
+    vectors = rng.integers(-3, 4, size=(len(ids), 4)) / 4
+    vectors[1], vectors[7], vectors[5] = vectors[0], vectors[6], vectors[4]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>")
+    whole = np.floor(vectors * 1024).astype(int)
+    want = []
+    for q, i in enumerate(ids):
+        if i is not None and i % 100 == 0:
+            order = sorted((-int(whole[r] @ whole[q]), ids[r] is None, ids[r] or 0) for r in range(len(ids)) if r != q)
+            want += [(i, n + 1, None if gone else r, -s) for n, (s, gone, r) in enumerate(order[:10])]
+    found = [tuple(x) for x in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, want))
 
 
 # -- 10

@@ -109,12 +109,14 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOPK_SQL = """
 with rows as (
-  select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as x from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as x
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, r.vec_id, list_inner_product(q.x, r.x)::bigint as score
-  from rows q join rows r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0
+  select q.n, q.vec_id as query_id, r.vec_id, list_inner_product(q.x, r.x)::bigint as score
+  from rows q join rows r on q.n <> r.n where q.vec_id % 100 = 0
 ), ranked as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank,
+  select query_id, row_number() over (partition by n order by score desc, vec_id nulls last) as rank,
     vec_id, score
   from scored
 )

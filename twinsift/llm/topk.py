@@ -1,34 +1,36 @@
 """Exact top-k by inner product without random access: sorted lists and bounds.
 
 Candidates lie in blocks.  In a block every dimension is a list sorted by component.  A query
-reads each list from the end that its own component prefers, down to one depth in all
-lists.  A candidate seen in some lists has a lower bound (what it was seen with, and the
-list's worst elsewhere) and an upper bound (the value at the depth elsewhere).  When no
+reads each list sequentially from the end that its own component prefers, the next stretch of
+all lists at a time.  A candidate seen in some lists has a lower bound (what it was seen
+with, and the list's worst elsewhere) and an upper bound (the value last read elsewhere).  When no
 candidate that was never seen can reach the k-th best lower bound, reading stops, and the
-candidates whose upper bound reaches it get their final scores.  Depths double; all
-queries of a block advance together as matrix products.
+candidates whose upper bound reaches it get their final scores.  Stretches double.
 
 Queries (a stated set) meet all candidates block by block: never as single rows, and no
 side is broadcast.  A task holds one block of each.  Each pair of blocks keeps k rows of
 a query at most, and the best k of these are the result.
 
 Vectors that are null or hold nulls, NaN or infinities take no part; short ones are read
-as if filled up with zeros.  Rows with the query's own id are no candidates.  A query id
-that occurs more than once is asked once, with its smallest vector.  Ties go to the smaller
-id.  An empty table gives an empty result.
+as if filled up with zeros.  Rows are told apart by themselves, not by their ids: every row that
+is a query is asked, also if its id occurs again, and all other rows are its candidates, those
+of its own id and those without an id too.  Equal rows (id and vector) are searched once and
+counted.  Ties go to the smaller id, a null id last.  Scores beyond 64 bits are cut to what 64 bits
+hold.  An empty table gives an empty result.  Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import checkpointed
+
 #: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 16_384, 512
+CANDIDATES, QUERIES = 8_192, 1_024
 SCALE = 1024
 
 
@@ -43,44 +45,63 @@ def _exact(values: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def search(
-    queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, list, list[float]]:
-    """(query ids, row ids, scores, depths): the k best rows of each query in this block."""
+    queries: np.ndarray, own: np.ndarray, rows: np.ndarray, places: np.ndarray, many: np.ndarray, k: int
+) -> tuple[list, list, list, list[float]]:
+    """(queries, rows, scores, depths): for each query the rows of this block that can be its k best.
+
+    ``own`` is each query's own row or -1; ``places`` orders rows of equal scores, and ``many`` says
+    how often each occurs (the query itself doesn't count).
+    """
     n, wide = rows.shape
-    order = np.argsort(rows, 0, kind="stable")
-    rank = np.empty((n, wide), np.int32)
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
-    ranked = np.take_along_axis(rows, order, 0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    worst = up * ranked[0] + down * ranked[-1]
+    order = np.argsort(rows, 0, kind="stable").T.copy()
+    ranked = np.take_along_axis(rows, order.T, 0).T.copy()
+    # what doubles may round off
+    slack = 4 * wide * np.finfo(float).eps * np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * wide
     out_q, out_r, out_s, depths = [], [], [], []
-    waiting = np.arange(len(queries))
-    depth = max(1, n // 8)
-    while len(waiting):
-        high, low = rank >= n - depth, rank < depth
-        p, m = up[waiting].T, down[waiting].T
-        seen = np.where(high, rows, 0) @ p + np.where(low, rows, 0) @ m
-        edge_up, edge_down = ranked[max(0, n - depth)], ranked[min(n, depth) - 1]
-        floor, ceiling = worst[waiting], up[waiting] * edge_up + down[waiting] * edge_down
-        # of the lists in which a candidate was seen, what the bounds assume elsewhere
-        is_up, is_down = (queries[waiting] > 0), (queries[waiting] < 0)
-        h, lo = high.astype(float), low.astype(float)
-        lower = seen + floor.sum(1) - (h @ (floor * is_up).T + lo @ (floor * is_down).T)
-        upper = seen + ceiling.sum(1) - (h @ (ceiling * is_up).T + lo @ (ceiling * is_down).T)
-        lower[row_ids[:, None] == query_ids[waiting]] = -np.inf
-        enough = min(k, n)
-        bar = np.partition(lower, n - enough, 0)[n - enough]
-        stops = (ceiling.sum(1) < bar) | (depth >= n)
-        for j in np.flatnonzero(stops):
-            q = waiting[j]
-            able = np.flatnonzero((upper[:, j] >= bar[j]) & (row_ids != query_ids[q]))
-            score = _exact(rows[able], queries[q : q + 1])[:, 0]
-            best = np.lexsort((row_ids[able], -score))[:k]
-            out_q.append(np.full(len(best), query_ids[q])), out_r.append(row_ids[able[best]])
-            out_s.extend(score[best].tolist()), depths.append(depth / n)
-        waiting, depth = waiting[~stops], min(n, 2 * depth)
-    whole = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return whole(out_q), whole(out_r), out_s, depths
+    for q, query in enumerate(queries):
+        lists = np.flatnonzero(query)
+        part = query[lists]
+        up = part > 0
+        worst = np.where(up, ranked[lists, 0], ranked[lists, -1]) * part if n else part
+        held = many.copy()
+        if own[q] >= 0:
+            held[own[q]] -= 1
+        seen, read = np.zeros(n), np.zeros((n, len(lists)), bool)
+        done, depth = 0, max(1, n // 64)
+        while True:
+            for j, i in enumerate(lists):  # the next stretch of each list
+                stretch = slice(n - depth, n - done) if up[j] else slice(done, depth)
+                at = order[i, stretch]
+                seen[at] += part[j] * ranked[i, stretch]
+                read[at, j] = True
+            edge = np.array([ranked[i, n - depth if up[j] else depth - 1] for j, i in enumerate(lists)]) * part
+            lower = seen + worst.sum() - read @ worst - slack
+            upper = seen + edge.sum() - read @ edge + slack
+            if depth == n:
+                break
+            met = np.flatnonzero(read.any(1) & (held > 0))
+            bar = _bar(lower[met], held[met], k)
+            if edge.sum() + slack < bar:
+                break
+            done, depth = depth, min(n, 2 * depth)
+        met = np.flatnonzero((read.any(1) | (depth == n)) & (held > 0))
+        able = met[upper[met] >= _bar(lower[met], held[met], k)]
+        score = _exact(rows[able], query[None])[:, 0]
+        best = able[np.lexsort((places[able], -score))]
+        score = np.sort(-score)
+        through = np.cumsum(held[best]) - held[best] < k
+        out_q += [q] * int(through.sum())
+        out_r += best[through].tolist()
+        out_s += [-x for x in score[through].tolist()]
+        depths.append(depth / max(n, 1))
+    return out_q, out_r, out_s, depths
+
+
+def _bar(lower: np.ndarray, held: np.ndarray, k: int) -> float:
+    """The k-th largest lower bound, rows counted as often as they occur; below all if there are fewer."""
+    down = np.argsort(-lower, kind="stable")
+    enough = np.flatnonzero(np.cumsum(held[down]) >= k)
+    return lower[down[enough[0]]] if len(enough) else -np.inf
 
 
 def _matrix(packed: pd.Series) -> np.ndarray:
@@ -104,41 +125,54 @@ def top_k(
     sound = F.forall(
         F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     )
-    rows = df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & sound).select(
+    rows = df.where(F.col(vector_col).isNotNull() & sound).select(
         F.col(id_col).cast("long").alias("id"), parts.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
-    asks = rows.where("asks").groupBy("id").agg(F.min("x").alias("x"))
+    rows = rows.groupBy("id", "x").agg(F.count("*").alias("many"), F.max("asks").alias("asks"))
+    rows = checkpointed(rows.withColumn("key", F.xxhash64("id", F.col("id").isNull(), "x")))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     n_rows, n_asks = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
+    row = ("key", "id", "x", "many")
     held = rows.select(
-        "id", "x",
-        F.pmod(F.xxhash64("id", "x"), F.lit(n_rows)).cast("int").alias("block"),
+        *row,
+        F.pmod("key", F.lit(n_rows)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))).alias("ask_block"),
     )
-    asked = asks.select(
-        "id", "x",
+    asked = rows.where("asks").select(
+        *row,
         F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("block"),
-        F.pmod(F.xxhash64("id"), F.lit(n_asks)).cast("int").alias("ask_block"),
+        F.pmod(F.shiftright("key", 20), F.lit(n_asks)).cast("int").alias("ask_block"),
     )
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         q, r = _matrix(a["x"]), _matrix(b["x"])
         wide = max(q.shape[1], r.shape[1])
         q, r = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (q, r))
-        if not len(q) or not len(r) or not wide:
-            zero = [(x, y, 0) for x in a["id"] for y in np.sort(b["id"])[: k + 1] if x != y]
-            return pd.DataFrame(zero, columns=["query_id", "id", "score"])
-        found = search(q, a["id"].to_numpy(), r, b["id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": found[0], "id": found[1], "score": found[2]})
+        # equal rows are one here, so that id and vector tell a query's own row
+        place = {x: i for i, x in enumerate(zip(b["id"].fillna(0), b["id"].isna(), map(bytes, map(np.asarray, b["x"]))))}
+        own = [place.get(x, -1) for x in zip(a["id"].fillna(0), a["id"].isna(), map(bytes, map(np.asarray, a["x"])))]
+        ids = [None if pd.isna(x) else int(x) for x in b["id"]]
+        by_id = np.argsort(np.argsort([(1 << 63) if x is None else x for x in ids], kind="stable"), kind="stable")
+        at_q, at_r, score, _ = search(q, np.array(own, int), r, by_id, b["many"].to_numpy(), k)
+        own_ids = [None if pd.isna(x) else int(x) for x in a["id"]]
+        out = pd.DataFrame({
+            "asked": a["key"].to_numpy()[at_q], "query_id": [own_ids[i] for i in at_q], "repeats": a["many"].to_numpy()[at_q],
+            "id": [ids[i] for i in at_r], "score": [min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in score],
+            "many": [int(b["many"].iat[j]) - (own[i] == j) for i, j in zip(at_q, at_r)],
+        })
+        return out.astype({"query_id": "Int64", "id": "Int64"})
 
     near = (
         asked.groupBy("block", "ask_block")
         .cogroup(held.groupBy("block", "ask_block"))
-        .applyInPandas(run, "query_id long, id long, score long")
+        .applyInPandas(run, "asked long, query_id long, repeats long, id long, score long, many long")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # a row that occurs often fills k places at most, and equal queries have equal answers
+    each = near.withColumn("copy", F.explode(F.expr(f"sequence(1, least(many, {k}L))")))
+    best = Window.partitionBy("asked", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return (
-        near.withColumn("rank", F.row_number().over(best))
+        each.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
+        .withColumn("again", F.explode(F.expr("sequence(1, repeats)")))
         .select("query_id", "rank", F.col("id").alias(id_col), "score")
     )
