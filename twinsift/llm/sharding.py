@@ -4,12 +4,15 @@ Every shard scores every key by -weight / ln(u), u being a hash of key and shard
 (0, 1); the best score gets the record.  Another shard changes no other's score, so that it
 takes records only into itself; a shard that goes gives away only its own.
 
-A null key is read as a key of its own; a null text has no bytes.  Rows with the same key
-share a shard.  Columns other than key and text are left out.
+A null key is read as a key of its own; a null text has no bytes, a long one all of its own.  Rows
+with the same key share a shard.  An empty table gives an empty result.  Columns other than key
+and text are left out, whatever their names.
 
 Slots count the rows of a shard from 0.  A shard's rows are cut into ``parts`` by another
 hash, numbered within a part in order of key, checksum and size, and moved up by what the
-parts before hold: no task sorts a shard, and the numbers are the same in every run.
+parts before hold: no task sorts a shard, and the numbers are the same in every run.  Rows that
+are equal in all of these are counted, numbered as one and dealt out again in pieces, so
+that neither does a key that holds a third of all rows burden one task.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import checkpointed
+
 #: So many shards' parts, of 24 bytes each, are small enough to send to every executor.
 FEW_PARTS = 1 << 18
+#: Rows that one step makes from a row that stands for many equal ones.
+PIECE = 100_000
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
@@ -60,25 +67,34 @@ def shard(
         best_shard(key, [*weights, grown]).alias("grown_shard"),
         F.pmod(F.xxhash64(key, F.crc32(raw)), F.lit(parts)).alias("part"),
     )
+    classes = checkpointed(rows.groupBy(*rows.columns).agg(F.count("*").alias("many")))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy("shard", "part")
-        .agg(F.count("*").alias("n"))
+        classes.groupBy("shard", "part")
+        .agg(F.sum("many").alias("n"))
         .select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     if len(weights) * parts <= FEW_PARTS:  # one row for each shard and part, whatever the input
         offsets = F.broadcast(offsets)
-    inside = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")
-    return (
-        rows.withColumn("row", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        classes.withColumn("first", F.coalesce(F.sum("many").over(inside), F.lit(0)))
         .join(offsets, ["shard", "part"])
-        .select(
-            F.col("id").alias(id_col),
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            "shard",
-            (F.col("offset") + F.col("row")).cast("long").alias("slot"),
-            "grown_shard",
-        )
+        .withColumn("first", F.col("first") + F.col("offset"))
+    )
+    few = placed.where(F.col("many") <= PIECE)
+    pieces = F.expr(f"sequence(0, (many - 1) div {PIECE})")
+    hot = placed.where(F.col("many") > PIECE).select("*", F.explode(pieces).alias("piece")).repartition("id", "piece")
+    hot = hot.withColumns({
+        "first": F.col("first") + F.col("piece") * PIECE, "many": F.least(F.lit(PIECE), F.col("many") - F.col("piece") * PIECE),
+    }).drop("piece")
+    every = few.unionByName(hot)
+    return every.select(
+        F.col("id").alias(id_col),
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        "shard",
+        F.explode(F.expr("sequence(first, first + many - 1)")).alias("slot"),
+        "grown_shard",
     )
