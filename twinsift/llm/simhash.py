@@ -166,31 +166,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id, n_links): one row per row of ``df``.
+    """(id, fingerprint, component_id): one row per row of ``df``.
 
-    ``component_id`` is the smallest id reachable, ``n_links`` the number of other
-    fingerprints known to link with the row's.
+    ``component_id`` is the smallest id reachable.
     """
     found = checkpointed(fingerprints(df, id_col, text_col))
     distinct = checkpointed(found.groupBy("fp").agg(F.min(id_col).alias("least")))
-    edges = checkpointed(links(distinct.select("fp")))
-    roots = components(edges)
+    roots = components(links(distinct.select("fp")))
     named = (
         distinct.join(roots, distinct["fp"] == roots["node"], "left")
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = edges.groupBy(F.col("a").alias("linked")).agg(F.count("*").alias("n"))
-    classes = (
-        named.join(names, "root")
-        .join(degree, F.col("fp") == F.col("linked"), "left")
-        .select(F.col("fp").alias("of"), "component_id", F.coalesce("n", F.lit(0)).alias("n_links"))
-    )
+    classes = named.join(names, "root").select(F.col("fp").alias("of"), "component_id")
     return found.join(classes, F.col("fp") == F.col("of")).select(
-        id_col,
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        F.col("n_links").cast("long").alias("n_links"),
+        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
