@@ -9,12 +9,14 @@ one fold.  For prediction each category's model is fitted once more on all folds
 The vocabulary has the words that go along with a category by a chi-squared statistic.  It
 counts distinct contexts (a word with its neighbours), so that a text copied many times
 counts once.  The classifier, its vocabulary included, is fitted on a bounded sample of the
-labelled rows: ``SAMPLE`` are expected at most, those with the lowest stable hashes.
+labelled rows: ``SAMPLE`` at most, those whose texts have the lowest stable hashes; equal texts with
+equal labels count once.
 
 Null texts are read as empty and get the probabilities of a text without known words.  A
 null label leaves its row out of that category only; rows labelled twice count with
-the larger label.  Without any labels every probability is 0.  Repeated rows get equal
-results.  Columns other than id and text are left out.
+the larger label.  Without any labels every probability is 0; an empty table gives an empty
+result.  Very long texts are counted whole.  Repeated rows get equal results.  Columns other than
+id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -161,6 +163,28 @@ def vocabulary(rows: DataFrame, categories: Sequence[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(words))}
 
 
+def sampled(
+    df: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id",
+    text_col: str = "text", sample: int = SAMPLE,
+) -> DataFrame:
+    """(draw, categories..., text) of ``sample`` labelled texts at most, equal ones with equal labels once.
+
+    ``categories`` maps names, in the chain's order, to SQL expressions over ``labels`` that give 0 or 1.
+    """
+    names = list(categories)
+    once = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(
+        *[F.max(F.expr(x).cast("int")).alias(c) for c, x in categories.items()]
+    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("draw"))
+    # narrow rows first: which draws are taken
+    drawn = rows.select("id", "draw").join(once, F.col("id") == F.col("labelled")).groupBy("draw", *names).agg(F.min("id").alias("id"))
+    lowest = checkpointed(drawn.orderBy("draw", *names).limit(sample))
+    return rows.select("id", "text").join(
+        F.broadcast(lowest.withColumnRenamed("id", "taken")), F.col("id") == F.col("taken")  # ``sample`` rows at most
+    ).where(F.xxhash64("text") == F.col("draw")).select("draw", *names, "text").dropDuplicates(["draw", *names])
+
+
 def train(
     df: DataFrame,
     labels: DataFrame,
@@ -169,20 +193,12 @@ def train(
     text_col: str = "text",
     sample: int = SAMPLE,
 ) -> Chain:
-    """``categories`` maps names, in the chain's order, to SQL expressions over ``labels`` that give 0 or 1."""
+    """Fit vocabulary and weights; the same rows always give the same chain."""
     names = list(categories)
-    once = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(
-        *[F.max(F.expr(x).cast("int")).alias(c) for c, x in categories.items()]
-    )
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-        once, F.col("id") == F.col("labelled")
-    )
-    n = once.count()
+    chosen = checkpointed(sampled(df, labels, categories, id_col, text_col, sample))
     chain = Chain(names)
-    if not n:
+    if chosen.isEmpty():
         return chain
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    chosen = rows.where(draw / float(1 << 30) < sample / n)
     chain.vocabulary = vocabulary(chosen, names)
     known = chain
     fields = ", ".join(f"`{c}` double" for c in names)
@@ -194,10 +210,8 @@ def train(
                 [pa.array([r.tobytes() for r in x], pa.binary()), *batch.columns[1:]], ["x", "draw", *names]
             )
 
-    found = chosen.select("text", F.xxhash64("text").alias("draw"), *[F.col(c).cast("double").alias(c) for c in names])
-    got = found.mapInArrow(run, f"x binary, draw long, {fields}").toPandas().sort_values(["draw", "x", *names])
-    if not len(got):
-        return chain
+    found = chosen.select("text", "draw", *[F.col(c).cast("double").alias(c) for c in names])
+    got = found.mapInArrow(run, f"x binary, draw long, {fields}").toPandas().sort_values(["draw", *names])
     x = np.array([np.frombuffer(r, np.float32) for r in got["x"]], np.float64).reshape(len(got), len(chain.vocabulary))
     return fit_chain(chain, x, got[names].to_numpy(float), (got["draw"] % FOLDS).to_numpy())
 
