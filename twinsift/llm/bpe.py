@@ -6,15 +6,20 @@ from state to state of a small automaton, and the functions are composed block-w
 numpy: composition is associative, so the blocks are scanned side by side and only the
 block totals one after the other.  State and symbol then tell where a token begins.
 
-Nulls are read as empty texts; an empty text has no ids and decodes to no bytes.
-Repeated rows are encoded each for itself.  Columns other than the id and the text are
-left out, so that none can clash with the results.
+Long texts are cut where a token begins whatever stands before and after: at white space behind
+something else, and between letters and numbers.  Portions of some ``LONGEST`` characters are
+encoded one after the other, so that no array grows with the text but that of its ids.
+
+Nulls are read as empty texts; an empty text has no ids and decodes to no bytes; an empty table
+gives an empty result.  Repeated rows are encoded each for itself.  Columns other than the id and
+the text are left out, so that none can clash with the results.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,6 +50,10 @@ ADDED_NUMBERS = (
     "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 )
 
+#: About how many characters are encoded at once.
+LONGEST = 1 << 18
+_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[^\\W\\d_])(?=[0-9])|(?<=[0-9])(?=[^\\W\\d_])")
+
 LETTER, NUMBER, OTHER, SHORT, LONG, INNER, BLANK, WIDE, END = range(9)
 NONE, LETTERS, NUMBERS, OTHERS, SPACES, PREFIX, ONE_LEFT, TWO_LEFT = range(8)
 _STATES = range(8)
@@ -201,6 +210,18 @@ def distinct_slices(
     return first, which
 
 
+def portions(text: str) -> Iterator[str]:
+    """A text cut at sure beginnings of tokens, the next one behind every ``LONGEST`` characters."""
+    at = 0
+    while len(text) - at > LONGEST:
+        cut = _CUT.search(text, at + LONGEST)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -335,6 +356,21 @@ class Vocabulary(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        found: list[np.ndarray] = []
+        waiting: list[str] = []
+        held = 0
+        for text in texts:
+            if waiting and held + len(text) > LONGEST:
+                found += self._encoded(waiting)
+                waiting, held = [], 0
+            if len(text) > LONGEST:
+                found.append(np.concatenate([self._encoded([x])[0] for x in portions(text)]))
+            else:
+                waiting.append(text)
+                held += len(text)
+        return found + self._encoded(waiting) if waiting else found
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         whole = "\n".join(texts) + "\n"
         points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         marks = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
@@ -365,7 +401,8 @@ class Vocabulary(dict):
 
     def decode(self, ids: np.ndarray, ends: np.ndarray | None = None) -> bytes:
         """Bytes of the ids; with the tokens' end offsets their length is checked."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        parts = (ids[first : first + LONGEST].tolist() for first in range(0, len(ids), LONGEST))
+        raw = b"".join([b"".join(map(self.bytes_of.__getitem__, part)) for part in parts])
         if ends is not None and len(raw) != (int(ends[-1]) if len(ends) else 0):
             raise ValueError("the ids don't fit their offsets")
         return raw
