@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip, or what it must be able to learn."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -54,7 +55,8 @@ def test_thresholds_are_nested(spark):
     assert all(less[k] <= more[k] for k in less)
 
 
-def test_equal_rows_share_a_budget(spark):
+def test_equal_rows_share_a_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 8)
     rows = [(1, "w " * 10, "a")] * 50 + [(2, "v " * 10, "b")] * 50
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = mixing.mix(df).toPandas()
@@ -85,6 +87,19 @@ def test_bpe_equals_tiktoken(encoder):
         assert words.decode(ids) == text.encode()
 
 
+def test_bpe_cuts_long_texts_where_tokens_begin(encoder, monkeypatch):
+    rng = random.Random(2)
+    parts = ["'", " ", "\n", "s", "ll", "12", "!", " ", "é", "日本", "\x1c", "word", "\u3000", "  "]
+    text = "".join(rng.choice(parts) for _ in range(20_000))
+    words = bpe.vocabulary(RANKS)
+    for most in (1, 7, 100, 4000):
+        monkeypatch.setattr(bpe, "LONGEST", most)
+        assert "".join(bpe.portions(text)) == text and max(map(len, bpe.portions(text))) <= most + 200
+        ids = words.encode(["a", text, "", "b c"])
+        assert [x.tolist() for x in ids] == [encoder.encode_ordinary(x) for x in ("a", text, "", "b c")]
+        assert words.decode(ids[1]) == text.encode()
+
+
 def test_bpe_on_all_classes(encoder):
     texts = [f"a{chr(c)}a 1{chr(c)}1" for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
     for text, ids in zip(texts, bpe.vocabulary(RANKS).encode(texts)):
@@ -191,6 +206,47 @@ def test_toxic_words_are_learned(spark):
     assert {"p_poor", "p_toxic"} <= set(found.columns)
 
 
+def test_chain_against_a_plain_fit(spark, small):
+    """The query's probabilities from its vocabulary by dense logistic regressions, fold by fold."""
+    df, labels = (spark.read.parquet(f"{small}/{x}.parquet") for x in ("documents", "labels"))
+    chain = toxicity.train(df, labels, CATEGORIES)
+    texts = {x["doc_id"]: x["text"] for x in df.collect()}
+    draw = {x["doc_id"]: x["d"] for x in df.select("doc_id", F.xxhash64("text").alias("d")).collect()}
+    seen = {}
+    for x in labels.collect():
+        seen[draw[x["doc_id"]], 1 - x["quality"], x["toxic"]] = x["doc_id"]
+    rows = sorted(seen)
+    features = sorted(chain.vocabulary, key=chain.vocabulary.get)
+
+    def plain(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(text))
+        return [math.log1p(sum(w.startswith(f[:-1]) and len(w) >= len(f) - 1 if f.endswith("*") else w == f for w in words)) for f in features]
+
+    x = np.array([plain(texts[seen[r]]) for r in rows], np.float32).astype(float).reshape(len(rows), len(features))
+    y = np.array([r[1:] for r in rows], float)
+    fold = np.array([r[0] % toxicity.FOLDS for r in rows])
+    ones = np.ones((len(rows), 1))
+    first = np.zeros(len(rows))
+    for f in range(toxicity.FOLDS):
+        use = fold != f
+        first[~use] = toxicity.probability(np.hstack([x, ones])[~use], toxicity.logistic(np.hstack([x, ones])[use], y[use, 0]))
+    w0 = toxicity.logistic(np.hstack([x, ones]), y[:, 0])
+    w1 = toxicity.logistic(np.hstack([x, first[:, None], ones]), y[:, 1])
+    for got in toxicity.predict(df, chain).collect():
+        row = np.array(plain(texts[got["doc_id"]]))
+        p0 = toxicity.probability(np.append(row, 1), w0)
+        assert got["p_poor"] == pytest.approx(p0, abs=1e-4)
+        assert got["p_toxic"] == pytest.approx(toxicity.probability(np.append(row, [p0, 1]), w1), abs=1e-4)
+
+
+def test_toxic_sample_is_bounded_by_texts(spark):
+    rows = [(i, "same words here") for i in range(3000)] + [(5000 + i, f"w{i} other") for i in range(300)]
+    df = spark.createDataFrame(rows, SHAPE)
+    labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    chosen = toxicity.sampled(df, labels, CATEGORIES, sample=100)
+    assert chosen.count() <= 100 and chosen.select("text").distinct().count() == 100
+
+
 def test_later_models_learn_from_out_of_fold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
@@ -225,10 +281,67 @@ def test_binomial_bound_is_exact():
 
 
 def test_cutoffs_keep_their_promise():
-    good = {v: 100 for v in range(20)} | {60: 1}
-    found = quality.cutoffs({("en", "r"): good, ("fr", "r"): {0: 10}}, 2, 1, 0.05, 0.95)
-    rejected = sum(n for v, n in good.items() if v >= found[("en", "r")])
-    assert rejected / sum(good.values()) <= 0.05 and ("fr", "r") not in found
+    good = {"symbols": {v: 100 for v in range(20)} | {60: 1}, "long_words": {0: 1000, 9: 1001}}
+    poor = {"symbols": {64: 5, 60: 50, 3: 10}, "long_words": {0: 60, 9: 5}}
+    order = quality.cutoff_order(good, poor)
+    assert order[0] == ("symbols", 64) and all(rule == "symbols" for rule, _ in order)
+    assert [v for _, v in order] == sorted((v for _, v in order), reverse=True)
+    assert quality.accepted({}, 216, 4, 0.05 / 4, 0.02) == 0 and quality.accepted({}, 220, 4, 0.05 / 4, 0.02) == 4
+    assert quality.accepted({1: 1, 2: 40}, 400, 4, 0.05 / 4, 0.02) == 2
+    rng = np.random.default_rng(0)  # a true risk of 0.03 is accepted in one of twenty holdouts at most
+    wrong = sum(quality.accepted({0: int(rng.binomial(600, 0.03))}, 600, 1, 0.05, 0.02) for _ in range(400))
+    assert wrong <= 30
+
+
+def test_verdicts_against_plain_rules(spark):
+    """The query's verdicts worked out row by row from its labels."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows, labels = [], []
+    for i in range(3000):
+        words = [word() for _ in range(rng.randint(45, 90))]
+        poor = i % 5 == 0
+        if poor or i % 97 == 0:
+            words = [x + rng.choice("#|$&*") * 3 for x in words]
+        rows.append((i, " ".join(words), ("en", "de", None)[i % 3]))
+        if i % 3 or i < 900:
+            labels.append((i, int(not poor)))
+    rows += [(5000 + i, *rows[i][1:]) for i in range(200)]
+    df, y = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = {x["doc_id"]: x for x in quality.judge(df, y).collect()}
+    names = list(quality.rules())
+    value = {}
+    for i, text, _ in rows:
+        words, chars, symbols, dup, repeat, lines = quality.measure(text)
+        share = (symbols / max(chars, 1), repeat / max(words, 1), dup / max(lines, 1), max(max(chars, 1) / max(words, 1) - 4, 0) / 16, 50.0 / max(words, 50))
+        value[i] = [min(math.ceil(x * 64), 64) for x in share]
+    draw = {x["doc_id"]: x["d"] for x in df.select("doc_id", F.xxhash64("text").alias("d")).collect()}
+    part = {x["doc_id"]: x["t"] for x in df.select("doc_id", (F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(1000)) < 250).alias("t")).collect()}
+    texts = {}
+    for i, good in labels:
+        if not found[i]["base_failed"]:
+            texts[rows[i][2], draw[i]] = (i, good)
+    counted = {True: {}, False: {}}
+    for i, good in texts.values():
+        for rule, v in zip(names, value[i]):
+            if part[i]:
+                own = counted[good == 1].setdefault(rule, {})
+                own[v] = own.get(v, 0) + 1
+    order = quality.cutoff_order(counted[True], counted[False])
+    hits = lambda i, steps: [r for r, v in zip(names, value[i]) if any(x == r and v >= c for x, c in order[:steps])]
+    taken = {}
+    for lang in ("en", "de", None):
+        own = [i for (s, _), (i, good) in texts.items() if s == lang and good and not part[i]]
+        taken[lang] = 0
+        for step in range(1, len(order) + 1):
+            bad = sum(bool(hits(i, step)) for i in own)
+            if bad > 0.02 * len(own) or quality.upper_bound(bad, len(own), 0.05 / 3) > 0.02:
+                break
+            taken[lang] = step
+    assert max(taken.values()) > 0
+    for i, _, lang in rows:
+        assert found[i]["failed_rules"] == ",".join(hits(i, taken[lang]))
+        assert found[i]["kept"] == (not found[i]["base_failed"] and not hits(i, taken[lang]))
 
 
 # -- 6
@@ -303,6 +416,22 @@ def test_sharding(spark):
     assert found.text_crc32.tolist() == [zlib.crc32(f"text {i % 7}".encode()) for i in found.doc_id]
 
 
+def test_shards_against_plain_scores(spark, monkeypatch):
+    """Each row's shards by scores worked out in Python, hot and missing keys among them."""
+    monkeypatch.setattr(sharding, "PIECE", 60)
+    rows = [(i, f"text {i % 7}") for i in range(300)] + [(7, "hot")] * 500 + [(None, None)] * 20
+    found = sharding.shard(spark.createDataFrame(rows, SHAPE), (2, 1, 1), parts=4).toPandas()
+
+    def best(key, weights):
+        unit = [(int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for k in range(len(weights))]
+        return max(range(len(weights)), key=lambda k: -weights[k] / math.log(unit[k]))
+
+    for x in found.itertuples():
+        key = "null" if x.doc_id != x.doc_id else int(x.doc_id)
+        assert (x.shard, x.grown_shard) == (best(key, (2, 1, 1)), best(key, (2, 1, 1, 1)))
+    assert len(found) == len(rows) and all(sorted(own.slot) == list(range(len(own))) for _, own in found.groupby("shard"))
+
+
 def test_weighted_shards(spark):
     df = spark.createDataFrame([(i, "") for i in range(4000)], SHAPE)
     counts = sharding.shard(df, (3, 1, 0)).groupBy("shard").count().toPandas().set_index("shard")["count"]

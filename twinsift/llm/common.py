@@ -20,14 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is unset (local tests), a temporary folder takes its place.
+    Where the setting is unset, a local master (tests) gets a temporary folder; a cluster gets none,
+    as its executors couldn't read it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="twinsift-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="twinsift-checkpoint-"))
     return context.getCheckpointDir()
 
 
