@@ -2,7 +2,7 @@
 
 1. ``language_id``: documents whose language the model rejects (among them those without a
    letter) go.
-2. ``near_dedup``: of each component of linked SimHash fingerprints one row stays, that with
+2. ``near_dedup``: of each component of linked wide SimHash fingerprints one row stays, that with
    the smallest id, then the smallest hash of its columns.  A row with a null id stays only if
    its component has no id at all; an id that names rows of several components can stay in each.
 3. ``pii``: personal data gives way to ``<KIND>`` marks.

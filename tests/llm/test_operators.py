@@ -478,6 +478,66 @@ def test_components_against_brute_force(spark, most_pairs):
     assert all(got.get(x, x) == find(x) for x in known)
 
 
+def brute_wide(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    out = []
+    for k in range(simhash.WORDS):
+        bits = [0] * 64
+        for x in shingles:
+            h = xxhash.xxh64_intdigest(x.encode(), 42)
+            if k:
+                h = (h + k * 0x9E3779B97F4A7C15) % 2**64
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+                h ^= h >> 31
+            bits = [b + (h >> i & 1) for i, b in enumerate(bits)]
+        out.append(sum(1 << i for i, b in enumerate(bits) if 2 * b > len(shingles)))
+    return out
+
+
+def wide_link(a, b):
+    apart = [(x ^ y).bit_count() for x, y in zip(a, b)]
+    return apart[0] <= simhash.NEAR and sum(apart) <= simhash.FAR
+
+
+def test_wide_fingerprints():
+    for text in ("Some Words\there é and\x0bthere " * 30 + "end", "", "one", "one TWO", None, "a b c d"):
+        assert simhash.wide_fingerprint(text).tolist() == brute_wide(text)
+        assert simhash.wide_fingerprint(text, block=9).tolist() == brute_wide(text)
+
+
+@pytest.mark.parametrize("n, most_pairs, block", [(10, 1 << 16, 8192), (10, 5, 16), (1 << 25, 1 << 16, 8192), (1 << 25, 5, 7)])
+def test_wide_components_against_brute_force(spark, monkeypatch, n, most_pairs, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(7)
+    bases = [[rng.getrandbits(64) for _ in range(4)] for _ in range(6)]
+    known = []
+    for i in range(240):
+        own = list(bases[i % 6])
+        for _ in range(rng.randint(0, 24)):
+            own[rng.randrange(4)] ^= 1 << rng.randrange(64)
+        known.append(own)
+    root = list(range(len(known)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(known):
+        for j in range(i):
+            if wide_link(a, known[j]):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    assert 6 < len({find(i) for i in range(240)}) < 200
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *map(signed, x)) for i, x in enumerate(known)]
+    df = simhash.checkpointed(spark.createDataFrame(rows, "node long, fp0 long, fp1 long, fp2 long, fp3 long"))
+    got = {x["node"]: x["root"] for x in simhash.components(simhash.wide_links(df, simhash.segments(n), most_pairs=most_pairs)).collect()}
+    assert [got.get(i, i) for i in range(240)] == [find(i) for i in range(240)]
+
+
 def test_near_duplicates_query(spark):
     base = " ".join(f"word{i}" for i in range(400))
     df = spark.createDataFrame([(5, base), (3, base), (9, base.upper()), (1, "other text here"), (2, None), (4, "")], SHAPE)

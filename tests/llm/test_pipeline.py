@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import tiktoken
 from public_tokenizers import PATTERN
-from test_operators import brute_fingerprint, brute_own_spans, brute_spans
+from test_operators import brute_own_spans, brute_spans, brute_wide, wide_link
 
 import corpus_pipeline
 from twinsift.llm import bpe, langid
@@ -61,7 +61,7 @@ def test_pipeline_equals_the_plain_version(spark, small):
     rejected = model.predict([t for _, t, _ in rows])[2]
     rows = [r for r, gone in zip(rows, rejected) if not gone]
 
-    prints = {i: brute_fingerprint(t) for i, t, _ in rows}
+    prints = {i: brute_wide(t) for i, t, _ in rows}
     root = {i: i for i in prints}
 
     def find(x):
@@ -72,7 +72,7 @@ def test_pipeline_equals_the_plain_version(spark, small):
     ids = sorted(prints)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if wide_link(prints[a], prints[b]):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     rows = [(i, redacted(t), s) for i, t, s in rows if find(i) == i]

@@ -13,17 +13,26 @@ own.  What is fetched is verified by its complete distance.  A half that would g
 an exact other way, the fingerprints one bit away from each (two fingerprints share one of these, or
 each other, if and only if they differ in two bits at most), linked as stars.
 
+``representatives`` links wider, by fingerprints of ``WORDS`` times 64 bits whose first 64 are the same as
+above: within ``NEAR`` bits of the first 64 and ``FAR`` of all.  The first 64 are cut into segments, few
+long ones for many fingerprints and more short ones for few; a segment's ball is so large that by
+the pigeonhole principle no pair is missed, and what is fetched is verified by both complete
+distances.  Where a segment's table would give more than ``most_pairs`` pairs, its fingerprints are
+compared in blocks, of which each gives the edges of a spanning forest only.
+
 Null and wordless texts have fingerprint zero and link like any other; rows with a null id
 belong to the component but never name it; a component without any id is named null.
-Repeated rows stay as they are.  An empty table gives an empty result.
+Repeated rows stay as they are.  An empty table gives an empty result.  Very long texts are hashed
+whole, in blocks.  ``near_duplicates`` leaves other columns out, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,6 +41,11 @@ from pyspark.sql import functions as F
 from .common import blocks, checkpointed
 
 SEED, SHINGLE, HALF = 42, 3, 32
+#: Words of a wide fingerprint, and how many bits of the first and of all may differ: five-word shingles
+#: of which four in five are common mostly stay within these, and few of which less are.
+WORDS, NEAR, FAR = 4, 7, 30
+#: Fingerprints of a block; two blocks are compared in one task.
+BLOCK = 8_192
 
 
 def _word_blocks(raw: bytes, size: int) -> Iterator[list[bytes]]:
@@ -47,42 +61,66 @@ def _word_blocks(raw: bytes, size: int) -> Iterator[list[bytes]]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 8 << 20) -> int:
     """64 bits, the majority of the shingles' hashes; works through long texts in blocks."""
-    counts, total = np.zeros(64, np.int64), 0
+    return int(wide_fingerprint(text, shingle, block, 1)[0])
+
+
+def wide_fingerprint(
+    text: str | None, shingle: int = SHINGLE, block: int = 8 << 20, words: int = WORDS
+) -> np.ndarray:
+    """``words`` times 64 bits; the first 64 are those of the hashes themselves, the others of hashes of these."""
+    counts, total = np.zeros((words, 64), np.int64), 0
     carried: list[bytes] = []
-    for words in _word_blocks((text or "").encode().lower(), block):
-        words = carried + words
-        carried = words[max(0, len(words) - shingle + 1) :]
-        if len(words) < shingle:
+
+    def add(hashes: np.ndarray) -> None:
+        for first in range(0, len(hashes), 1 << 14):
+            part = hashes[first : first + (1 << 14)]
+            for k in range(words):
+                bits = np.unpackbits((_mixed(part, k) if k else part).view(np.uint8), bitorder="little")
+                counts[k] += bits.reshape(-1, 64).sum(0, dtype=np.uint32)
+
+    for found in _word_blocks((text or "").encode().lower(), block):
+        found = carried + found
+        carried = found[max(0, len(found) - shingle + 1) :]
+        if len(found) < shingle:
             continue
-        joined = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        joined = b" ".join(found)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
         ends = np.cumsum(sizes)
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
+        starts = (ends - sizes)[: len(found) - shingle + 1].tolist()
         stops = (ends[shingle - 1 :] - 1).tolist()
         slices = [joined[a:b] for a, b in zip(starts, stops)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(SEED)), "<u8", len(slices))
-        for first in range(0, len(hashes), 1 << 16):
-            bits = np.unpackbits(hashes[first : first + (1 << 16)].view(np.uint8), bitorder="little")
-            counts += bits.reshape(-1, 64).sum(0, dtype=np.int64)
-        total += len(hashes)
+        add(np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(SEED)), "<u8", len(slices)))
+        total += len(slices)
     if not total and carried:
-        return xxhash.xxh64_intdigest(b" ".join(carried), SEED)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
+        add(np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], "<u8"))
+        total = 1
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits of each hash, by the published finaliser of SplitMix64."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(id, more..., fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str, words: int = 1
+) -> DataFrame:
+    """(id, more..., fp...): the fingerprint as signed 64-bit integers, ``fp`` or ``fp0`` to ``fp3``."""
     kept = [id_col, *more]
+    names = ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
     fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(kept) + 1) if i != 1], pa.array(found.view(np.int64))], [*kept, "fp"]
-            )
+            found = np.array([wide_fingerprint(x, words=words) for x in batch.column(1).to_pylist()], np.uint64)
+            columns = [batch.column(i) for i in range(len(kept) + 1) if i != 1]
+            columns += [pa.array(x) for x in found.reshape(-1, words).T.copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
-    return df.select(id_col, text_col, *more).mapInArrow(run, f"{fields}, fp long")
+    return df.select(id_col, text_col, *more).mapInArrow(run, fields + "".join(f", {x} long" for x in names))
 
 
 def _bits(n: int) -> Column:
@@ -184,8 +222,85 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def segments(n: int, near: int = NEAR) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of each segment of the first 64 bits, for ``n`` fingerprints.
+
+    If two fingerprints differ in ``near`` bits at most, at least one of their segments differs
+    in its radius at most: the radii and one for each add up to one more than ``near``.
+    """
+    many = 4 if n < 1 << 22 else 3 if n < 1 << 30 else 2
+    widths = [64 // many + (k < 64 % many) for k in range(many)]
+    return [
+        (sum(widths[:k]), width, (near + 1) // many + (k < (near + 1) % many) - 1) for k, width in enumerate(widths)
+    ]
+
+
+def wide_links(distinct: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, far: int = FAR, most_pairs: int = 1 << 16) -> DataFrame:
+    """(a, b), nodes that link: enough to connect all that links connect.
+
+    ``distinct`` has (node, fp0...), best checkpointed: it is read several times.
+    """
+    prints = [x for x in distinct.columns if x != "node"]
+    held, asked = [], []
+    for number, (shift, width, radius) in enumerate(cuts):
+        key = F.shiftrightunsigned("fp0", shift).bitwiseAND((1 << width) - 1)
+        flips = [sum(1 << i for i in at) for r in range(1, radius + 1) for at in combinations(range(width), r)]
+        # of two that differ the one asks that has the lowest differing bit unset
+        asks = F.filter(F.array(*map(F.lit, flips or [0])), lambda x: key.bitwiseAND(x.bitwiseAND(-x)) == 0)  # noqa: B023
+        ball = F.concat(F.array(key), F.transform(asks, key.bitwiseXOR)) if flips else F.array(key)
+        held.append(F.struct(F.lit(number).alias("cut"), key.cast("long").alias("key")))
+        asked.append(F.transform(ball, lambda x: F.struct(F.lit(number).alias("cut"), x.cast("long").alias("key"))))  # noqa: B023
+    held = distinct.select("*", F.explode(F.array(*held)).alias("k")).select("k.cut", "k.key", "node", *prints)
+    asked = distinct.select("*", F.explode(F.flatten(F.array(*asked))).alias("k")).select("k.cut", "k.key", "node", *prints)
+    count = lambda rows, name: rows.groupBy("cut", "key").agg(F.count("*").alias(name))
+    sizes = count(held, "n_held").join(count(asked, "n_asked"), ["cut", "key"])
+    hot = checkpointed(sizes.where(F.col("n_held") * F.col("n_asked") > most_pairs))
+    calm = F.broadcast(hot.select("cut", "key")) if hot.count() <= 100_000 else hot.select("cut", "key")
+    a, b = asked.join(calm, ["cut", "key"], "left_anti").alias("a"), held.join(calm, ["cut", "key"], "left_anti").alias("b")
+    differ = lambda names: sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in names), F.lit(0))
+    pairs = (
+        a.join(b, (F.col("a.cut") == F.col("b.cut")) & (F.col("a.key") == F.col("b.key")))
+        .where((F.col("a.node") != F.col("b.node")) & (differ(prints[:1]) <= near) & (differ(prints) <= far))
+        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    )
+    # crowded keys: blocks of those who ask meet blocks of those held
+    n_blocks = lambda x: F.ceil(F.col(x) / BLOCK)
+    own_block = lambda x: F.pmod(F.xxhash64("node"), n_blocks(x))
+    every_block = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), n_blocks(x) - 1))
+    crowd = asked.join(hot, ["cut", "key"]).select("cut", "key", own_block("n_asked").alias("x"), every_block("n_held").alias("y"), "node", *prints)
+    table = held.join(hot, ["cut", "key"]).select("cut", "key", every_block("n_asked").alias("x"), own_block("n_held").alias("y"), *[F.col(x).alias(x) for x in ("node", *prints)])
+
+    def forest(asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
+        edges = _forest(_bits_of(asks, prints), _bits_of(has, prints), near, far)
+        return pd.DataFrame({"a": asks["node"].to_numpy()[edges[:, 0]], "b": has["node"].to_numpy()[edges[:, 1]]}).query("a != b")
+
+    keys = ("cut", "key", "x", "y")
+    found = crowd.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(forest, "a long, b long")
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.unionByName(found).select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
+
+
+def _bits_of(rows: pd.DataFrame, prints: list[str]) -> np.ndarray:
+    return rows[prints].to_numpy(np.int64).view(np.uint64).reshape(-1, len(prints))
+
+
+def _forest(asks: np.ndarray, has: np.ndarray, near: int, far: int) -> np.ndarray:
+    """(place in asks, place in has) of links that connect all that these rows' links connect."""
+    label, edges = np.arange(len(has)), []
+    for first in range(0, len(asks), 256) if len(has) else ():
+        close = np.bitwise_count(asks[first : first + 256, None, 0] ^ has[None, :, 0]) <= near
+        for row, near_by in enumerate(close, first):
+            at = np.flatnonzero(near_by)
+            at = at[np.bitwise_count(asks[row] ^ has[at]).sum(1, dtype=np.int64) <= far]
+            groups, one = np.unique(label[at], return_index=True)
+            edges += [(row, at[i]) for i in one.tolist()]
+            for other in groups[1:].tolist():
+                label[label == other] = groups[0]
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all columns: the smallest id, null last, then the smallest hash.
+    """One row of each wide component, with all columns: the smallest id, null last, then the smallest hash.
 
     Rows are told apart by 128 bits over all their columns, not by their ids.
     """
@@ -193,15 +308,17 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows += [x.isNull() for x in rows]  # a null leaves a hash as it is
     key = F.struct(F.xxhash64(*rows).alias("a"), F.xxhash64(F.lit(1), *rows).alias("b"))
     keyed = df.select(F.col(f"`{id_col}`").alias("of"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
-    found = checkpointed(fingerprints(keyed, "of", "text", "key"))
-    roots = components(links(checkpointed(found.select("fp").distinct())))
+    found = checkpointed(fingerprints(keyed, "of", "text", "key", words=WORDS))
     # equal rows have equal fingerprints, so that their component is the same
+    prints = [f"fp{k}" for k in range(WORDS)]
     rank = F.struct(F.col("of").isNull().alias("unnamed"), "of", "key")
-    by_print = found.groupBy("fp", rank.alias("rank")).agg(F.count("*").alias("n"))
-    by_print = by_print.groupBy("fp").agg(F.min(F.struct("rank", "n")).alias("least"))
+    by_print = found.groupBy(*prints, rank.alias("rank")).agg(F.count("*").alias("n"))
+    by_print = by_print.groupBy(*prints).agg(F.min(F.struct("rank", "n")).alias("least"))
+    nodes = checkpointed(by_print.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(wide_links(nodes.select("node", *prints), segments(nodes.count())))
     chosen = checkpointed(
-        by_print.join(roots, F.col("fp") == F.col("node"), "left")
-        .groupBy(F.coalesce("root", "fp").alias("component")).agg(F.min("least").alias("least"))
+        nodes.select("node", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+        .groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("least").alias("least"))
         .select(F.col("least.rank.key").alias("stays"), F.col("least.n").alias("n"))
     )
 
