@@ -1,9 +1,12 @@
 import json
 import os
 
+from pyspark.sql import functions as F
 from test_sources import make, photo, png  # noqa: F401
 
 from twinsift import cli, scan
+from twinsift.operators import exact
+from twinsift.sources import tree
 
 
 def test_exact_and_similar_scan(spark, make):  # noqa: F811
@@ -30,9 +33,58 @@ def test_hidden_scan(spark, make):  # noqa: F811
     assert {(os.path.relpath(x["path"], root), x["size"], x["preselect"]) for x in items.collect()} == {(".x", 1, False), ("a/b~", 2, True), (".d", 4, False)}
 
 
-def test_command_line(spark, make, capsys):  # noqa: F811
-    root = make({"a": b"same", "b": b"same", "c": b"else"})
-    assert cli.main(["scan", root, "--json"]) == 0
-    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert len(rows) == 1 and [os.path.basename(f["path"]) for f in rows[0]["files"]] == ["a", "b"]
-    assert cli.main(["scan", root, "--similar", "99"]) == 2
+def test_command_line(spark, make, capsys, monkeypatch, tmp_path_factory):  # noqa: F811
+    home = tmp_path_factory.mktemp("home")
+    for kind in ("CONFIG", "CACHE"):
+        monkeypatch.setenv(f"XDG_{kind}_HOME", str(home / kind))
+    os.makedirs(home / "CONFIG" / "twinsift")
+    (home / "CONFIG" / "twinsift" / "settings.toml").write_text("min_size = 0\ncolour = 1\n")
+    root = make({"a": b"same", "b": b"same", "c": b"else", "e": b"", "x.png": b"nothing", "_y.PNG": png(photo(1, 480, 640)), ".z.Png": png(photo(1))})
+    os.link(os.path.join(root, "a"), os.path.join(root, "l"))
+    assert cli.main(["scan", root, "--json", "--similar", "--paranoid"]) == 0
+    out = capsys.readouterr()
+    found, base = json.loads(out.out), lambda xs: [os.path.basename(x) for x in xs]
+    assert "unknown setting: colour" in out.err and found["root"] == root and found["files_scanned"] == 8 and not found["cancelled"]
+    group = found["groups"][0]
+    assert len(found["groups"]) == 1 and base(f["path"] for f in group["files"]) == ["a", "b"] and base(group["hardlinked"]) == ["l"]
+    assert group["files"][0]["verdict"] == "keep" and found["reclaimable"] == group["reclaimable"] == 4
+    assert base(found["empty_files"]) == ["e"] and [base(x) for x in found["hardlink_sets"]] == [["a", "l"]]
+    assert [(os.path.basename(x["path"]), x["reason"]) for x in found["skipped"]] == [("x.png", "cannot be decoded")]
+    pictures = found["similar_groups"]
+    assert len(pictures) == 1 and base(x["path"] for x in pictures[0]["members"]) == ["_y.PNG", ".z.Png"]
+    assert pictures[0]["members"][0]["width"] == 640 and pictures[0]["reclaimable"] == pictures[0]["members"][1]["size"]
+    assert cli.main(["scan", root]) == 0
+    text = capsys.readouterr().out
+    assert "8 files scanned, 1 duplicate groups, 4 B reclaimable" in text and "hard link" in text and "empty file" in text
+    assert cli.main(["hidden", root, "--json"]) == 0
+    items = json.loads(capsys.readouterr().out)
+    assert [x["type"] for x in items["items"]] == ["file"] and items["reclaimable_preselected"] == 0 and items["skipped"] == []
+    assert cli.main(["cache", "clear"]) == 0 and "cleared 3 cached hashes" in capsys.readouterr().out
+    assert cli.main(["scan", root, "--threshold", "99"]) == 2 and cli.main(["scan", root + "/nowhere"]) == 2 and cli.main([]) == 0
+
+
+def test_second_scan_reads_nothing(spark, make, monkeypatch, tmp_path_factory):  # noqa: F811
+    root, cache = make({"a": b"same", "b": b"same", "c": b"else", "d": b"other size"}), str(tmp_path_factory.mktemp("home") / "cache")
+    first = scan.exact_scan(spark, root, cache=cache)
+    whole, read = tree._read, []
+
+    def counted(files, column, edge):
+        read.append((column, files.count()))
+        return whole(files, column, edge)
+
+    monkeypatch.setattr(tree, "_read", counted)
+    again = scan.exact_scan(spark, root, cache=cache)
+    assert read == [("partial", 0), ("full", 0)]
+    assert sorted(map(str, again.members.collect())) == sorted(map(str, first.members.collect()))
+    with open(os.path.join(root, "b"), "wb") as file:
+        file.write(b"elsf")
+    read.clear()
+    assert scan.exact_scan(spark, root, cache=cache).members.count() == 0 and read == [("partial", 1), ("full", 0)]
+
+
+def test_paranoid_tells_equal_digests_apart(spark, make):  # noqa: F811
+    root = make({"a": b"one", "b": b"one", "c": b"two", "d": b"two"})
+    rows = tree.scan(spark, root)[0].withColumns({"partial": F.lit("p"), "full": F.lit("f"), "links": F.array().cast("array<string>")})
+    told, failed = tree.told_apart(rows)
+    groups = exact.grouped(told, "twin").groupBy("group_id").agg(F.count("*").alias("n")).collect()
+    assert [x["n"] for x in groups] == [2, 2] and failed.count() == 0

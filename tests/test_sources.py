@@ -46,7 +46,7 @@ def test_staged_digests(spark, make):
     ends = b"h" * edge, b"t" * edge
     root = make({"a": ends[0] + b"x" * 9 + ends[1], "b": ends[0] + b"x" * 9 + ends[1], "c": ends[0] + b"y" * 9 + ends[1], "d": b"1", "e": b"2", "f": b"333"})
     found, _ = tree.scan(spark, root)
-    done, failed = tree.with_digests(found)
+    done, failed, _ = tree.with_digests(found)
     by = {os.path.basename(x["path"]): x["full"] for x in done.collect()}
     assert set(by) == {"a", "b", "c"} and by["a"] == by["b"] != by["c"] and failed.count() == 0
 
@@ -54,10 +54,10 @@ def test_staged_digests(spark, make):
 def test_settings(tmp_path):
     path = str(tmp_path / "x" / "s.toml")
     assert settings.load(path) == (settings.Settings(), [])
-    own = settings.Settings(workers=3, exclude=('a"b', "c\\d"), delete_mode="permanent", paranoid=True)
+    own = settings.Settings(workers=3, exclude=('a"b', "c\\d"), default_delete_mode="permanent", paranoid=True)
     settings.save(own, path)
     assert settings.load(path) == (own, [])
-    for line, key in (("workers = 65", "workers"), ("workers = true", "workers"), ("min_size = -1", "min_size"), ('delete_mode = "x"', "delete_mode"), ("exclude = [1]", "exclude"), ("similarity_threshold = 17", "similarity_threshold")):
+    for line, key in (("workers = 65", "workers"), ("workers = true", "workers"), ("min_size = -1", "min_size"), ('default_delete_mode = "x"', "default_delete_mode"), ("exclude = [1]", "exclude"), ("similarity_threshold = 17", "similarity_threshold")):
         (tmp_path / "bad").write_text(line)
         with pytest.raises(ValueError, match=key):
             settings.load(str(tmp_path / "bad"))
@@ -124,7 +124,8 @@ def test_similar_images_end_to_end(spark, make):
     from twinsift.operators import similar
 
     root = make({"big.png": png(photo(1, 480, 640)), "small.png": png(photo(1)), "other.png": png(photo(9)), "bad.png": b"nothing"})
-    rows = image_source.hashed(spark, [root])
+    names = [(os.path.join(root, x),) for x in ("big.png", "small.png", "other.png", "bad.png")]
+    rows = image_source.hashed(spark.createDataFrame(names, "path string"))
     assert [os.path.basename(x["path"]) for x in rows.where("error is not null").collect()] == ["bad.png"]
     good = rows.where("size(variants) > 0").withColumn("idx", F.element_at(F.map_from_arrays(F.array(*[F.lit(os.path.join(root, x)) for x in ("big.png", "small.png", "other.png")]), F.array(F.lit(0), F.lit(1), F.lit(2))), F.col("path")).cast("long"))
     found = similar.hamming_candidates(good, 12).withColumn("by_time", F.lit(False))

@@ -103,5 +103,10 @@ def notes(item_protected: Column, home_dot: Column) -> Column:
     )
 
 
+def is_risky(protected: Column, home_dot: Column) -> Column:
+    """Whether selecting an item asks for a confirmation of its own."""
+    return protected | home_dot
+
+
 def reclaimable_preselected(found: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.sum(F.when(F.col("preselect"), F.col("size"))), F.lit(0)).alias("reclaimable_preselected"), F.count_if("preselect").alias("n"))

@@ -7,8 +7,7 @@
 from __future__ import annotations
 
 import tempfile
-
-
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,11 +25,20 @@ THRESHOLDS = {"strict": 4, "normal": 8, "loose": 12}
 BLOCK = 2048
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Rounds are written to the folder of ``spark.checkpoint.dir``; a local one if unset."""
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """Rounds are written to the folder of ``spark.checkpoint.dir``; if unset, a local master gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinsift-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="twinsift-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    ensure_checkpoints(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def parse_threshold(text: str) -> int:
@@ -76,12 +84,14 @@ def collapse_exact(images: DataFrame, recommended: DataFrame) -> DataFrame:
 def hamming_candidates(hashes: DataFrame, bound: int, block: int = BLOCK) -> DataFrame:
     """(i, j, variant, dp, dd) of pairs i < j of which one variant is near in both hashes.
 
-    Bounds of 12 and more leave nothing for an index to prune, so that all pairs are
+    At bounds of 12 and more an index of 64 bits has to look up thousands of keys for each of
+    eight variants, more than there are images in a block, so that all pairs are
     compared, block by block: packed blocks meet each other, a task holds two of them and
-    no row is ever joined with another.  Of all eight variants the best is reported, by the
+    no row is ever joined with another; few images make smaller blocks, so that no core is idle.  Of all eight variants the best is reported, by the
     larger of its two distances, then their sum, then its number.
     """
-    n_blocks = max(1, -(-hashes.count() // block))
+    n = hashes.count()
+    n_blocks = max(1, -(-n // block), min(6, n // 256))
     spread = F.pmod(F.xxhash64("idx"), F.lit(n_blocks)).cast("int")
     rows = hashes.select("idx", F.col("variants.p").alias("vp"), F.col("variants.d").alias("vd"), "phash", "dhash", spread.alias("b"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
@@ -109,10 +119,10 @@ def _near(a: pd.DataFrame, b: pd.DataFrame, bound: int) -> pd.DataFrame:
         part = slice(first, first + 128)
         hit = np.zeros((len(ia[part]), len(ib)), bool)
         for k in range(vp.shape[1]):
-            close = np.bitwise_count(vp[part, k, None] ^ p) <= bound
-            at = np.nonzero(close)
-            good = np.bitwise_count(vd[part][at[0], k] ^ d[at[1]]) <= bound
-            hit[at[0][good], at[1][good]] = True
+            at = np.nonzero(np.bitwise_count(vp[part, k, None] ^ p) <= bound)
+            if len(at[0]):
+                good = np.bitwise_count(vd[part][at[0], k] ^ d[at[1]]) <= bound
+                hit[at[0][good], at[1][good]] = True
         hit &= ia[part, None] < ib
         r, c = np.nonzero(hit)
         dp = np.bitwise_count(vp[part][r] ^ p[c, None]).astype(np.int32)
@@ -178,7 +188,8 @@ def leader_clusters(ranked: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``ranked`` has (idx, rank), ranks distinct; ``edges`` has (i, j).  Each round all that no better undecided
     neighbour precedes lead, and their neighbours are decided; rounds are as many as the longest
-    chain of ever worse neighbours needs.  Every round is written to the checkpoint folder.
+    chain of ever worse neighbours needs.  A round reads the links between undecided images only, and
+    what it leaves of these and of the images is written to the checkpoint folder.
     """
     ensure_checkpoints(ranked.sparkSession)
     edges = edges.select("i", "j").checkpoint()
@@ -186,24 +197,31 @@ def leader_clusters(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     rank_of = ranked.select(F.col("idx").alias("j"), F.col("rank").alias("other"))
     links = both.join(ranked.select(F.col("idx").alias("i"), F.col("rank").alias("own")), "i").join(rank_of, "j").select("own", "other")
     links = links.checkpoint()
-    state = ranked.select(F.col("rank").alias("own"), F.lit(None).cast("boolean").alias("leads")).checkpoint()
-    while not state.where("leads is null").isEmpty():
-        live = state.where("leads is null").select("own")
-        blocked = (
-            links.where("other < own").join(live.select(F.col("own").alias("other")), "other", "left_semi")
-            .select("own").distinct().withColumn("blocked", F.lit(True))
-        )
-        fresh = live.join(blocked, "own", "left_anti")
-        reached = links.join(fresh.select(F.col("own").alias("other")), "other", "left_semi").select("own").distinct()
-        state = (
-            state.join(fresh.withColumn("fresh", F.lit(True)), "own", "left")
-            .join(reached.withColumn("reached", F.lit(True)), "own", "left")
-            .select("own", F.coalesce("leads", "fresh", ~F.col("reached")).alias("leads"))
-            .checkpoint()
+    live, open_links = ranked.select(F.col("rank").alias("own")), links
+    lead: list[DataFrame] = []
+    while True:
+        # who has a better undecided neighbour waits
+        state = live.join(
+            open_links.where("other < own").select("own").distinct().withColumn("blocked", F.lit(True)), "own", "left"
+        ).checkpoint()
+        fresh = state.where("blocked is null").select("own")
+        lead.append(fresh)
+        waiting = state.where("blocked").select("own")
+        if waiting.isEmpty():
+            break
+        reached = open_links.join(fresh.select(F.col("own").alias("other")), "other", "left_semi").select("own").distinct()
+        live = waiting.join(reached, "own", "left_anti").checkpoint()
+        if live.isEmpty():
+            break
+        open_links = (
+            open_links.join(live, "own", "left_semi")
+            .join(live.select(F.col("own").alias("other")), "other", "left_semi").checkpoint()
         )
-    leaders = state.where("leads").select(F.col("own").alias("other"))
+    leaders = reduce(DataFrame.unionByName, lead).select(F.col("own").alias("other")).checkpoint()
     best = links.join(leaders, "other", "left_semi").groupBy("own").agg(F.min("other").alias("best"))
-    chosen = state.join(best, "own", "left").select("own", F.when(F.col("leads"), F.col("own")).otherwise(F.col("best")).alias("led"))
+    leads = leaders.select(F.col("other").alias("own"), F.lit(True).alias("leads"))
+    everyone = ranked.select(F.col("rank").alias("own")).join(leads, "own", "left").join(best, "own", "left")
+    chosen = everyone.select("own", F.when(F.col("leads"), F.col("own")).otherwise(F.col("best")).alias("led"))
     ids = ranked.select("idx", F.col("rank").alias("own"))
     names = ranked.select(F.col("idx").alias("leader"), F.col("rank").alias("led"))
     return chosen.join(ids, "own").join(names, "led").select("idx", "leader")

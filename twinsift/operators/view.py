@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import exact
+from . import exact, keep
 
 SORTS = ("reclaimable", "size", "count", "name", "path")
 
@@ -58,5 +58,30 @@ def statuses(recommended: DataFrame, overrides: DataFrame, protected: Column) ->
     return joined.select("group_id", "path", "size", checked.alias("checked"), status.alias("status"))
 
 
+def similar_statuses(recommended: DataFrame, overrides: DataFrame, protected: Column) -> DataFrame:
+    """(group_id, path, checked, status, suggestion): only what was overridden is checked, advice is beside it."""
+    joined = recommended.join(overrides.select("path", "selected"), "path", "left")
+    checked = ~protected & F.coalesce("selected", F.lit(False))
+    status = F.when(protected, "protected").when(checked, "delete").otherwise("keep")
+    return joined.select("group_id", "path", "size", checked.alias("checked"), status.alias("status"), F.col("verdict").alias("suggestion"))
+
+
+def similar_groups(recommended: DataFrame) -> DataFrame:
+    """(group_id, n, reclaimable, place): what all but each group's best free, most first."""
+    freed = F.sum(F.when(F.col("rank") > 1, F.col("size")).otherwise(0))
+    groups = recommended.groupBy("group_id").agg(F.count("*").alias("n"), freed.alias("reclaimable"))
+    return keep.numbered(groups, [F.desc("reclaimable"), F.col("group_id")], "place")
+
+
+def similar_totals(recommended: DataFrame) -> DataFrame:
+    freed = F.sum(F.when(F.col("rank") > 1, F.col("size")).otherwise(0))
+    return recommended.agg(F.count_distinct("group_id").alias("n_groups"), F.count("*").alias("n_images"), F.coalesce(freed, F.lit(0)).alias("reclaimable"))
+
+
+def shown_time(mtime_ns: Column) -> Column:
+    """A modification time to the minute, in the session's zone."""
+    return F.date_format(F.timestamp_seconds(F.floor(mtime_ns / 1_000_000_000)), "yyyy-MM-dd HH:mm")
+
+
 def selection(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if("checked").alias("n_selected"), F.coalesce(F.sum(F.when(F.col("checked"), F.col("size"))), F.lit(0)).alias("selected_size"))

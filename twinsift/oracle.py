@@ -222,7 +222,8 @@ ORACLES: dict[str, str] = {
     "selection_totals": STATUS + " select count(*) filter (checked) as n_selected, coalesce(sum(size) filter (checked), 0)::bigint as selected_size from checked",
     "scan_totals": BASE + f" select (select count(*) from files) as files_scanned, count(*) as n_groups, coalesce(sum(reclaimable), 0)::bigint as reclaimable from ({GROUPS})",
     "exact_json": BASE + """ select group_id, concat('{"hash":"', hash, '","size":', size, ',"reclaimable":', size * (count(*) - 1), ',"files":[',
-      string_agg(concat('{"path":"', path, '","size":', size, ',"mtime_ns":', mtime_ns, '}'), ',' order by path), ']}') as json
+      string_agg(concat('{"path":"', path, '","size":', size, ',"mtime_ns":', mtime_ns, '}'), ',' order by path), '],"hardlinked":[',
+      array_to_string(list_transform(list_sort(flatten(list(links))), lambda x: concat('"', x, '"')), ','), ']}') as json
       from members group by group_id, hash, size""",
     "hidden_items": HIDDEN + """ select *, concat_ws('; ', case when protected then 'Protected: essential configuration' end,
       case when home_dot then 'Inside a hidden folder of your home' end) as notes from hidden""",
@@ -307,6 +308,36 @@ ORACLES["leader_clusters"] = (MERGED + META[len(HASHES) :]).replace("with signs"
 select n.idx, l.idx as leader from nearby n, chosen join nearby l
   on l.rank = case when list_contains(leaders, n.rank) then n.rank else list_min(list_intersect(n.others, leaders)) end"""
 
+_BEST = META + f""", ranked as (select *, row_number() over (partition by group_id order by {ORDER})::int as rank from keyed)"""
+_SHIELD = _under("path", "/r/Downloads")
+ORACLES |= {
+    "plan_total_size": PLAN + " select count(*) as n, coalesce(sum(size), 0)::bigint as total_size from planned",
+    "plan_decided": RECOMMENDED + SELECTED.format(source="members") + _LAST.replace(" select concat('every", " , final as (select concat('every", 1) + f""")
+      select path, 'planned' as what from recommended where not kept
+      union all select reason, 'refused' from final
+      union all select concat(path, ': not part of any duplicate group'), 'refused' from selection where path not in (select path from members)
+      union all select concat(path, ': is in a protected folder'), 'refused' from selection where {SHIELDED}
+      union all select 'nothing selected', 'refused'""",
+    "plan_similar": _BEST + f""" select group_id, path, size, (select count(*) from ranked o where o.group_id = r.group_id and not (rank > 1 and idx % 5 <> 0)) as n_keepers
+      from ranked r where rank > 1 and idx % 5 <> 0 and not exists (select 1 from ranked where rank > 1 and idx % 5 <> 0 and {_SHIELD})""",
+    "plan_similar_refusals": META + f""" select concat(path, ': is in a protected folder') as reason from meta where (idx % 3 = 0 or group_id = '7') and {_SHIELD}
+      union all select concat('every image in the similar group of ', regexp_extract(min(path), '[^/]*$'), ' is selected; at least one must be kept')
+        from meta group by group_id having bool_and(idx % 3 = 0 or group_id = '7')
+      union all select '/r/nowhere.jpg: not part of any similar-image group'
+      union all select 'hard links are never used for similar images: they are different pictures, so linking would replace one with the other'""",
+    "similar_status": _BEST + f""" select group_id, path, not {_SHIELD} and idx % 8 = 0 as checked,
+      case when {_SHIELD} then 'protected' when idx % 8 = 0 then 'delete' else 'keep' end as status,
+      case when rank = 1 or {_SHIELD} then 'keep' else 'delete' end as suggestion from ranked""",
+    "similar_group_order": _BEST + """ select group_id, count(*) as n, coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable,
+      row_number() over (order by coalesce(sum(size) filter (rank > 1), 0) desc, group_id) - 1 as place from ranked group by group_id""",
+    "similar_totals": _BEST + """ select count(distinct group_id) as n_groups, count(*) as n_images,
+      coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable from ranked""",
+    "hidden_risky": HIDDEN + " select path, size from hidden where protected or home_dot",
+    "mtime_shown": BASE + " select path, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d %H:%M') as shown from files",
+    "gone_paths": ORACLES["dry_run_hardlink"].replace(" select path, case when problem", " , results as (select path, case when problem", 1)
+      + ") select distinct path from results where status = 'already hard-linked'",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from ..operators.similar import checkpointed
 
 TRASH, PERMANENT, HARDLINK = "trash", "permanent", "hardlink"
 #: What can come of an item.
@@ -76,6 +77,29 @@ def plan(members: DataFrame, selection: DataFrame) -> DataFrame:
     )
 
 
+def decide(
+    members: DataFrame, selection: DataFrame, protected: Sequence[str] = (), mode: str = TRASH, similar: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(reasons, planned): the plan of a selection, empty if there is any reason to refuse it."""
+    reasons = refusals(members, selection, protected, mode, similar)
+    nothing = members.sparkSession.createDataFrame([("nothing selected",)], "reason string")
+    reasons = reasons.unionByName(nothing.join(selection.agg(F.count("*").alias("n")).where("n = 0"), how="cross").select("reason"))
+    planned = plan(members, selection)
+    if mode == HARDLINK and not similar:
+        reasons = reasons.unionByName(hardlink_problem(planned))
+    reasons = checkpointed(reasons)
+    return reasons, planned if reasons.isEmpty() else planned.limit(0)
+
+
+def plan_totals(planned: DataFrame) -> DataFrame:
+    return planned.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"))
+
+
+def gone(results: DataFrame) -> DataFrame:
+    """The paths that no list shows any more: done, or already one file with the kept copy."""
+    return results.where(F.col("status").isin(DONE, LINKED)).select("path").distinct()
+
+
 def hardlink_problem(planned: DataFrame) -> DataFrame:
     """The first item, by group and path, that can't be linked; no row if all can."""
     why = F.when(F.col("link_target").isNull(), F.concat("path", F.lit(": no kept copy to link to"))).when(
@@ -103,26 +127,41 @@ def similar_groups_after(members: DataFrame, gone: DataFrame) -> DataFrame:
     )
 
 
-def changed(now: str = "now") -> Column:
-    """Why a planned row differs from its row in a new listing (columns ``now_...``); else null."""
+#: The bits of a mode that tell what kind of thing a path is, those of a folder and of a regular file.
+KIND, FOLDER, REGULAR = 0o170000, 0o040000, 0o100000
+
+
+def changed(now: str = "now", with_mode: bool = False) -> Column:
+    """Why a planned row differs from its row in a new listing (columns ``now_...``); else null.
+
+    With modes, the kind must be as it was (a regular file, where it wasn't known), and a
+    folder's size says nothing.
+    """
     same = [F.col(c).eqNullSafe(F.col(f"{now}_{c}")) for c in ("size", "mtime_ns", "inode", "device")]
+    if with_mode:
+        was, there = F.col("mode").bitwiseAND(KIND), F.col(f"{now}_mode").bitwiseAND(KIND)
+        same[0] = (same[0] | (there == FOLDER)) & (F.when(F.coalesce(was, F.lit(0)) == 0, REGULAR).otherwise(was) == there)
     equal = same[0] & same[1] & same[2] & same[3]
     return F.when(F.col(f"{now}_size").isNull(), "no longer exists").when(
         ~equal, "size, modification time or identity differs from the scan"
     )
 
 
-def _listing(files: DataFrame, prefix: str, key: str) -> DataFrame:
-    return files.select(F.col("path").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in ("size", "mtime_ns", "inode", "device")])
+def _listing(files: DataFrame, prefix: str, key: str, with_mode: bool) -> DataFrame:
+    names = ("size", "mtime_ns", "inode", "device") + ("mode",) * with_mode
+    return files.select(F.col("path").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in names])
 
 
 def reverify(rows: DataFrame, listing: DataFrame) -> DataFrame:
     """Rows with ``problem``: what a new listing says against acting on them."""
-    return rows.join(_listing(listing, "now", "at"), F.col("path") == F.col("at"), "left").select(*rows.columns, changed().alias("problem"))
+    with_mode = "mode" in rows.columns and "mode" in listing.columns
+    now = _listing(listing, "now", "at", with_mode)
+    return rows.join(now, F.col("path") == F.col("at"), "left").select(*rows.columns, changed("now", with_mode).alias("problem"))
 
 
 def dry_run(planned: DataFrame, members: DataFrame, listing: DataFrame, mode: str = TRASH) -> DataFrame:
     """(group_id, path, size, status, detail): what would come of each item, nothing done."""
+    planned, listing = checkpointed(planned), checkpointed(listing.select("path", *[c for c in ("size", "mtime_ns", "inode", "device", "mode") if c in listing.columns]))
     checked = reverify(planned, listing)
     keepers = members.join(planned.select("path"), "path", "left_anti")
     sound = reverify(keepers, listing).where("problem is null")

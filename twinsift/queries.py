@@ -63,8 +63,18 @@ def partial_then_full(spark, sf_dir):
 
 @query
 def paranoid_groups(spark, sf_dir):
-    files = adapters.files(spark, sf_dir).withColumns({"partial": F.lit(""), "full": F.sha2("content", 256)})
-    return exact.groups(exact.group_files(files, "content")).select("group_id", "size", "n_files", "reclaimable")
+    rows = adapters.files(spark, sf_dir).where("size > 0")
+    digested = exact.collapse_links(exact.digested(rows))
+    # contents travel only for files whose digests agree, and only to their group's first one
+    equal = exact.shared(digested, "size", "partial", "full").drop("sharing")
+    first = equal.groupBy("size", "partial", "full").agg(F.min("path").alias("first"))
+    twins = equal.join(first, ["size", "partial", "full"])
+    content = rows.select("path", "content")
+    compared = twins.select("path", "first").join(content, "path").join(
+        content.select(F.col("path").alias("first"), F.col("content").alias("other")), "first"
+    ).select("path", (F.col("content") == F.col("other")).alias("same"))
+    told = digested.join(compared, "path").where("same")
+    return exact.groups(exact.grouped(told)).select("group_id", "size", "n_files", "reclaimable")
 
 
 @query
@@ -330,7 +340,7 @@ def plan_refusals(spark, sf_dir):
 
 
 def _plan(spark, sf_dir):
-    recommended = _recommended(spark, sf_dir)
+    recommended = similar.checkpointed(_recommended(spark, sf_dir).drop("links"))  # used by plan, keepers and checks
     return actions.plan(recommended, _selection(recommended)), recommended
 
 
@@ -358,6 +368,76 @@ def similar_groups_after(spark, sf_dir):
     return found.select("group_id", "path", _texts("aliases").alias("aliases"))
 
 
+@query
+def plan_total_size(spark, sf_dir):
+    return actions.plan_totals(_plan(spark, sf_dir)[0])
+
+
+@query
+def plan_decided(spark, sf_dir):
+    """A selection without anything to refuse is planned, and one with reasons isn't."""
+    recommended = similar.checkpointed(_recommended(spark, sf_dir).drop("links"))
+    good = recommended.where("verdict = 'delete'").select("path")
+    none, planned = actions.decide(recommended, good, PROTECTED)
+    why, refused = actions.decide(recommended, _selection(recommended), PROTECTED)
+    empty, _ = actions.decide(recommended, good.limit(0), PROTECTED)
+    return planned.unionByName(refused).select("path", F.lit("planned").alias("what")).unionByName(
+        none.unionByName(why).unionByName(empty).select(F.col("reason").alias("path"), F.lit("refused").alias("what"))
+    )
+
+
+@query
+def plan_similar(spark, sf_dir):
+    members = keep.recommend_similar(_similar_members(spark, sf_dir), ("/r/Downloads",), adapters.ROOT)
+    members = members.withColumns({"inode": F.col("idx"), "device": F.lit(1)})
+    chosen = members.where("rank > 1 and idx % 5 <> 0").select("path")
+    return actions.decide(members, chosen, ("/r/Downloads",), similar=True)[1].select("group_id", "path", "size", "n_keepers")
+
+
+@query
+def plan_similar_refusals(spark, sf_dir):
+    members = _similar_members(spark, sf_dir)
+    chosen = members.where("idx % 3 = 0 or group_id = '7'").select("path").unionByName(spark.createDataFrame([("/r/nowhere.jpg",)], "path string"))
+    return actions.refusals(members, chosen, ("/r/Downloads",), actions.HARDLINK, similar=True)
+
+
+@query
+def gone_paths(spark, sf_dir):
+    return actions.gone(_dry(spark, sf_dir, actions.HARDLINK))
+
+
+def _similar_recommended(spark, sf_dir):
+    return keep.recommend_similar(_similar_members(spark, sf_dir), ("/r/Downloads",), adapters.ROOT)
+
+
+@query
+def similar_status(spark, sf_dir):
+    recommended = _similar_recommended(spark, sf_dir)
+    overrides = recommended.where("idx % 4 = 0").select("path", (F.col("idx") % 8 == 0).alias("selected"))
+    found = view.similar_statuses(recommended, overrides, paths.is_protected(F.col("path"), ("/r/Downloads",)))
+    return found.select("group_id", "path", "checked", "status", "suggestion")
+
+
+@query
+def similar_group_order(spark, sf_dir):
+    return view.similar_groups(_similar_recommended(spark, sf_dir))
+
+
+@query
+def similar_totals(spark, sf_dir):
+    return view.similar_totals(_similar_recommended(spark, sf_dir))
+
+
+@query
+def hidden_risky(spark, sf_dir):
+    return _hidden(spark, sf_dir).where(hidden.is_risky(F.col("protected"), F.col("home_dot"))).select("path", "size")
+
+
+@query
+def mtime_shown(spark, sf_dir):
+    return adapters.files(spark, sf_dir).select("path", view.shown_time(F.col("mtime_ns")).alias("shown"))
+
+
 def _listing(spark, sf_dir):
     """The same files later: some gone, some touched."""
     later = F.when(F.col("inode") % 11 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns"))

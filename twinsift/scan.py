@@ -6,16 +6,16 @@ of a scan describe the same moment.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import paths
 from .operators import exact, hidden, keep, similar
-from .sources import images, tree
+from .sources import images, snapshot, tree
 
 
 @dataclass
@@ -34,17 +34,34 @@ class ScanResult:
 
 
 def exact_scan(
-    spark: SparkSession, root: str, options: tree.TreeOptions = tree.TreeOptions(), protected: Sequence[str] = ()
+    spark: SparkSession, root: str, options: tree.TreeOptions = tree.TreeOptions(), protected: Sequence[str] = (),
+    cache: str | None = None, paranoid: bool = False,
 ) -> ScanResult:
+    """Exact duplicates of a tree; ``cache`` is the folder of a hash snapshot that is read and renewed."""
     similar.ensure_checkpoints(spark)
     listed, skipped = tree.scan(spark, root, options)
-    files = listed.checkpoint()
+    rows = listed.withColumn("reason", F.lit(None).cast("string")).unionByName(skipped, allowMissingColumns=True).checkpoint()
+    files = rows.where("reason is null").drop("reason")
+    skipped, warnings, known = rows.where("reason is not null").select("path", "reason"), [], None
+    if cache is not None:
+        known, warning = snapshot.load(spark, cache)
+        warnings += [warning] if warning is not None and os.path.exists(cache) else []
     single = exact.collapse_links(files.where("size > 0"))
-    digested, failed = tree.with_digests(single)
-    members = keep.recommend(exact.grouped(digested.checkpoint()), protected, root).checkpoint()
+    digested, failed, read = tree.with_digests(single, known=known)
+    more = []
+    if paranoid:
+        digested, unread = tree.told_apart(exact.shared(digested, "size", "partial", "full").drop("sharing"))
+        failed, more = failed.unionByName(unread), ["twin"]
+    members = keep.recommend(exact.grouped(digested.checkpoint(), *more), protected, root).checkpoint()
+    if known is not None:
+        fresh = read.withColumns({x: F.lit(None).cast("string") for x in ("perceptual", "perceptual_algo")})
+        try:
+            snapshot.replace(snapshot.upsert(known, fresh), cache)
+        except OSError as problem:
+            warnings.append(f"hash snapshot not written: {problem.strerror}")
     return ScanResult(
         root, files, members, exact.groups(members), exact.empty_files(files), exact.hardlink_sets(files),
-        skipped.unionByName(failed),
+        skipped.unionByName(failed), warnings=warnings,
     )
 
 
@@ -53,17 +70,16 @@ def similar_scan(
 ) -> DataFrame:
     """(group_id, rank, path, distance, similarity, verdict, reason, aliases) of similar images.
 
-    Images are read by Spark's image reader, which leaves out names that begin with a dot or
-    an underscore.  Groups are a leader (the best by quality) and those that follow it.
+    Every image that stands for itself (no excluded file, no further hard link, no exact copy) is
+    read; ``found.skipped`` gets those that can't be.  Groups are a leader (the best by quality) and
+    those that follow it.
     """
     single = exact.collapse_links(found.files.where("size > 0"))
     standing = similar.collapse_exact(similar.image_files(single), found.members)
-    hashed = images.hashed(spark, [found.root]).where("size(variants) > 0")
-    rows = hashed.join(standing, "path").join(single.select("path", "size", "mtime_ns"), "path")
-    order = Window.orderBy(paths.components(F.col("path")))
-    rows = rows.withColumn("idx", (F.row_number().over(order) - 1).cast("long")).withColumn(
-        "pixels_n", F.col("width") * F.col("height")
-    ).checkpoint()
+    hashed = images.hashed(standing).checkpoint()
+    found.skipped = found.skipped.unionByName(hashed.where("error is not null").select("path", F.col("error").alias("reason")))
+    rows = hashed.where("size(variants) > 0").drop("error").join(standing, "path").join(single.select("path", "size", "mtime_ns"), "path")
+    rows = similar.checkpointed(keep.numbered(rows, [paths.components(F.col("path"))], "idx").withColumn("pixels_n", F.col("width") * F.col("height")))
     timed = rows.where("taken is not null and sketch is not null")
     candidates = similar.merge_candidates(
         similar.hamming_candidates(rows, similar.candidate_bound(threshold)), similar.scene_candidates(timed)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..functions.paths import RASTER
+from ..operators.similar import ensure_checkpoints
 
 SCHEMA = (
     "path string, width int, height int, taken long, phash long, dhash long, "
@@ -18,38 +21,81 @@ SCHEMA = (
 )
 
 
-def hashed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per image of the given files or folders; those that can't be decoded have an error.
+#: Tags stand in the first pieces of a file, which hold 64 KiB at most each.
+HEAD = 1 << 18
 
-    Images without content to compare have no variants.  Formats are those of the JVM's
-    reader (JPEG, PNG, GIF, BMP); a sketch is made only where the capture time is known.
+
+def hashed(files: DataFrame) -> DataFrame:
+    """One row per image of ``files`` (path); those that can't be decoded have an error.
+
+    Exactly the given files are read, whatever their names: each gets a link with a plain name in a
+    shared folder, which Spark's image reader reads (JPEG, PNG, GIF, BMP).  Only the small working
+    copies and a few tags are shuffled, never pixels or contents.  Images without content to
+    compare have no variants; a sketch is made only where the capture time is known.
     """
-    ends = ",".join(x[1:] + "," + x[1:].upper() for x in RASTER)
-    below = {"recursiveFileLookup": "true", "pathGlobFilter": f"*.{{{ends}}}"}
-    decoded = spark.read.format("image").options(dropInvalid="false", **below).load(paths).select("image.*")
-    raw = spark.read.format("binaryFile").options(**below).load(paths).select(F.col("path").alias("origin"), "content")
+    spark = files.sparkSession
+    stage = f"{ensure_checkpoints(spark)}/images-{uuid.uuid4().hex}".removeprefix("file:")
+    os.makedirs(f"{stage}/none")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_linked(stage, x) for x in batch["path"]], columns=["path", "name", "turned", "taken", "error"])
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_shrunk(x) for x in batch.itertuples()]
+            yield pd.DataFrame(rows, columns=["link", "h", "w", "upright"])
+
+    linked = files.select("path").mapInPandas(link, "path string, name string, turned int, taken long, error string").checkpoint()
+    decoded = (
+        spark.read.format("image").options(dropInvalid="false", recursiveFileLookup="true").load(stage)
+        .select("image.*").mapInPandas(shrink, "link string, h int, w int, upright binary").where("upright is not null")
+    )
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([_row(x) for x in batch.itertuples()], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    plain = F.regexp_replace("origin", "^file:/*", "/")
-    both = decoded.withColumn("origin", plain).join(raw.withColumn("origin", plain), "origin")
-    return both.mapInPandas(run, SCHEMA)
+    return linked.join(decoded, F.col("name") == F.col("link"), "left").mapInPandas(finish, SCHEMA)
 
 
-def _row(x) -> tuple:
+def _linked(stage: str, path: str) -> tuple:
+    name = hashlib.sha1(path.encode()).hexdigest()
+    folder = f"{stage}/{name[:2]}"
+    try:
+        with open(path, "rb") as file:
+            tags = images.exif(file.read(HEAD))
+        os.makedirs(folder, exist_ok=True)
+        place = f"{folder}/{name}{os.path.splitext(path)[1].lower()}"
+        if not os.path.islink(place):  # a task that runs again finds its links
+            os.symlink(path, place)
+    except FileExistsError:
+        pass
+    except OSError as problem:
+        return path, name, None, None, problem.strerror or type(problem).__name__
+    return path, name, tags.get(images.ORIENTATION, 1), images.capture_seconds(tags), None
+
+
+def _shrunk(x) -> tuple:
+    name = os.path.splitext(os.path.basename(x.origin))[0]
     if x.width <= 0 or not x.data:
-        return x.origin, None, None, None, None, None, [], None, None, "cannot be decoded"
-    tags = images.exif(x.content)
+        return name, None, None, None
     bgr = np.frombuffer(x.data, np.uint8).reshape(x.height, x.width, x.nChannels)
-    seen = images.oriented(images.gray(bgr), tags.get(images.ORIENTATION, 1))
-    copy, taken = images.working_copy(seen), images.capture_seconds(tags)
+    return name, x.height, x.width, images.working_copy(images.gray(bgr)).tobytes()
+
+
+def _row(x) -> tuple:
+    if x.upright is None or pd.isna(x.h):
+        return x.path, None, None, None, None, None, [], None, None, x.error or "cannot be decoded"
+    copy = np.frombuffer(x.upright, np.uint8).reshape(images.WORK, images.WORK)
+    copy = np.ascontiguousarray(images.oriented(copy, int(x.turned)))
+    width, height = (int(x.w), int(x.h)) if x.turned < 5 else (int(x.h), int(x.w))
+    taken = None if pd.isna(x.taken) else int(x.taken)
     found = images.hashes(copy)
     sketch = images.sketch(copy).tobytes() if found and taken is not None else None
     first = found[0] if found else (None, None)
     variants = [{"p": p, "d": d} for p, d in found]
-    return x.origin, seen.shape[1], seen.shape[0], taken, *first, variants, copy.tobytes(), sketch, None
+    return x.path, width, height, taken, *first, variants, copy.tobytes(), sketch, None
 
 
 def verified(candidates: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,22 +11,30 @@ from ..functions.paths import human_size
 
 
 def exact_json(members: DataFrame) -> DataFrame:
-    """(group_id, json): one object per group with its files in path order."""
-    files = F.array_sort(F.collect_list(F.struct("path", "size", "mtime_ns")))
-    grouped = members.groupBy("group_id", "hash", "size").agg(files.alias("files"), F.count("*").alias("n"))
-    shape = F.struct("hash", "size", (F.col("size") * (F.col("n") - 1)).alias("reclaimable"), "files")
+    """(group_id, json): one object per group with its files in path order, verdicts where there are any, and their hard links."""
+    known = [x for x in ("verdict", "reason") if x in members.columns]
+    files = F.array_sort(F.collect_list(F.struct("path", "size", "mtime_ns", *known)))
+    links = F.array_sort(F.flatten(F.collect_list("links")))
+    grouped = members.groupBy("group_id", "hash", "size").agg(files.alias("files"), F.count("*").alias("n"), links.alias("hardlinked"))
+    shape = F.struct("hash", "size", (F.col("size") * (F.col("n") - 1)).alias("reclaimable"), "files", "hardlinked")
     return grouped.select("group_id", F.to_json(shape).alias("json"))
 
 
 def similar_json(members: DataFrame) -> DataFrame:
     """The same for similar groups, best member first; similarities to four places."""
-    row = F.struct("rank", "path", "size", "pixels", F.round("similarity", 4).alias("similarity"), "verdict", "reason")
-    grouped = members.groupBy("group_id").agg(F.array_sort(F.collect_list(row)).alias("members"))
-    return grouped.select("group_id", F.to_json(F.struct(F.col("group_id").alias("id"), "members")).alias("json"))
+    row = F.struct(
+        "rank", "path", "size", "mtime_ns", "width", "height", "distance", F.round("similarity", 4).alias("similarity"),
+        "aliases", "verdict", "reason",
+    )
+    freed = F.sum(F.when(F.col("rank") > 1, F.col("size")).otherwise(0))
+    grouped = members.groupBy("group_id").agg(F.array_sort(F.collect_list(row)).alias("members"), freed.alias("reclaimable"))
+    shape = F.struct(F.col("group_id").alias("id"), "reclaimable", "members")
+    return grouped.select("group_id", F.to_json(shape).alias("json"))
 
 
 def hidden_json(items: DataFrame) -> DataFrame:
-    row = F.struct("path", "is_dir", "size", "category", "protected", "preselect")
+    kind = F.when(F.col("is_dir"), "folder").otherwise("file").alias("type")
+    row = F.struct("path", kind, "size", "category", "protected", F.col("home_dot").alias("home_toplevel_dot"), "preselect")
     return items.select("path", F.to_json(row).alias("json"))
 
 
@@ -35,6 +45,26 @@ def table(members: DataFrame) -> DataFrame:
     ).orderBy("hash", "path")
 
 
+def as_json(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of one column ``json``, objects of the columns, in their order; a single column stands for itself."""
+    value = F.to_json(F.struct(*columns))
+    if len(columns) == 1:  # to_json takes no bare texts
+        value = F.regexp_extract(value, r"(?s)^\{\"[^\"]*\":(.*)\}$", 1)
+    return rows.orderBy(*columns).select(value.alias("json"))
+
+
+def write_document(write, head: dict[str, object], lists: dict[str, DataFrame]) -> None:
+    """One JSON document, its long lists (column ``json``) one partition after the other."""
+    parts = [f"{json.dumps(k)}: {json.dumps(v)}" for k, v in head.items()]
+    write("{" + ", ".join(parts))
+    for number, (name, rows) in enumerate(lists.items()):
+        write(("," if number or parts else "") + f"\n{json.dumps(name)}: [")
+        for place, row in enumerate(rows.toLocalIterator()):
+            write((",\n " if place else "\n ") + row["json"])
+        write("]")
+    write("}\n")
+
+
 def append_log(results: DataFrame, folder: str, mode: str) -> None:
     """Results of actions as JSON lines, added to those before."""
     results.withColumns({"mode": F.lit(mode), "at": F.current_timestamp()}).write.mode("append").json(folder)

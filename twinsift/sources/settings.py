@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, fields
 
 from .tree import DEFAULT_EXCLUDES, TreeOptions
 
+#: Where settings, caches, data and state belong below the home folder.
+HOMES = {"XDG_CONFIG_HOME": ".config", "XDG_CACHE_HOME": ".cache", "XDG_DATA_HOME": ".local/share", "XDG_STATE_HOME": ".local/state"}
 MODES = ("trash", "permanent", "hardlink")
 
 
@@ -25,7 +27,7 @@ class Settings:
     use_cache: bool = True
     similar_images: bool = False
     similarity_threshold: int = 8
-    delete_mode: str = "trash"
+    default_delete_mode: str = "trash"
 
     def tree_options(self) -> TreeOptions:
         return TreeOptions(self.min_size, self.include_hidden, self.follow_symlinks, self.cross_filesystems, self.exclude)
@@ -35,6 +37,12 @@ class Settings:
 LIMITS = {"workers": 64, "similarity_threshold": 16}
 
 
+def home_of(kind: str, name: str = "twinsift") -> str:
+    """The folder of this kind (a key of ``HOMES``); a relative path in the environment counts for nothing."""
+    given = os.environ.get(kind, "")
+    return os.path.join(given if os.path.isabs(given) else os.path.join(os.path.expanduser("~"), HOMES[kind]), name)
+
+
 def checked(key: str, value: object, default: object) -> object:
     """The value as the default's type, or a ValueError that names the key."""
     if isinstance(default, tuple):
@@ -45,7 +53,7 @@ def checked(key: str, value: object, default: object) -> object:
         raise ValueError(f"{key}: {type(default).__name__} is needed")
     if isinstance(value, int) and not isinstance(value, bool) and not 0 <= value <= LIMITS.get(key, value):
         raise ValueError(f"{key}: {value} is out of range")
-    if key == "delete_mode" and value not in MODES:
+    if key == "default_delete_mode" and value not in MODES:
         raise ValueError(f"{key}: one of {', '.join(MODES)} is needed")
     return value
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,13 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 def save(rows: DataFrame, folder: str) -> None:
     """Write a new snapshot; ``folder`` must not be the one that ``rows`` is read from."""
     rows.write.mode("overwrite").parquet(folder)
+
+
+def replace(rows: DataFrame, folder: str) -> None:
+    """Put rows in the place of the snapshot that they may come from; the old one stands until the new is whole."""
+    save(rows, f"{folder}.new")
+    shutil.rmtree(f"{folder}.old", ignore_errors=True)
+    if os.path.exists(folder):
+        os.rename(folder, f"{folder}.old")
+    os.rename(f"{folder}.new", folder)
+    shutil.rmtree(f"{folder}.old", ignore_errors=True)

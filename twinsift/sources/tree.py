@@ -13,12 +13,15 @@ import stat
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from fnmatch import fnmatchcase
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import snapshot
+
 #: Names and folders that are left out unless told otherwise.
 DEFAULT_EXCLUDES = (".git", "node_modules", "__pycache__", ".cache", "/proc", "/sys", "/dev")
 SCHEMA = "path string, size long, mtime_ns long, inode long, device long, mode int, error string"
@@ -173,8 +176,8 @@ class TreeSource(DataSource):
 def scan(spark: SparkSession, root: str, options: TreeOptions = TreeOptions()) -> tuple[DataFrame, DataFrame]:
     """(files, skipped) of a tree that all executors can see.
 
-    A folder reached by two links from different partitions would be walked twice; rows are
-    distinct by path all the same.
+    Partitions don't see each other's walks: a folder that links from two of them reach is walked
+    twice, under two names, and its files show the same identity.  Rows are distinct by path.
     """
     spark.dataSource.register(TreeSource)
     rows = spark.read.format("twinsift_tree").options(
@@ -182,21 +185,86 @@ def scan(spark: SparkSession, root: str, options: TreeOptions = TreeOptions()) -
         follow_symlinks=str(options.follow_symlinks), cross_filesystems=str(options.cross_filesystems),
         exclude="\n".join(options.exclude),
     ).load()
+    if options.follow_symlinks:  # otherwise each folder has one way to it
+        rows = rows.dropDuplicates(["path"])
     files = rows.where("error is null").drop("error")
     return files, rows.where("error is not null").select("path", F.col("error").alias("reason"))
 
 
-def with_digests(files: DataFrame, edge: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def with_digests(
+    files: DataFrame, edge: int = 1 << 16, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Digests by stages: ends first, whole files only where size and ends agree.
 
-    Returns (files with ``partial`` and ``full``, skipped).  Files are read in pieces.
+    ``known`` is a hash snapshot: what it knows of this version of a file isn't read again.
+    Returns (files with ``partial`` and ``full``, skipped, rows for the snapshot).  Files are
+    read in pieces, and each once: stages are written to the checkpoint folder.
     """
     bucket = files.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    ends = _read(files.join(bucket, "size", "left_semi"), "partial", edge)
-    same = ends.where("error is null").groupBy("size", "partial").agg(F.count("*").alias("n")).where("n > 1").select("size", "partial")
-    whole = _read(ends.where("error is null").drop("error").join(same, ["size", "partial"], "left_semi"), "full", 0)
+    rows = files.join(bucket, "size", "left_semi")
+    if known is None:
+        rows = rows.withColumns({x: F.lit(None).cast("string") for x in ("partial", "full")})
+    else:
+        rows = snapshot.hits(rows, known).drop("perceptual")
+    ends = _filled(rows, "partial", edge).checkpoint()
+    good = ends.where("error is null").drop("error")
+    same = good.groupBy("size", "partial").agg(F.count("*").alias("n")).where("n > 1").select("size", "partial")
+    whole = _filled(good.join(same, ["size", "partial"], "left_semi"), "full", 0).checkpoint()
     failed = ends.select("path", "error").unionByName(whole.select("path", "error")).where("error is not null")
-    return whole.where("error is null").drop("error"), failed.withColumnRenamed("error", "reason")
+    done = whole.where("error is null").drop("error")
+    read = good.drop("full").join(done.select("path", "full"), "path", "left").select("path", *snapshot.VERSION, "partial", "full")
+    return done, failed.withColumnRenamed("error", "reason"), read
+
+
+def _filled(rows: DataFrame, column: str, edge: int) -> DataFrame:
+    """Rows with ``error``, the digest read where it is null."""
+    read = _read(rows.where(F.col(column).isNull()).drop(column), column, edge)
+    return rows.where(F.col(column).isNotNull()).withColumn("error", F.lit(None).cast("string")).unionByName(read)
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``twin``, skipped): equal bytes of one digest have one number.
+
+    Each round compares all files of a digest with the first of them, piece by piece; what differs
+    goes into the next round, of which there are as many as a digest has different contents.
+    """
+    keys, rest, done, failed, number = ["size", "partial", "full"], rows, [], [], 0
+    while not rest.isEmpty():
+        first = rest.groupBy(*keys).agg(F.min("path").alias("first"))
+        checked = _compared(rest.join(first, keys)).checkpoint()
+        done.append(checked.where("equal").select(*rows.columns).withColumn("twin", F.lit(number)))
+        failed.append(checked.where("error is not null").select("path", F.col("error").alias("reason")))
+        rest, number = checked.where("error is null and not equal").select(*rows.columns), number + 1
+    if not done:
+        return rows.withColumn("twin", F.lit(0)), rows.select("path", F.lit("").alias("reason")).limit(0)
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, failed)
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Rows with ``equal`` (to the file at ``first``) and ``error``."""
+    def same(path: str, other: str) -> bool:
+        if path == other:
+            return True
+        with open(path, "rb") as a, open(other, "rb") as b:
+            while piece := a.read(1 << 20):
+                if piece != b.read(len(piece)):
+                    return False
+            return not b.read(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            equal, failed = [], []
+            for path, other in zip(batch["path"].to_pylist(), batch["first"].to_pylist()):
+                try:
+                    equal.append(same(path, other)), failed.append(None)
+                except OSError as problem:
+                    equal.append(None), failed.append(why(problem))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(equal, pa.bool_()), pa.array(failed, pa.string())], [*batch.schema.names, "equal", "error"]
+            )
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, equal boolean, error string")
 
 
 def _read(files: DataFrame, column: str, edge: int) -> DataFrame:
