@@ -17,8 +17,9 @@ each other, if and only if they differ in two bits at most), linked as stars.
 above: within ``NEAR`` bits of the first 64 and ``FAR`` of all.  The first 64 are cut into segments, few
 long ones for many fingerprints and more short ones for few; a segment's ball is so large that by
 the pigeonhole principle no pair is missed, and what is fetched is verified by both complete
-distances.  Where a segment's table would give more than ``most_pairs`` pairs, its fingerprints are
-compared in blocks, of which each gives the edges of a spanning forest only.
+distances.  Where a key of a segment's table would give more than ``most_pairs`` times as many pairs as
+it has rows, its fingerprints are compared in blocks, of which each gives for every fingerprint no more
+than the smallest that it reaches there, so that nothing grows with the square of a group.
 
 Null and wordless texts have fingerprint zero and link like any other; rows with a null id
 belong to the component but never name it; a component without any id is named null.
@@ -46,6 +47,8 @@ SEED, SHINGLE, HALF = 42, 3, 32
 WORDS, NEAR, FAR = 4, 7, 30
 #: Fingerprints of a block; two blocks are compared in one task.
 BLOCK = 8_192
+#: So many crowded keys, of 12 bytes each, are small enough to send to every executor.
+FEW_KEYS = 1 << 20
 
 
 def _word_blocks(raw: bytes, size: int) -> Iterator[list[bytes]]:
@@ -235,7 +238,7 @@ def segments(n: int, near: int = NEAR) -> list[tuple[int, int, int]]:
     ]
 
 
-def wide_links(distinct: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, far: int = FAR, most_pairs: int = 1 << 16) -> DataFrame:
+def wide_links(distinct: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, far: int = FAR, most_pairs: int = 8) -> DataFrame:
     """(a, b), nodes that link: enough to connect all that links connect.
 
     ``distinct`` has (node, fp0...), best checkpointed: it is read several times.
@@ -254,8 +257,10 @@ def wide_links(distinct: DataFrame, cuts: list[tuple[int, int, int]], near: int
     asked = distinct.select("*", F.explode(F.flatten(F.array(*asked))).alias("k")).select("k.cut", "k.key", "node", *prints)
     count = lambda rows, name: rows.groupBy("cut", "key").agg(F.count("*").alias(name))
     sizes = count(held, "n_held").join(count(asked, "n_asked"), ["cut", "key"])
-    hot = checkpointed(sizes.where(F.col("n_held") * F.col("n_asked") > most_pairs))
-    calm = F.broadcast(hot.select("cut", "key")) if hot.count() <= 100_000 else hot.select("cut", "key")
+    hot = checkpointed(sizes.where(
+        F.col("n_held") * F.col("n_asked") > most_pairs * (F.col("n_held") + F.col("n_asked"))
+    ))
+    calm = F.broadcast(hot.select("cut", "key")) if hot.count() <= FEW_KEYS else hot.select("cut", "key")
     a, b = asked.join(calm, ["cut", "key"], "left_anti").alias("a"), held.join(calm, ["cut", "key"], "left_anti").alias("b")
     differ = lambda names: sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in names), F.lit(0))
     pairs = (
@@ -270,12 +275,15 @@ def wide_links(distinct: DataFrame, cuts: list[tuple[int, int, int]], near: int
     crowd = asked.join(hot, ["cut", "key"]).select("cut", "key", own_block("n_asked").alias("x"), every_block("n_held").alias("y"), "node", *prints)
     table = held.join(hot, ["cut", "key"]).select("cut", "key", every_block("n_asked").alias("x"), own_block("n_held").alias("y"), *[F.col(x).alias(x) for x in ("node", *prints)])
 
-    def forest(asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
-        edges = _forest(_bits_of(asks, prints), _bits_of(has, prints), near, far)
-        return pd.DataFrame({"a": asks["node"].to_numpy()[edges[:, 0]], "b": has["node"].to_numpy()[edges[:, 1]]}).query("a != b")
+    def smallest(asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
+        left, right = _groups(_bits_of(asks, prints), _bits_of(has, prints), near, far)
+        both = pd.DataFrame({"b": np.concatenate([asks["node"], has["node"]]), "group": np.concatenate([left, right])})
+        both = both[both["group"] >= 0]  # the others link to nothing here
+        both["a"] = both.groupby("group")["b"].transform("min")
+        return both.loc[both["a"] != both["b"], ["a", "b"]].drop_duplicates()
 
     keys = ("cut", "key", "x", "y")
-    found = crowd.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(forest, "a long, b long")
+    found = crowd.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(smallest, "a long, b long")
     turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs.unionByName(found).select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
 
@@ -284,19 +292,21 @@ def _bits_of(rows: pd.DataFrame, prints: list[str]) -> np.ndarray:
     return rows[prints].to_numpy(np.int64).view(np.uint64).reshape(-1, len(prints))
 
 
-def _forest(asks: np.ndarray, has: np.ndarray, near: int, far: int) -> np.ndarray:
-    """(place in asks, place in has) of links that connect all that these rows' links connect."""
-    label, edges = np.arange(len(has)), []
+def _groups(asks: np.ndarray, has: np.ndarray, near: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups that links between the two connect, as a number for each row of both; -1 for rows without a link."""
+    label, linked, met = np.arange(len(has)), np.zeros(len(has), bool), np.full(len(asks), -1)
     for first in range(0, len(asks), 256) if len(has) else ():
         close = np.bitwise_count(asks[first : first + 256, None, 0] ^ has[None, :, 0]) <= near
-        for row, near_by in enumerate(close, first):
-            at = np.flatnonzero(near_by)
+        for row in np.flatnonzero(close.any(1)).tolist():
+            at, row = np.flatnonzero(close[row]), first + row
             at = at[np.bitwise_count(asks[row] ^ has[at]).sum(1, dtype=np.int64) <= far]
-            groups, one = np.unique(label[at], return_index=True)
-            edges += [(row, at[i]) for i in one.tolist()]
+            if not len(at):
+                continue
+            met[row], linked[at] = at[0], True
+            groups = np.unique(label[at])
             for other in groups[1:].tolist():
                 label[label == other] = groups[0]
-    return np.array(edges, np.int64).reshape(-1, 2)
+    return np.where(met < 0, -1, label[met]) if len(has) else met, np.where(linked, label, -1)
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
