@@ -5,7 +5,8 @@ reads each list sequentially from the end that its own component prefers, the ne
 all lists at a time.  A candidate seen in some lists has a lower bound (what it was seen
 with, and the list's worst elsewhere) and an upper bound (the value last read elsewhere).  When no
 candidate that was never seen can reach the k-th best lower bound, reading stops, and the
-candidates whose upper bound reaches it get their final scores.  Stretches double.
+candidates whose upper bound reaches it get their final scores.  Stretches double; all queries
+of a block read on together, as matrix products.
 
 Queries (a stated set) meet all candidates block by block: never as single rows, and no
 side is broadcast.  A task holds one block of each.  Each pair of blocks keeps k rows of
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import checkpointed
 
 #: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 8_192, 1_024
+CANDIDATES, QUERIES = 8_192, 512
 SCALE = 1024
 
 
@@ -53,57 +54,49 @@ def search(
     how often each occurs (the query itself doesn't count).
     """
     n, wide = rows.shape
-    order = np.argsort(rows, 0, kind="stable").T.copy()
-    ranked = np.take_along_axis(rows, order.T, 0).T.copy()
+    if not n or not len(queries):
+        return [], [], [], []
+    order = np.argsort(rows, 0, kind="stable")
+    rank = np.empty((n, wide), np.int32)
+    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
+    ranked = np.take_along_axis(rows, order, 0)
     # what doubles may round off
-    slack = 4 * wide * np.finfo(float).eps * np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * wide
-    out_q, out_r, out_s, depths = [], [], [], []
-    for q, query in enumerate(queries):
-        lists = np.flatnonzero(query)
-        part = query[lists]
-        up = part > 0
-        worst = np.where(up, ranked[lists, 0], ranked[lists, -1]) * part if n else part
-        held = many.copy()
-        if own[q] >= 0:
-            held[own[q]] -= 1
-        seen, read = np.zeros(n), np.zeros((n, len(lists)), bool)
-        done, depth = 0, max(1, n // 64)
-        while True:
-            for j, i in enumerate(lists):  # the next stretch of each list
-                stretch = slice(n - depth, n - done) if up[j] else slice(done, depth)
-                at = order[i, stretch]
-                seen[at] += part[j] * ranked[i, stretch]
-                read[at, j] = True
-            edge = np.array([ranked[i, n - depth if up[j] else depth - 1] for j, i in enumerate(lists)]) * part
-            lower = seen + worst.sum() - read @ worst - slack
-            upper = seen + edge.sum() - read @ edge + slack
-            if depth == n:
-                break
-            met = np.flatnonzero(read.any(1) & (held > 0))
-            bar = _bar(lower[met], held[met], k)
-            if edge.sum() + slack < bar:
-                break
-            done, depth = depth, min(n, 2 * depth)
-        met = np.flatnonzero((read.any(1) | (depth == n)) & (held > 0))
-        able = met[upper[met] >= _bar(lower[met], held[met], k)]
-        score = _exact(rows[able], query[None])[:, 0]
-        best = able[np.lexsort((places[able], -score))]
-        score = np.sort(-score)
-        through = np.cumsum(held[best]) - held[best] < k
-        out_q += [q] * int(through.sum())
-        out_r += best[through].tolist()
-        out_s += [-x for x in score[through].tolist()]
-        depths.append(depth / max(n, 1))
+    slack = 4 * wide * wide * np.finfo(float).eps * np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0)
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    worst = up * ranked[0] + down * ranked[-1]
+    out_q, out_r, out_s, depths = [], [], [], [1.0] * len(queries)
+    waiting, depth = np.arange(len(queries)), max(1, n // 8)
+    while len(waiting):
+        high, low = rank >= n - depth, rank < depth
+        p, m = up[waiting], down[waiting]
+        edge = p * ranked[n - depth] + m * ranked[depth - 1]
+        both = np.hstack([high, low]).astype(float)
+        lower = np.hstack([np.where(high, rows, 0), np.where(low, rows, 0)]) @ np.hstack([p, m]).T
+        rises = np.hstack([queries[waiting] > 0, queries[waiting] < 0])
+        # of the lists in which a candidate was seen, what the bounds assume elsewhere
+        upper = lower + edge.sum(1) + slack - both @ (np.tile(edge, 2) * rises).T
+        lower += worst[waiting].sum(1) - slack - both @ (np.tile(worst[waiting], 2) * rises).T
+        alone = np.flatnonzero((own[waiting] >= 0) & (many[own[waiting]] == 1))
+        lower[own[waiting[alone]], alone] = -np.inf
+        enough = min(k, n)
+        bar = np.partition(lower, n - enough, 0)[n - enough]  # more of a repeated row only raise it
+        stops = (edge.sum(1) + slack < bar) | (depth >= n)
+        for j in np.flatnonzero(stops).tolist():
+            q = int(waiting[j])
+            able = np.flatnonzero(upper[:, j] >= bar[j])
+            held = many[able] - (able == own[q])
+            able, held = able[held > 0], held[held > 0]
+            score = _exact(rows[able], queries[q : q + 1])[:, 0]
+            best = np.lexsort((places[able], -score))
+            through = best[np.cumsum(held[best]) - held[best] < k]
+            out_q += [q] * len(through)
+            out_r += able[through].tolist()
+            out_s += score[through].tolist()
+            depths[q] = depth / n
+        waiting, depth = waiting[~stops], min(n, 2 * depth)
     return out_q, out_r, out_s, depths
 
 
-def _bar(lower: np.ndarray, held: np.ndarray, k: int) -> float:
-    """The k-th largest lower bound, rows counted as often as they occur; below all if there are fewer."""
-    down = np.argsort(-lower, kind="stable")
-    enough = np.flatnonzero(np.cumsum(held[down]) >= k)
-    return lower[down[enough[0]]] if len(enough) else -np.inf
-
-
 def _matrix(packed: pd.Series) -> np.ndarray:
     rows = [np.asarray(x, np.float64) for x in packed]
     out = np.zeros((len(rows), max(map(len, rows), default=0)))
