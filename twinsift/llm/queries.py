@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity
+from . import bpe, embed_dedup, langid, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -124,9 +124,35 @@ select query_id, rank::integer as rank, vec_id, score from ranked where rank <=
 """
 
 
+def op11_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+EMBED_SQL = """
+with recursive vectors as (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: x::double) as x from embeddings
+), sound as (
+  select * from vectors
+  where len(x) > 0 and len(list_filter(x, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(x, lambda v: v <> 0)) > 0
+), near as (
+  select a.n as a, b.n as b from sound a join sound b on len(a.x) = len(b.x) and a.n <> b.n
+  where list_cosine_similarity(a.x, b.x) >= 0.9
+), reached as (
+  select n as a, n as b from vectors
+  union
+  select r.a, near.b from reached r join near on r.b = near.a
+), named as (
+  select r.a as n, min(v.vec_id) as component_id from reached r join vectors v on r.b = v.n group by r.a
+), degrees as (select a as n, count(*) as n_links from near group by a)
+select v.vec_id, coalesce(d.n_links, 0)::bigint as n_links, c.component_id,
+  v.vec_id is not distinct from c.component_id as kept
+from vectors v join named c using (n) left join degrees d using (n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_embed_dedup": op11_embed_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL}
+    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL, "op11_embed_dedup": EMBED_SQL}
