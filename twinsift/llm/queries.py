@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity
+from . import bpe, embed_dedup, langid, licenses, merkle, mixing, pii, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -150,9 +150,81 @@ from vectors v join named c using (n) left join degrees d using (n)
 """
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+#: crc32 of a number's decimal text, as a list of bytes run through the table of the reflected polynomial.
+CRC_SQL = """
+crc as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1
+    then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t
+)
+"""
+
+
+def _crc(column: str) -> str:
+    """SQL for the checksum of a column's decimal text; ``t`` is the table of ``CRC_SQL``."""
+    steps = f"list_transform(string_split({column}::varchar, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen(({value})::varchar) || ':' || ({value})::varchar end"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+MERKLE_SQL = f"""
+with recursive {CRC_SQL}, docs as (
+  select row_number() over () as r, doc_id, lang, {_leaf('n_chars')} as leaf,
+    case when {_crc('doc_id')} % 7 = 0 then {_leaf('n_chars + 1')} end as tampered
+  from documents, crc
+), leaves as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf, r) - 1 as pos, count(*) over (partition by lang) as n
+  from docs
+), tree as (
+  select lang, 0 as lvl, pos, n, leaf as node from leaves
+  union all
+  select lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' order by pos)) from tree where n > 1
+  group by lang, lvl, pos // 2, n
+), subroots as (
+  select lang, lvl as height, node as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n
+  from tree where n = 1
+), outer_tree as (
+  select 0 as lvl, pos, n, subroot as node from subroots
+  union all
+  select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' order by pos)) from outer_tree where n > 1
+  group by lvl, pos // 2, n
+), steps as (
+  select l.r, k.lvl, (l.pos >> k.lvl) & 1 as side, t.node
+  from leaves l join subroots s on l.lang is not distinct from s.lang join (select unnest(range(64)) as lvl) k on k.lvl < s.height
+  left join tree t on t.lang is not distinct from l.lang and t.lvl = k.lvl and t.pos = xor(l.pos >> k.lvl, 1)
+  union all
+  select l.r, s.height + k.lvl, (s.pos >> k.lvl) & 1, t.node
+  from leaves l join subroots s on l.lang is not distinct from s.lang
+  join (select max(lvl) as top from outer_tree) o on true join (select unnest(range(64)) as lvl) k on k.lvl < o.top
+  left join outer_tree t on t.lvl = k.lvl and t.pos = xor(s.pos >> k.lvl, 1)
+), proofs as (
+  select r, sha256(coalesce(string_agg(coalesce(node, ''), '' order by lvl), '')) as proof_sha256, count(lvl) as height
+  from leaves left join steps using (r) group by r
+), folded as (
+  select r, 0 as lvl, coalesce(tampered, leaf) as node from leaves
+  union all
+  select f.r, f.lvl + 1, sha256(case when s.node is null then f.node when s.side = 1 then s.node || f.node else f.node || s.node end)
+  from folded f join steps s on s.r = f.r and s.lvl = f.lvl
+)
+select l.doc_id, l.leaf, s.subroot, t.node as root, p.proof_sha256, f.node as folded_root, f.node = t.node as verified
+from leaves l join subroots s on l.lang is not distinct from s.lang join proofs p using (r) join folded f on f.r = l.r and f.lvl = p.height
+join outer_tree t on t.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_embed_dedup": op11_embed_dedup}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_embed_dedup": op11_embed_dedup, "op12_merkle": op12_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL, "op11_embed_dedup": EMBED_SQL}
+    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL, "op11_embed_dedup": EMBED_SQL, "op12_merkle": MERKLE_SQL}
