@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, licenses, merkle, mixing, pii, quality, sharding, simhash, topk, toxicity
+from . import bpe, embed_dedup, langid, licenses, merkle, mixing, panes, pii, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 #: The rank file by which documents are encoded.
@@ -222,9 +222,54 @@ join outer_tree t on t.n = 1
 """
 
 
+def op13_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.revisions(read_table(spark, sf_dir, "clicks"))
+
+
+PANES_SQL = f"""
+with {CRC_SQL}, once as (
+  select distinct on (click_id) click_id, ts, coalesce(kind, 'none') as kind,
+    coalesce(floor(100 * case when isfinite(value) then value end + 0.5), 0)::bigint as cents,
+    date_diff('day', date '1970-01-01', coalesce(arrived_at, ts)::date) as d
+  from clicks where ts is not null order by click_id, arrived_at nulls last, ts, kind nulls first, value nulls first
+), timed as (
+  select *, epoch_us(ts) - (d - d % 12) * 86400000000 as event,
+    least(11, d % 12 + greatest(0, coalesce({_crc('click_id')} % 30 - 23, 0))) as batch
+  from once, crc
+), placed as (
+  select *, (event - ((event % 3600000000) + 3600000000) % 3600000000) // 3600000000 as hour from timed
+), marks as (
+  select b, max(event) as w from (select unnest(range(12)) as b) left join placed on batch < b group by b
+), told as (
+  select p.*, coalesce(w >= (hour + 1) * 3600000000 + 3 * 86400000000, false) as late from placed p join marks on b = batch
+), fresh as (
+  select kind, hour, batch, count(*) as n, sum(cents) as c from told where not late group by all
+), running as (
+  select *, sum(n) over w as n_through, sum(c) over w as c_through, min(batch) over (partition by kind, hour) as opened
+  from fresh window w as (partition by kind, hour order by batch)
+), emitted as (
+  select kind, hour, coalesce(min(b), 11) as at, min(b) is null as never
+  from (select distinct kind, hour, opened from running)
+  left join marks on b >= opened and w >= (hour + 1) * 3600000000 + 7200000000
+  group by kind, hour
+), records as (
+  select at as batch, hour, -1 as click_id, sum(n) as n_rows, sum(c) as cents, if(never, 'final', 'emit') as record, kind
+  from emitted join fresh using (kind, hour) where batch <= at group by kind, hour, at, never
+  union all
+  select r.batch, hour, -1, n_through - n, c_through - c, 'retract', kind from running r join emitted using (kind, hour) where r.batch > at
+  union all
+  select r.batch, hour, -1, n_through, c_through, 'replace', kind from running r join emitted using (kind, hour) where r.batch > at
+  union all
+  select batch, hour, click_id, 1, cents, 'late', kind from told where late
+)
+select batch::bigint as batch, hour::bigint as hour, click_id::bigint as click_id, n_rows::bigint as n_rows, cents::bigint as cents, record, kind
+from records
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_embed_dedup": op11_embed_dedup, "op12_merkle": op12_merkle}
+    return {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_simhash": op8_simhash, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_embed_dedup": op11_embed_dedup, "op12_merkle": op12_merkle, "op13_panes": op13_panes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL, "op11_embed_dedup": EMBED_SQL, "op12_merkle": MERKLE_SQL}
+    return {"op1_mixing": MIXING_SQL, "op9_topk": TOPK_SQL, "op11_embed_dedup": EMBED_SQL, "op12_merkle": MERKLE_SQL, "op13_panes": PANES_SQL}
