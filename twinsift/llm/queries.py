@@ -248,17 +248,17 @@ with {CRC_SQL}, once as (
   select *, sum(n) over w as n_through, sum(c) over w as c_through, min(batch) over (partition by kind, hour) as opened
   from fresh window w as (partition by kind, hour order by batch)
 ), emitted as (
-  select kind, hour, coalesce(min(b), 11) as at, min(b) is null as never
+  select kind, hour, coalesce(min(b), 11) as shown, min(b) is null as never
   from (select distinct kind, hour, opened from running)
   left join marks on b >= opened and w >= (hour + 1) * 3600000000 + 7200000000
   group by kind, hour
 ), records as (
-  select at as batch, hour, -1 as click_id, sum(n) as n_rows, sum(c) as cents, if(never, 'final', 'emit') as record, kind
-  from emitted join fresh using (kind, hour) where batch <= at group by kind, hour, at, never
+  select shown as batch, hour, -1 as click_id, sum(n) as n_rows, sum(c) as cents, if(never, 'final', 'emit') as record, kind
+  from emitted join fresh using (kind, hour) where batch <= shown group by kind, hour, shown, never
   union all
-  select r.batch, hour, -1, n_through - n, c_through - c, 'retract', kind from running r join emitted using (kind, hour) where r.batch > at
+  select r.batch, hour, -1, n_through - n, c_through - c, 'retract', kind from running r join emitted using (kind, hour) where r.batch > shown
   union all
-  select r.batch, hour, -1, n_through, c_through, 'replace', kind from running r join emitted using (kind, hour) where r.batch > at
+  select r.batch, hour, -1, n_through, c_through, 'replace', kind from running r join emitted using (kind, hour) where r.batch > shown
   union all
   select batch, hour, click_id, 1, cents, 'late', kind from told where late
 )
