@@ -150,12 +150,21 @@ def _records(batch, hour, click_id, n_rows, cents, record, kind) -> pd.DataFrame
     return pd.DataFrame(found if isinstance(hour, pd.Series) else {k: list(v) if isinstance(v, tuple) else v for k, v in found.items()}).reset_index(drop=True)
 
 
-def _streaming(spark: SparkSession) -> SparkSession:
+#: A state store for each shard; small stores reserve no disk space, and those of earlier starts are closed soon.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def _streaming(spark: SparkSession, n_shards: int) -> SparkSession:
     """A session of its own, whose settings for the state store change nobody else's."""
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, value in {**SETTINGS, "spark.sql.shuffle.partitions": str(n_shards)}.items():
+        session.conf.set(name, value)
     return session
 
 
@@ -173,7 +182,7 @@ def revisions(clicks: DataFrame, n_batches: int = BATCHES, n_shards: int = SHARD
         [(s, marks[k], k == n_batches - 1, k) for k in range(n_batches) for s in range(n_shards)], "shard int, w long, last boolean, batch int"
     )
     control.coalesce(1).write.mode("append").partitionBy("batch").parquet(feed)
-    session = _streaming(spark)
+    session = _streaming(spark, n_shards)
     for k, w in enumerate(marks):
         late = F.coalesce(F.col("last").isNull() & is_closed(F.col("hour"), w), F.lit(False))
         # what an earlier start has read is in the checkpoint, so that this one finds its own batch new
