@@ -6,7 +6,7 @@ from test_sources import make, photo, png  # noqa: F401
 
 from twinsift import cli, scan
 from twinsift.operators import exact
-from twinsift.sources import tree
+from twinsift.sources import images, perceptual, tree
 
 
 def test_exact_and_similar_scan(spark, make):  # noqa: F811
@@ -82,6 +82,34 @@ def test_second_scan_reads_nothing(spark, make, monkeypatch, tmp_path_factory):
     assert scan.exact_scan(spark, root, cache=cache).members.count() == 0 and read == [("partial", 1), ("full", 0)]
 
 
+def test_second_similar_scan_decodes_nothing(spark, make, monkeypatch, tmp_path_factory):  # noqa: F811
+    root = make({"big.png": png(photo(1, 480, 640)), "small.png": png(photo(1)), "other.png": png(photo(9)), "bad.png": b"nothing"})
+    cache, whole, decoded = str(tmp_path_factory.mktemp("home") / "cache"), images.hashed, []
+
+    def counted(files):
+        decoded.append(sorted(os.path.basename(x["path"]) for x in files.select("path").collect()))
+        return whole(files)
+
+    def pictures():
+        found = scan.exact_scan(spark, root, cache=cache)
+        rows = scan.similar_scan(spark, found, cache=cache).collect()
+        assert found.warnings == [] and [os.path.basename(x["path"]) for x in found.skipped.collect()] == ["bad.png"]
+        return sorted(map(str, rows))
+
+    monkeypatch.setattr(images, "hashed", counted)
+    first = pictures()
+    assert len(first) == 2 and pictures() == first
+    assert decoded == [["bad.png", "big.png", "other.png", "small.png"], ["bad.png"]]
+    os.utime(os.path.join(root, "small.png"), ns=(1, 10**18))
+    decoded.clear()
+    assert len(pictures()) == 2 and decoded == [["bad.png", "small.png"]]
+    decoded.clear()
+    monkeypatch.setattr(perceptual.hits, "__defaults__", ("another algorithm",))
+    monkeypatch.setattr(perceptual.renewed, "__defaults__", ("another algorithm",))
+    assert len(pictures()) == 2 and len(decoded[0]) == 4
+    assert len(pictures()) == 2 and decoded[1] == ["bad.png"]
+
+
 def test_paranoid_tells_equal_digests_apart(spark, make):  # noqa: F811
     root = make({"a": b"one", "b": b"one", "c": b"two", "d": b"two"})
     rows = tree.scan(spark, root)[0].withColumns({"partial": F.lit("p"), "full": F.lit("f"), "links": F.array().cast("array<string>")})

@@ -1,3 +1,5 @@
+import base64
+import io
 import os
 import struct
 import zlib
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions import images
 from twinsift.sources import images as image_source
-from twinsift.sources import settings, tree
+from twinsift.sources import perceptual, settings, store, tree
 
 
 @pytest.fixture
@@ -115,9 +117,11 @@ def test_exif():
     tiff = b"II*\0\x08\0\0\0" + struct.pack("<H", 2) + struct.pack("<HHII", 274, 3, 1, 6) + struct.pack("<HHII", 34665, 4, 1, 38) + b"\0\0\0\0"
     tiff += struct.pack("<H", 1) + struct.pack("<HHII", 36867, 2, len(stamp), 56) + b"\0\0\0\0" + stamp
     raw = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xda"
-    tags = images.exif(raw)
+    tags = images.exif(io.BytesIO(raw))
     assert tags[274] == 6 and images.capture_seconds(tags) == 1577934245 and images.display_date(tags) == "2020:01:02 03:04:05"
-    assert images.exif(b"\x89PNG") == {} and images.capture_seconds({36867: "0000:00:00 00:00:00"}) is None
+    far = raw[:2] + b"".join(b"\xff\xe2" + struct.pack(">H", 65535) + b"\0" * 65533 for _ in range(9)) + raw[2:]
+    assert images.exif(io.BytesIO(far)) == tags
+    assert images.exif(io.BytesIO(b"\x89PNG")) == images.exif(io.BytesIO(raw[:9])) == images.exif(io.BytesIO(b"")) == {} and images.capture_seconds({36867: "0000:00:00 00:00:00"}) is None
 
 
 def test_similar_images_end_to_end(spark, make):
@@ -131,3 +135,33 @@ def test_similar_images_end_to_end(spark, make):
     found = similar.hamming_candidates(good, 12).withColumn("by_time", F.lit(False))
     assert [(x["i"], x["j"]) for x in image_source.verified(found, good, 8).collect()] == [(0, 1)]
     assert [(x["i"], x["j"]) for x in image_source.verified(found.withColumn("dp", F.lit(20)), good, 8).collect()] == [(0, 1)]
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    folder, shape = str(tmp_path / "deep" / "table"), "x long"
+    rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], shape)
+    assert store.read(spark, folder, shape) is None and store.versions(spark, folder) == []
+    store.publish(rows(1, 2), folder)
+    held = store.read(spark, folder, shape)
+    store.publish(held.unionByName(rows(3)), folder)  # derived from itself
+    assert sorted(x[0] for x in store.read(spark, folder, shape).collect()) == [1, 2, 3]
+    assert held.count() == 2  # the former version still stands for its readers
+    os.makedirs(tmp_path / "deep" / "table" / "v99999999999999999999-crashed")
+    assert store.read(spark, folder, shape).count() == 3
+    store.publish(rows(), folder)
+    assert store.read(spark, folder, shape).count() == 0 and len(store.versions(spark, folder)) == 2
+
+
+def test_text_form_of_hashes(spark):
+    variants = ";".join(f"{k:016x}{(1 << 64) - 1 - k:016x}" for k in range(8))
+    sketch = base64.b64encode(bytes(1024)).decode()
+    good = [f"640,480;{variants}", f"640,480,-5;{variants}|{sketch}", "9,8;"]
+    bad = [
+        "", "640;", f"640,480,1,2;{variants}", f"640,480;{variants[:-33]}", f"640,480;{variants[:-1]}", f"640,480;{variants}|{sketch[:-4]}",
+        f"640,480;{variants}|{sketch[:-2]}!=", f"x,480;{variants}", variants, f"640,480;{variants}|{sketch}|",
+    ]
+    rows = spark.createDataFrame([(x,) for x in [*good, *bad, None]], "text string").withColumn("v", perceptual.from_text(F.col("text")))
+    back = perceptual.to_text(*[F.col(f"v.{x}") for x in ("width", "height", "taken", "variants", "sketch")])
+    got = {x["text"]: (x["v"], x["back"]) for x in rows.withColumn("back", back).collect()}
+    assert all(got[x][1] == x for x in good) and all(got[x][0] is None for x in [*bad, None])
+    assert got[good[1]][0]["variants"][3] == (3, -4) and got[good[1]][0]["taken"] == -5

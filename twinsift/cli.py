@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.paths import human_size
 from .operators import exact, hidden, similar, view
 from .scan import exact_scan, hidden_scan, similar_scan
-from .sources import report, settings, snapshot, tree
+from .sources import perceptual, report, settings, snapshot, tree
 
 VERSION = "0.2"
 
@@ -45,7 +45,10 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def _cache_folder() -> str:
+def _cache_folder(spark: SparkSession) -> str:
+    """In the user's cache; on a cluster in the folder that driver and executors share."""
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{similar.ensure_checkpoints(spark).rsplit('/', 1)[0]}/twinsift-hashes"
     return os.path.join(settings.home_of("XDG_CACHE_HOME"), "hashes")
 
 
@@ -71,9 +74,9 @@ def _scan(spark: SparkSession, args: argparse.Namespace) -> None:
         own.follow_symlinks or args.follow_symlinks, own.cross_filesystems or args.cross_filesystems, (*own.exclude, *args.exclude),
     )
     protected = (*own.protected_folders, *map(os.path.abspath, args.protect))
-    cache = _cache_folder() if own.use_cache and not args.no_cache else None
+    cache = _cache_folder(spark) if own.use_cache and not args.no_cache else None
     found = exact_scan(spark, root, options, protected, cache, own.paranoid or args.paranoid)
-    pictures = similar_scan(spark, found, threshold, protected).checkpoint() if own.similar_images or args.similar else None
+    pictures = similar_scan(spark, found, threshold, protected, cache).checkpoint() if own.similar_images or args.similar else None
     for warning in found.warnings:
         _say(f"warning: {warning}")
     totals = exact.totals(found.files, found.members).first()
@@ -123,12 +126,13 @@ def _hidden(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _cache(spark: SparkSession, args: argparse.Namespace) -> None:
-    folder = args.folder or _cache_folder()
+    folder = args.folder or _cache_folder(spark)
     rows, warning = snapshot.load(spark, folder)
     n = rows.count()
     print(warning or f"{n} entries")
     if args.action == "clear" and warning is None:
-        snapshot.replace(spark.createDataFrame([], snapshot.SCHEMA), folder)
+        snapshot.save(spark.createDataFrame([], snapshot.SCHEMA), folder)
+        perceptual.save(spark.createDataFrame([], perceptual.SCHEMA), perceptual.folder_of(folder))
         print(f"cleared {n} cached hashes")
 
 

@@ -43,7 +43,7 @@ def checkpointed(rows: DataFrame) -> DataFrame:
 
 def parse_threshold(text: str) -> int:
     """A preset's name or a number from 0 to 16."""
-    found = THRESHOLDS.get(text)
+    found = THRESHOLDS.get(text.strip().lower())
     if found is None:
         found = int(text)
     if not 0 <= found <= MOST_BOUND:

@@ -334,6 +334,16 @@ ORACLES |= {
       coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable from ranked""",
     "hidden_risky": HIDDEN + " select path, size from hidden where protected or home_dot",
     "mtime_shown": BASE + " select path, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d %H:%M') as shown from files",
+    "image_cache_states": HASHES + """ select concat('/r/pics/', idx, '.jpg') as path,
+      case when idx % 5 = 0 then 'new' when idx % 13 = 0 then 'changed' when idx % 17 = 0 then 'stamp' else 'hit' end as state from hashes""",
+    "image_cache_hits": HASHES + """ select concat('/r/pics/', idx, '.jpg') as path, 640 as width, case when idx % 3 = 0 then idx * 60 end as taken, phash,
+      8 as n_variants from hashes where idx % 5 <> 0 and idx % 13 <> 0 and idx % 17 <> 0""",
+    "image_cache_renewed": HASHES + """, told as (select *, idx % 5 <> 0 and idx % 13 <> 0 and idx % 17 <> 0 as hit from hashes)
+      select concat('/r/pics/', idx, '.jpg') as path, idx % 11 + (idx % 13 = 0)::bigint as mtime_ns, if(hit, 640, 64) as width, true as current from told""",
+    "perceptual_text": HASHES + """, forms as (
+        select idx, string_agg(format('{:016x}{:016x}', vp, vd), ';' order by k) as body from variants group by idx)
+      select concat('/r/pics/', idx, '.jpg') as path, true as same, true as refused,
+        concat('640,480', case when idx % 3 = 0 then concat(',', idx * 60) else '' end, ';', body) as text from forms where idx % 5 <> 0""",
     "gone_paths": ORACLES["dry_run_hardlink"].replace(" select path, case when problem", " , results as (select path, case when problem", 1)
       + ") select distinct path from results where status = 'already hard-linked'",
 }

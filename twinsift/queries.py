@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .operators import exact, hidden, keep, similar, view
 from .plans import actions
-from .sources import adapters, report, snapshot
+from .sources import adapters, perceptual, report, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROTECTED = (adapters.KEEP,)
@@ -502,5 +502,47 @@ def cache_upsert(spark, sf_dir):
     return snapshot.upsert(*_snapshots(spark, sf_dir)).select("path", "mtime_ns", "full", "perceptual", F.col("partial").isNotNull().alias("has_partial"))
 
 
+def _pictures(spark, sf_dir):
+    """(files now, known hashes): some images new, some changed, some hashed by another algorithm."""
+    rows = adapters.hashes(spark, sf_dir)
+    i = F.col("idx")
+    named = rows.select(
+        F.concat(F.lit("/r/pics/"), i.cast("string"), F.lit(".jpg")).alias("path"), (i % 7 + 1).alias("size"), (i % 11).alias("mtime_ns"),
+        i.alias("inode"), F.lit(1).cast("long").alias("device"), "idx", "phash", "dhash", "variants",
+    )
+    now = named.withColumn("mtime_ns", F.when(i % 13 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")))
+    none = {"pixels": F.lit(None).cast("binary"), "sketch": F.lit(None).cast("binary"), "taken": F.when(i % 3 == 0, i * 60)}
+    known = named.where(i % 5 != 0).withColumns({**none, "width": F.lit(640), "height": F.lit(480), "algo": F.when(i % 17 == 0, "old").otherwise(perceptual.ALGO)})
+    return now, known
+
+
+@query
+def image_cache_states(spark, sf_dir):
+    return perceptual.states(*_pictures(spark, sf_dir))
+
+
+@query
+def image_cache_hits(spark, sf_dir):
+    return perceptual.hits(*_pictures(spark, sf_dir)).select("path", "width", "taken", "phash", F.size("variants").alias("n_variants"))
+
+
+@query
+def image_cache_renewed(spark, sf_dir):
+    now, known = _pictures(spark, sf_dir)
+    states = perceptual.states(now, known).where("state <> 'hit'").select("path")
+    none = {x: F.lit(None).cast("binary") for x in ("pixels", "sketch")}
+    fresh = now.join(states, "path").withColumns({**none, "taken": F.lit(None).cast("long"), "width": F.lit(64), "height": F.lit(48)})
+    return perceptual.renewed(known, fresh).select("path", "mtime_ns", "width", (F.col("algo") == perceptual.ALGO).alias("current"))
+
+
+@query
+def perceptual_text(spark, sf_dir):
+    known = _pictures(spark, sf_dir)[1]
+    text = perceptual.to_text(*[F.col(x) for x in ("width", "height", "taken", "variants", "sketch")])
+    rows = known.select("path", text.alias("text"), "variants", "taken").withColumn("back", perceptual.from_text(F.col("text")))
+    same = F.col("back.variants").eqNullSafe(F.col("variants")) & F.col("back.taken").eqNullSafe(F.col("taken"))
+    return rows.select("path", "text", same.alias("same"), perceptual.from_text(F.concat("text", F.lit("x"))).isNull().alias("refused"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

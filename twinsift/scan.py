@@ -6,16 +6,17 @@ of a scan describe the same moment.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
 from .operators import exact, hidden, keep, similar
-from .sources import images, snapshot, tree
+from .sources import images, perceptual, snapshot, tree
 
 
 @dataclass
@@ -45,7 +46,7 @@ def exact_scan(
     skipped, warnings, known = rows.where("reason is not null").select("path", "reason"), [], None
     if cache is not None:
         known, warning = snapshot.load(spark, cache)
-        warnings += [warning] if warning is not None and os.path.exists(cache) else []
+        warnings += [warning] if warning not in (None, snapshot.NONE_YET) else []
     single = exact.collapse_links(files.where("size > 0"))
     digested, failed, read = tree.with_digests(single, known=known)
     more = []
@@ -55,30 +56,52 @@ def exact_scan(
     members = keep.recommend(exact.grouped(digested.checkpoint(), *more), protected, root).checkpoint()
     if known is not None:
         fresh = read.withColumns({x: F.lit(None).cast("string") for x in ("perceptual", "perceptual_algo")})
-        try:
-            snapshot.replace(snapshot.upsert(known, fresh), cache)
-        except OSError as problem:
-            warnings.append(f"hash snapshot not written: {problem.strerror}")
+        warnings += _kept(lambda: snapshot.save(snapshot.upsert(known, fresh), cache))
     return ScanResult(
         root, files, members, exact.groups(members), exact.empty_files(files), exact.hardlink_sets(files),
         skipped.unionByName(failed), warnings=warnings,
     )
 
 
+def _kept(write: Callable[[], None]) -> list[str]:
+    """A scan whose snapshot can't be written is whole all the same: warnings."""
+    try:
+        write()
+    except (OSError, PySparkException, Py4JError) as problem:
+        return [f"hash snapshot not written: {type(problem).__name__}"]
+    return []
+
+
+def _hashed(spark: SparkSession, found: ScanResult, standing: DataFrame, cache: str | None) -> DataFrame:
+    """Hashes of all standing images; those that a snapshot knows of this version aren't decoded."""
+    if cache is None:
+        return images.hashed(standing).checkpoint()
+    folder = perceptual.folder_of(cache)
+    known, warning = perceptual.load(spark, folder)
+    found.warnings += [warning] if warning is not None else []
+    hits = perceptual.hits(standing, known).checkpoint()
+    fresh = images.hashed(standing.join(hits.select("path"), "path", "left_anti")).checkpoint()
+    if not fresh.where("error is null").isEmpty():
+        versioned = fresh.where("error is null").join(standing.select("path", *snapshot.VERSION), "path")
+        found.warnings += _kept(lambda: perceptual.save(perceptual.renewed(known, versioned), folder))
+    return hits.withColumn("error", F.lit(None).cast("string")).unionByName(fresh)
+
+
 def similar_scan(
-    spark: SparkSession, found: ScanResult, threshold: int = 8, protected: Sequence[str] = ()
+    spark: SparkSession, found: ScanResult, threshold: int = 8, protected: Sequence[str] = (), cache: str | None = None
 ) -> DataFrame:
     """(group_id, rank, path, distance, similarity, verdict, reason, aliases) of similar images.
 
     Every image that stands for itself (no excluded file, no further hard link, no exact copy) is
     read; ``found.skipped`` gets those that can't be.  Groups are a leader (the best by quality) and
-    those that follow it.
+    those that follow it.  ``cache`` is the exact scan's; hashes of images are kept beside it.
     """
     single = exact.collapse_links(found.files.where("size > 0"))
     standing = similar.collapse_exact(similar.image_files(single), found.members)
-    hashed = images.hashed(standing).checkpoint()
+    standing = standing.join(single.select("path", *snapshot.VERSION), "path")
+    hashed = _hashed(spark, found, standing, cache)
     found.skipped = found.skipped.unionByName(hashed.where("error is not null").select("path", F.col("error").alias("reason")))
-    rows = hashed.where("size(variants) > 0").drop("error").join(standing, "path").join(single.select("path", "size", "mtime_ns"), "path")
+    rows = hashed.where("size(variants) > 0").drop("error").join(standing, "path")
     rows = similar.checkpointed(keep.numbered(rows, [paths.components(F.col("path"))], "idx").withColumn("pixels_n", F.col("width") * F.col("height")))
     timed = rows.where("taken is not null and sketch is not null")
     candidates = similar.merge_candidates(

@@ -21,10 +21,6 @@ SCHEMA = (
 )
 
 
-#: Tags stand in the first pieces of a file, which hold 64 KiB at most each.
-HEAD = 1 << 18
-
-
 def hashed(files: DataFrame) -> DataFrame:
     """One row per image of ``files`` (path); those that can't be decoded have an error.
 
@@ -34,7 +30,9 @@ def hashed(files: DataFrame) -> DataFrame:
     compare have no variants; a sketch is made only where the capture time is known.
     """
     spark = files.sparkSession
-    stage = f"{ensure_checkpoints(spark)}/images-{uuid.uuid4().hex}".removeprefix("file:")
+    stage = f"{ensure_checkpoints(spark)}/images-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    if "://" in stage:
+        raise ValueError("images are read through links, which needs a checkpoint folder on a mounted path")
     os.makedirs(f"{stage}/none")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +62,7 @@ def _linked(stage: str, path: str) -> tuple:
     folder = f"{stage}/{name[:2]}"
     try:
         with open(path, "rb") as file:
-            tags = images.exif(file.read(HEAD))
+            tags = images.exif(file)
         os.makedirs(folder, exist_ok=True)
         place = f"{folder}/{name}{os.path.splitext(path)[1].lower()}"
         if not os.path.islink(place):  # a task that runs again finds its links

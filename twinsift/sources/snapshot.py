@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 VERSION = ("size", "mtime_ns", "inode", "device")
 VALUES = ("partial", "full", "perceptual", "perceptual_algo")
 SCHEMA = (
@@ -15,11 +14,15 @@ SCHEMA = (
     "full string, perceptual string, perceptual_algo string"
 )
 
+NONE_YET = "no hash snapshot yet"
+
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, str | None]:
     """The snapshot, and a warning in place of one that can't be read."""
     try:
-        rows = spark.read.schema(SCHEMA).parquet(folder)
+        rows = store.read(spark, folder, SCHEMA)
+        if rows is None:
+            return spark.createDataFrame([], SCHEMA), NONE_YET
         rows.isEmpty()
         return rows, None
     except Exception as problem:
@@ -57,15 +60,5 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def save(rows: DataFrame, folder: str) -> None:
-    """Write a new snapshot; ``folder`` must not be the one that ``rows`` is read from."""
-    rows.write.mode("overwrite").parquet(folder)
-
-
-def replace(rows: DataFrame, folder: str) -> None:
-    """Put rows in the place of the snapshot that they may come from; the old one stands until the new is whole."""
-    save(rows, f"{folder}.new")
-    shutil.rmtree(f"{folder}.old", ignore_errors=True)
-    if os.path.exists(folder):
-        os.rename(folder, f"{folder}.old")
-    os.rename(f"{folder}.new", folder)
-    shutil.rmtree(f"{folder}.old", ignore_errors=True)
+    """A new version of the snapshot, which ``rows`` may come from."""
+    store.publish(rows, folder)
