@@ -33,6 +33,48 @@ def test_hidden_scan(spark, make):  # noqa: F811
     assert {(os.path.relpath(x["path"], root), x["size"], x["preselect"]) for x in items.collect()} == {(".x", 1, False), ("a/b~", 2, True), (".d", 4, False)}
 
 
+def brute_hidden(root):
+    """(path, is_dir, size) of the topmost matching entries."""
+    from twinsift.operators import hidden
+
+    def inside(folder):
+        return sum(inside(e.path) if e.is_dir(follow_symlinks=False) else e.stat(follow_symlinks=False).st_size for e in os.scandir(folder))
+
+    def matches(name, folder):
+        temporary = not folder and (name in hidden.OS_METADATA or name.endswith((".swp", ".swo", ".tmp")))
+        return name.startswith((".", "~")) or name.endswith("~") or temporary
+
+    found, waiting = set(), [root]
+    while waiting:
+        for e in os.scandir(waiting.pop()):
+            folder = e.is_dir(follow_symlinks=False)
+            if matches(e.name, folder):
+                found.add((e.path, folder, inside(e.path) if folder else e.stat(follow_symlinks=False).st_size))
+            elif folder:
+                waiting.append(e.path)
+    return found
+
+
+def test_hidden_items_of_every_kind(spark, make):  # noqa: F811
+    root = make({".x": b"1", "a/b~": b"22", "a/ok": b"3", ".d/e": b"4444", ".d/.in/f": b"1", "q.tmp/r": b"1", "w.tmp": b"55", "z/Thumbs.db": b"1", "~$a.docx": b""})
+    for folder in (".empty", "a/.deep/er", "plain", "old~"):
+        os.makedirs(os.path.join(root, folder))
+    os.symlink("nowhere at all", os.path.join(root, "a/.dangling"))
+    os.symlink(os.path.join(root, "a"), os.path.join(root, ".d/.link"))
+    os.symlink(root, os.path.join(root, "plain/loop.swp"))
+    items, skipped = scan.hidden_scan(spark, root, "/home/nobody")
+    got = {(x["path"], x["is_dir"], x["size"]) for x in items.collect()}
+    assert got == brute_hidden(root) and items.count() == len(got) and skipped.count() == 0
+    assert (os.path.join(root, ".empty"), True, 0) in got and (os.path.join(root, "a/.dangling"), False, 14) in got
+
+
+def test_what_fails_inside_an_item_is_not_skipped(spark):
+    from twinsift.operators import hidden
+
+    rows = spark.createDataFrame([("/r/.d/x", "permission denied"), ("/r/a/b", "vanished"), ("/r/~q", "vanished"), ("/r", "vanished")], "path string, reason string")
+    assert sorted(x["path"] for x in hidden.outside(rows, "/r").collect()) == ["/r", "/r/a/b"]
+
+
 def test_command_line(spark, make, capsys, monkeypatch, tmp_path_factory):  # noqa: F811
     home = tmp_path_factory.mktemp("home")
     for kind in ("CONFIG", "CACHE"):

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,43 @@ def test_tree(spark, make):
     assert listed(spark, root + "/a.txt")[1] == {root + "/a.txt": "not a directory"}
 
 
+@pytest.mark.parametrize("eager, large", [(20_000, 20_000), (1, 20_000), (5, 3), (0, 0)])
+def test_frontier_equals_a_plain_walk(spark, make, eager, large):
+    spec = {f"d{i % 4}/e{i % 3}/f{i}": b"x" * (i % 3) for i in range(60)} | {"wide/" + str(i): b"1" for i in range(40)} | {".git/z": b"1", "a/.b/c": b"22"}
+    root = make(spec)
+    os.makedirs(os.path.join(root, "empty/one"))
+    os.symlink("nowhere", os.path.join(root, "dangling"))
+    rows = tree.entries(spark, root, tree.TreeOptions(min_size=0, exclude=()), True, eager, large).collect()
+    plain = {os.path.join(top, x) for top, folders, files in os.walk(root) for x in (*folders, *files)}
+    assert sorted(x["path"] for x in rows) == sorted(plain)
+    assert all(x["size"] == os.lstat(x["path"]).st_size and x["is_dir"] == (os.path.isdir(x["path"]) and not os.path.islink(x["path"])) for x in rows)
+    files = tree.entries(spark, root, tree.TreeOptions(min_size=1), False, eager, large).where("not is_dir").collect()
+    wanted = sorted(x for x in plain if os.path.isfile(x) and os.path.getsize(x) and "/.git/" not in x)
+    assert sorted(x["path"] for x in files) == wanted
+
+
+def test_a_folder_that_two_links_reach_is_entered_once(spark, make):
+    root = make({"real/x": b"1", "real/in/y": b"22", "a/k": b"1", "b/k": b"1"})
+    os.symlink(os.path.join(root, "real/in"), os.path.join(root, "a/one"))
+    os.symlink(os.path.join(root, "real/in"), os.path.join(root, "b/two"))
+    os.symlink(root, os.path.join(root, "a/loop"))
+    os.symlink(os.path.join(root, "b"), os.path.join(root, "real/in/deep"))
+    found = listed(spark, root, follow_symlinks=True)[0]
+    assert sum(x.endswith("/y") for x in found) == 1 and sum(x.endswith("k") for x in found) == 2 and len(found) == 4
+
+
+def test_a_folder_that_cannot_be_listed_is_skipped(spark, make, monkeypatch):
+    root = make({"ok/x": b"1", "shut/y": b"1"})
+    below = tree.Look.below
+
+    def refuse(self, folder):
+        return ([], self.failed(folder, "permission denied")) if folder.endswith("shut") else below(self, folder)
+
+    monkeypatch.setattr(tree.Look, "below", refuse)
+    rows = [tuple(x) for x in pa.Table.from_batches(tree._grown(tree.Look(tree.TreeOptions(), os.stat(root).st_dev), 99, 99)(iter([pa.RecordBatch.from_pydict({"path": [root], "todo": [tree.FOLDER]})]))).select(["path", "error"]).to_pandas().values.tolist()]
+    assert (os.path.join(root, "shut"), "permission denied") in rows and (os.path.join(root, "ok/x"), None) in rows
+
+
 def test_staged_digests(spark, make):
     edge = 1 << 16
     ends = b"h" * edge, b"t" * edge

@@ -45,25 +45,38 @@ def is_home_dot(path: Column, home: str) -> Column:
     return path.rlike(r"^\Q" + home.rstrip("/") + r"\E/\.")
 
 
+def _steps(rows: DataFrame, root: str, is_dir: Column, temp_patterns: bool) -> DataFrame:
+    """Rows with ``parts`` below the root, their ``kinds`` and ``at``, the first that has one (0: none)."""
+    base = root.rstrip("/")
+    below = paths.components(F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path")))
+    steps = rows.where(F.startswith("path", F.lit(base + "/"))).withColumns({"parts": below, "folder": is_dir})
+    kinds = F.transform("parts", lambda x, i: classify(x, (i < F.size("parts") - 1) | F.col("folder"), temp_patterns))
+    first = F.array_position(F.transform(kinds, lambda x: x.isNotNull()), True)
+    return steps.withColumn("kinds", kinds).withColumn("at", first.cast("int"))
+
+
+def outside(rows: DataFrame, root: str, temp_patterns: bool = True) -> DataFrame:
+    """Rows (path...) that lie neither in an item nor are one; what failed inside an item only makes it smaller."""
+    found = _steps(rows, root, F.lit(True), temp_patterns)
+    kept = found.where("at = 0").select(*rows.columns)
+    return kept.unionByName(rows.where(~F.startswith("path", F.lit(root.rstrip("/") + "/"))))
+
+
 def items(files: DataFrame, root: str, home: str, open_files: DataFrame | None = None, temp_patterns: bool = True) -> DataFrame:
-    """(path, is_dir, size, category, protected, home_dot, preselect) from listed files.
+    """(path, is_dir, size, category, protected, home_dot, preselect) from listed entries.
 
-    ``files`` has (path, size); its folders follow from its paths.  What lies inside an item
-    adds to the item's size and is no item itself.
+    ``files`` has (path, size); its folders follow from its paths.  With ``is_dir`` it has folders too, so that
+    empty ones are items, and links, which count by their own size.  What lies inside an item
+    adds to the item's size and is no item itself; folders add nothing.
     """
     base = root.rstrip("/")
-    below = paths.components(F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path")))
-    steps = files.where(F.startswith("path", F.lit(base + "/"))).select("path", "size", below.alias("parts"))
-    kinds = F.transform(
-        "parts", lambda x, i: classify(x, i < F.size("parts") - 1, temp_patterns)
-    )
-    first = F.array_position(F.transform(kinds, lambda x: x.isNotNull()), True)
-    topmost = steps.withColumn("kinds", kinds).withColumn("at", first.cast("int")).where("at > 0")
+    own = F.col("is_dir") if "is_dir" in files.columns else F.lit(False)
+    topmost = _steps(files, root, own, temp_patterns).where("at > 0")
     found = topmost.select(
         F.concat(F.lit(base + "/"), F.array_join(F.slice("parts", F.lit(1), F.col("at")), "/")).alias("path"),
-        (F.col("at") < F.size("parts")).alias("is_dir"),
+        ((F.col("at") < F.size("parts")) | F.col("folder")).alias("is_dir"),
         F.element_at("kinds", F.col("at")).alias("category"),
-        "size",
+        F.when(F.col("folder"), 0).otherwise(F.col("size")).alias("size"),
     )
     summed = found.groupBy("path", "is_dir", "category").agg(F.sum("size").alias("size"))
     path, name = F.col("path"), paths.name(F.col("path"))

@@ -121,10 +121,13 @@ def similar_scan(
     return keep.recommend_similar(members.join(ids, "leader").drop("leader"), protected, found.root)
 
 
-def hidden_scan(spark: SparkSession, root: str, home: str, temp_patterns: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(items, skipped); nothing is excluded, links aren't followed."""
-    similar.ensure_checkpoints(spark)
-    listed, skipped = tree.scan(spark, root, tree.TreeOptions(min_size=0, exclude=()))
-    files = listed.select("path", "size").checkpoint()
+def hidden_scan(
+    spark: SparkSession, root: str, home: str, temp_patterns: bool = True, cross_filesystems: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(items, skipped); nothing is excluded, links are items and aren't followed."""
+    options = tree.TreeOptions(min_size=0, exclude=(), cross_filesystems=cross_filesystems)
+    rows = tree.entries(spark, root, options, every=True)
     held = spark.createDataFrame([(x,) for x in tree.open_files()], "path string")
-    return hidden.items(files, root, home, held, temp_patterns), skipped
+    found = hidden.items(rows.where("error is null").select("path", "size", "is_dir"), root, home, held, temp_patterns)
+    failed = rows.where("error is not null").select("path", F.col("error").alias("reason"))
+    return found, hidden.outside(failed, root, temp_patterns)

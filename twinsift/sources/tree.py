@@ -1,30 +1,27 @@
-"""A file tree as a table: a Python data source that lists directories and prunes while it walks.
+"""A file tree as a table: folders are listed in rounds over a distributed frontier, pruned on the way.
 
 Spark's own listing of binary files omits hidden names and empty files and knows no identities,
-so that directories are walked here.  Every directory right below the root is a partition
-of its own; files right in the root are one more.  Contents are read in a second
-step, for the rows that are asked for.
+so that directories are walked here.  Contents are read in a second step, for the rows that are asked for.
 """
 
 from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fnmatch import fnmatchcase
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.similar import ensure_checkpoints as checkpoint_folder
 from . import snapshot
 
 #: Names and folders that are left out unless told otherwise.
 DEFAULT_EXCLUDES = (".git", "node_modules", "__pycache__", ".cache", "/proc", "/sys", "/dev")
-SCHEMA = "path string, size long, mtime_ns long, inode long, device long, mode int, error string"
 
 
 @dataclass(frozen=True)
@@ -57,137 +54,157 @@ def why(problem: OSError) -> str:
     return problem.strerror or type(problem).__name__
 
 
-class Walk:
-    """One partition's walk; ``rows`` yields files and what couldn't be looked at."""
+class Look:
+    """What one looks at: an entry becomes a row (path, size, mtime_ns, inode, device, mode, is_dir, error) or nothing.
 
-    def __init__(self, root: str, options: TreeOptions, device: int):
-        self.options, self.device = options, device
-        self.waiting: list[str] = [root]
-        self.seen: set[tuple[int, int]] = set()
+    ``every`` takes all kinds of entries, each as it is, links never followed; otherwise only
+    regular files that can be read, and folders to go on with.
+    """
 
-    def rows(self, deep: bool = True) -> Iterator[tuple]:
-        while self.waiting:
-            folder = self.waiting.pop()
-            try:
-                entries = sorted(os.scandir(folder), key=lambda e: e.name)
-            except OSError as problem:
-                yield self._failed(folder, why(problem))
-                continue
-            for entry in entries:
-                row = self._visit(entry, deep)
-                if row is not None:
-                    yield row
+    def __init__(self, options: TreeOptions, device: int, every: bool = False):
+        self.options, self.device, self.every = options, device, every
 
     @staticmethod
-    def _failed(path: str, reason: str) -> tuple:
-        return path.encode("utf-8", "replace").decode(), None, None, None, None, None, reason
+    def failed(path: str, reason: str) -> tuple:
+        return path.encode("utf-8", "replace").decode(), None, None, None, None, None, False, reason
 
-    def _visit(self, entry: os.DirEntry, deep: bool) -> tuple | None:
-        own = self.options
-        if not own.include_hidden and entry.name.startswith("."):
-            return None
-        if own.excludes(entry.path, entry.name):
+    def at(self, path: str) -> tuple | None:
+        own, name = self.options, os.path.basename(path)
+        if not own.include_hidden and name.startswith(".") or own.excludes(path, name):
             return None
         try:
-            entry.path.encode()
+            path.encode()
         except UnicodeEncodeError:
-            return self._failed(entry.path, "name is not UTF-8")
+            return self.failed(path, "name is not UTF-8")
         try:
-            if entry.is_symlink() and not own.follow_symlinks:
-                return None
-            found = entry.stat(follow_symlinks=own.follow_symlinks)
+            found = os.lstat(path)
+            if stat.S_ISLNK(found.st_mode) and not self.every:
+                if not own.follow_symlinks:
+                    return None
+                found = os.stat(path)
         except OSError as problem:
-            return self._failed(entry.path, why(problem))
-        if stat.S_ISDIR(found.st_mode):
-            identity = (found.st_dev, found.st_ino)
-            if deep and identity not in self.seen and (own.cross_filesystems or found.st_dev == self.device):
-                self.seen.add(identity)
-                self.waiting.append(entry.path)
-            return None
-        if not stat.S_ISREG(found.st_mode) or found.st_size < own.min_size:
-            return None
-        if not own.cross_filesystems and found.st_dev != self.device:
-            return None
-        if not os.access(entry.path, os.R_OK):
-            return self._failed(entry.path, "permission denied")
-        return entry.path, found.st_size, found.st_mtime_ns, found.st_ino, found.st_dev, found.st_mode, None
-
+            return self.failed(path, why(problem))
+        folder = stat.S_ISDIR(found.st_mode)
+        if not self.every:
+            if not own.cross_filesystems and found.st_dev != self.device:
+                return None
+            if not folder and (not stat.S_ISREG(found.st_mode) or found.st_size < own.min_size):
+                return None
+            if not folder and not os.access(path, os.R_OK):
+                return self.failed(path, "permission denied")
+        return path, found.st_size, found.st_mtime_ns, found.st_ino, found.st_dev, found.st_mode, folder, None
 
-@dataclass
-class Subtree(InputPartition):
-    root: str
-    device: int
-    deep: bool
+    def below(self, folder: str) -> tuple[list[str], tuple | None]:
+        try:
+            with os.scandir(folder) as found:
+                return sorted(x.path for x in found), None
+        except OSError as problem:
+            return [], self.failed(folder, why(problem))
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str, options: TreeOptions):
-        self.root, self.options = os.path.abspath(root), options
+def _grown(look: Look, eager: int, large: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a part of the frontier; ``todo`` marks what the next round goes on with.
 
-    def partitions(self) -> list[Subtree]:
-        try:
-            top = os.stat(self.root)
-            folders = [] if not stat.S_ISDIR(top.st_mode) else sorted(os.scandir(self.root), key=lambda e: e.name)
-        except OSError:
-            return [Subtree(self.root, 0, False)]
-        own = self.options
-        parts, seen = [Subtree(self.root, top.st_dev, False)], {(top.st_dev, top.st_ino)}
-        for entry in folders:
-            if (not own.include_hidden and entry.name.startswith(".")) or own.excludes(entry.path, entry.name):
-                continue
-            try:
-                if not entry.is_dir(follow_symlinks=own.follow_symlinks):
-                    continue
-                found = entry.stat()
-            except OSError:
-                continue
-            if (found.st_dev, found.st_ino) not in seen and (own.cross_filesystems or found.st_dev == top.st_dev):
-                seen.add((found.st_dev, found.st_ino))
-                parts.append(Subtree(entry.path, top.st_dev, True))
-        return parts
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        if not partition.deep and os.path.exists(self.root) and not os.path.isdir(self.root):
-            yield Walk._failed(self.root, "not a directory")
+    A task goes down by itself until it has seen ``eager`` entries; a folder of more than ``large`` isn't looked
+    through here: its names are dealt to all tasks of the next round.
+    """
+    def explore(path: str, todo: str) -> Iterator[tuple]:
+        if todo == NAME:
+            row = look.at(path)
+            if row is not None:
+                yield (*row, FOLDER if row[6] and row[7] is None else None)
             return
-        yield from Walk(partition.root, self.options, partition.device).rows(partition.deep)
+        waiting, seen = [path], 0
+        while waiting:
+            names, problem = look.below(waiting.pop())
+            if problem is not None:
+                yield (*problem, None)
+            seen += len(names)
+            if len(names) > large:
+                yield from ((x, None, None, None, None, None, False, None, NAME) for x in names if _is_text(x))
+                yield from ((*look.failed(x, "name is not UTF-8"), None) for x in names if not _is_text(x))
+                continue
+            for row in filter(None, map(look.at, names)):
+                go = row[6] and row[7] is None and (look.options.cross_filesystems or row[4] == look.device)
+                now = go and seen < eager
+                if now:
+                    waiting.append(row[0])
+                yield (*row, FOLDER if go and not now else None)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for path, todo in zip(batch["path"].to_pylist(), batch["todo"].to_pylist()):
+                for row in explore(path, todo):
+                    held.append(row)
+                    if len(held) >= 10_000:
+                        yield _batch(held)
+                        held = []
+        if held:
+            yield _batch(held)
+
+    return run
+
+
+def _is_text(path: str) -> bool:
+    try:
+        path.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
 
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "twinsift_tree"
 
-    def schema(self) -> str:
-        return SCHEMA
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [x.split()[0] for x in ROUND.split(", ")])
 
-    def reader(self, schema) -> TreeReader:
-        given = self.options
-        flag = lambda k, d: given.get(k, str(d)).lower() == "true"
-        defaults = asdict(TreeOptions())
-        exclude = given.get("exclude")
-        options = TreeOptions(
-            int(given.get("min_size", defaults["min_size"])), flag("include_hidden", True), flag("follow_symlinks", False),
-            flag("cross_filesystems", False), DEFAULT_EXCLUDES if exclude is None else tuple(x for x in exclude.split("\n") if x),
-        )
-        return TreeReader(given["path"], options)
 
+#: What a round leaves to do: list a folder, or look at an entry of a folder that was listed.
+FOLDER, NAME = "folder", "name"
+ENTRIES = "path string, size long, mtime_ns long, inode long, device long, mode int, is_dir boolean, error string"
+ROUND = f"{ENTRIES}, todo string"
+#: Entries that a task sees before it leaves the rest to the next round; entries of a folder that many tasks look at.
+EAGER, LARGE = 20_000, 20_000
 
-def scan(spark: SparkSession, root: str, options: TreeOptions = TreeOptions()) -> tuple[DataFrame, DataFrame]:
-    """(files, skipped) of a tree that all executors can see.
 
-    Partitions don't see each other's walks: a folder that links from two of them reach is walked
-    twice, under two names, and its files show the same identity.  Rows are distinct by path.
+def entries(
+    spark: SparkSession, root: str, options: TreeOptions = TreeOptions(), every: bool = False, eager: int = EAGER, large: int = LARGE
+) -> DataFrame:
+    """Everything below a root that all executors can see, in rounds over a frontier of folders.
+
+    Each round deals its frontier to all tasks and leaves a new one.  A folder that more than one way leads to is
+    entered once, by the smallest path of the first round that finds it: identities of
+    entered folders are held against those of all rounds before.  Where links are followed each round is one
+    level; otherwise tasks go down by themselves and rounds are few.  Rows are in the checkpoint folder.
     """
-    spark.dataSource.register(TreeSource)
-    rows = spark.read.format("twinsift_tree").options(
-        path=root, min_size=str(options.min_size), include_hidden=str(options.include_hidden),
-        follow_symlinks=str(options.follow_symlinks), cross_filesystems=str(options.cross_filesystems),
-        exclude="\n".join(options.exclude),
-    ).load()
-    if options.follow_symlinks:  # otherwise each folder has one way to it
-        rows = rows.dropDuplicates(["path"])
-    files = rows.where("error is null").drop("error")
+    checkpoint_folder(spark)
+    root = os.path.abspath(root)
+    try:
+        top = os.stat(root)
+    except OSError as problem:
+        return spark.createDataFrame([Look.failed(root, why(problem))], ENTRIES)
+    if not stat.S_ISDIR(top.st_mode):
+        return spark.createDataFrame([Look.failed(root, "not a directory")], ENTRIES)
+    look = Look(options, top.st_dev, every)
+    grow = _grown(look, 0 if options.follow_symlinks and not every else eager, large)
+    frontier = spark.createDataFrame([(root, FOLDER)], "path string, todo string")
+    entered = spark.createDataFrame([(top.st_ino, top.st_dev)], "inode long, device long")
+    found, tasks = [], 4 * spark.sparkContext.defaultParallelism
+    while True:
+        rows = frontier.repartition(tasks, "path").mapInArrow(grow, ROUND).checkpoint()
+        found.append(rows.where(f"todo is null or todo = '{FOLDER}'").drop("todo"))
+        folders = rows.where(f"todo = '{FOLDER}'")
+        fresh = folders.groupBy("inode", "device").agg(F.min("path").alias("path")).join(entered, ["inode", "device"], "left_anti").checkpoint()
+        frontier = fresh.select("path", F.lit(FOLDER).alias("todo")).unionByName(rows.where(f"todo = '{NAME}'").select("path", "todo"))
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        entered = entered.unionByName(fresh.select("inode", "device"))
+
+
+def scan(spark: SparkSession, root: str, options: TreeOptions = TreeOptions()) -> tuple[DataFrame, DataFrame]:
+    """(files, skipped) of a tree."""
+    rows = entries(spark, root, options)
+    files = rows.where("error is null and not is_dir").drop("error", "is_dir")
     return files, rows.where("error is not null").select("path", F.col("error").alias("reason"))
 
 
