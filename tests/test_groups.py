@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinsift.operators import exact, hidden, keep, similar, view
@@ -141,6 +142,28 @@ def test_leader_clusters_against_the_sequential_rule(spark):
     assert got == brute_leaders(order, edges)
 
 
+@pytest.mark.parametrize("small", [500_000, 12])
+def test_chains_end_in_few_rounds(spark, monkeypatch, small):
+    n, seen = (3000, []) if small > 12 else (40, [])
+    edges = [(i, i + 1) for i in range(n)] + [(n + 10 + i, n + 11 + i) for i in range(5)]
+    order = [*range(n + 1), *range(n + 10, n + 16)]
+    ranked = spark.createDataFrame([(x, k) for k, x in enumerate(order)], "idx long, rank int")
+    whole = similar.components
+    monkeypatch.setattr(similar, "components", lambda e: seen.append(1) or whole(e))
+    got = {x["idx"]: x["leader"] for x in similar.leader_clusters(ranked, spark.createDataFrame(edges, "i long, j long"), small=small).collect()}
+    assert got == brute_leaders(order, edges) and (len(seen) == 1 or small == 12)
+
+
+def test_a_burst_with_one_time_is_many_tasks(spark):
+    n = 500
+    df = spark.createDataFrame([(k, 100 if k < 400 else 100 + k, k % 16, k % 8) for k in range(n)], "idx long, taken long, phash long, dhash long")
+    shots = sorted((100 if k < 400 else 100 + k, k) for k in range(n))
+    brute = {tuple(sorted((shots[a][1], shots[b][1]))) for a in range(n) for b in range(a + 1, min(n, a + 7)) if shots[b][0] - shots[a][0] <= 60}
+    for stretch in (4, 50, 4096):
+        found = similar.scene_candidates(df, stretch=stretch)
+        assert {(x["i"], x["j"]) for x in found.collect()} == brute and found.count() == len(brute)
+
+
 def test_hamming_against_brute_force(spark):
     random.seed(2)
     pool = [random.getrandbits(63) for _ in range(4)]

@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import paths
-from .similar import checkpointed
+from .base import numbered
 
 KEEP, DELETE = "keep", "delete"
 #: The reasons, in the order of their rules.
@@ -122,22 +122,6 @@ def quality_order(root: str | None = None) -> list[Column]:
     ]
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], column: str) -> DataFrame:
-    """Rows with their place, from 0, in a total order: sorted by ranges, then moved up by what stands before.
-
-    No task holds all rows; the sorted rows are written to the checkpoint folder, so that
-    their places stay.
-    """
-    placed = checkpointed(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    so_far = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    before = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before")
-    )
-    at = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select(*rows.columns, at.alias(column))
-
-
 def quality_rank(members: DataFrame, *group: str, root: str | None = None) -> DataFrame:
     """Members with ``rank``, from 1, inside each group (or over all)."""
     if not group:

@@ -6,16 +6,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from .base import checkpointed, components, ensure_checkpoints, numbered
 
 #: Candidates are searched up to this distance at least, and to the largest threshold at most.
 LEAST_BOUND, MOST_BOUND = 12, 16
@@ -23,22 +24,10 @@ WINDOW_S, NEIGHBOURS = 60, 6
 THRESHOLDS = {"strict": 4, "normal": 8, "loose": 12}
 #: Images of a block; a pair of blocks is compared in one task.
 BLOCK = 2048
-
-
-def ensure_checkpoints(spark: SparkSession) -> str:
-    """Rounds are written to the folder of ``spark.checkpoint.dir``; if unset, a local master gets a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="twinsift-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(rows: DataFrame) -> DataFrame:
-    ensure_checkpoints(rows.sparkSession)
-    return rows.checkpoint()
+#: Shots of a stretch of the order by capture time, which is one task's.
+STRETCH = 4096
+#: Every so many rounds what is undecided is cut into components; those of so many links at most are decided in one go.
+ROUNDS, SMALL = 3, 500_000
 
 
 def parse_threshold(text: str) -> int:
@@ -143,18 +132,23 @@ def best_variant(variants: Column, phash: Column, dhash: Column) -> Column:
     return F.array_min(F.transform(variants, cost))
 
 
-def scene_candidates(shots: DataFrame, window_s: int = WINDOW_S, neighbours: int = NEIGHBOURS) -> DataFrame:
+def scene_candidates(
+    shots: DataFrame, window_s: int = WINDOW_S, neighbours: int = NEIGHBOURS, stretch: int = STRETCH
+) -> DataFrame:
     """(i, j, variant, dp, dd) of images taken shortly after one another.
 
-    Each meets the next few by capture time, as long as these are in the window.  Shots are
-    cut into spans of ten windows; each span also gets the first shots of the next,
-    so that no task orders all of them.
+    Each meets the next few by capture time, as long as these are in the window.  Shots are numbered in
+    their order and cut into stretches of equal length by their numbers; each stretch also gets the first few
+    shots of the next, so that a burst with one time is spread over all tasks.
     """
-    width = 10 * window_s
-    known = shots.where("taken is not null").withColumn("span", F.floor(F.col("taken") / width))
-    early = known.where(F.pmod("taken", F.lit(width)) <= window_s).withColumn("span", F.col("span") - 1).withColumn("guest", F.lit(True))
-    rows = known.withColumn("guest", F.lit(False)).unionByName(early)
-    after = Window.partitionBy("span").orderBy("taken", "idx").rowsBetween(1, neighbours)
+    known = numbered(shots.where("taken is not null").select("idx", "taken", "phash", "dhash"), [F.col("taken"), F.col("idx")], "place")
+    own = known.withColumns({"stretch": F.expr(f"place div {stretch}"), "guest": F.lit(False)})
+    early = own.where(F.col("stretch") > 0).where(F.pmod("place", F.lit(stretch)) < neighbours)
+    # where stretches are shorter than the neighbourhood, a shot visits several of them
+    visits = F.sequence(F.lit(1).cast("long"), F.least(F.col("stretch"), F.lit(-(-neighbours // stretch)).cast("long")))
+    guests = early.select("*", F.explode(visits).alias("back")).withColumns({"stretch": F.col("stretch") - F.col("back"), "guest": F.lit(True)}).drop("back")
+    rows = own.unionByName(guests)
+    after = Window.partitionBy("stretch").orderBy("place").rowsBetween(1, neighbours)
     row = F.struct("idx", "taken", "phash", "dhash")
     # generators can't stand around windows in one projection
     following = rows.select("*", F.collect_list(row).over(after).alias("next")).where(~F.col("guest"))
@@ -183,12 +177,27 @@ def accepted_by_hash(candidates: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def leader_clusters(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+def _in_order(links: pd.DataFrame) -> pd.DataFrame:
+    """The leaders of a component, given all its links (own, other) in both directions."""
+    links = links.sort_values("own")
+    own, start = np.unique(links["own"].to_numpy(), return_index=True)
+    other, stop = np.searchsorted(own, links["other"].to_numpy()), np.append(start[1:], len(links))
+    led, leads = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    for k in range(len(own)):
+        if not led[k]:
+            leads[k] = True
+            led[other[start[k] : stop[k]]] = True
+    return pd.DataFrame({"own": own[leads]})
+
+
+def leader_clusters(ranked: DataFrame, edges: DataFrame, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
     """(idx, leader): in order of rank each joins its best-ranked neighbouring leader.
 
     ``ranked`` has (idx, rank), ranks distinct; ``edges`` has (i, j).  Each round all that no better undecided
-    neighbour precedes lead, and their neighbours are decided; rounds are as many as the longest
-    chain of ever worse neighbours needs.  A round reads the links between undecided images only, and
+    neighbour precedes lead, and their neighbours are decided.  That settles most in a few rounds, but a
+    chain of ever worse neighbours needs as many as it has links; so after every ``rounds`` what is left falls into connected
+    components, of which those with up to ``small`` links are decided whole, in order, each in one task; larger ones
+    go on in rounds and fall apart.  A round reads the links between undecided images only, and
     what it leaves of these and of the images is written to the checkpoint folder.
     """
     ensure_checkpoints(ranked.sparkSession)
@@ -199,7 +208,7 @@ def leader_clusters(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     links = links.checkpoint()
     live, open_links = ranked.select(F.col("rank").alias("own")), links
     lead: list[DataFrame] = []
-    while True:
+    for number in count(1):
         # who has a better undecided neighbour waits
         state = live.join(
             open_links.where("other < own").select("own").distinct().withColumn("blocked", F.lit(True)), "own", "left"
@@ -217,6 +226,16 @@ def leader_clusters(ranked: DataFrame, edges: DataFrame) -> DataFrame:
             open_links.join(live, "own", "left_semi")
             .join(live.select(F.col("own").alias("other")), "other", "left_semi").checkpoint()
         )
+        if number % rounds == 0:
+            parts = components(open_links.select(F.col("own").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "own")
+            placed = open_links.join(parts, "own")
+            whole = placed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= small).select("root")
+            lead.append(placed.join(whole, "root", "left_semi").groupBy("root").applyInPandas(lambda x: _in_order(x), f"own {dict(ranked.dtypes)['rank']}").checkpoint())
+            decided = parts.join(whole, "root", "left_semi").select("own")
+            live = live.join(decided, "own", "left_anti").checkpoint()
+            if live.isEmpty():
+                break
+            open_links = open_links.join(decided, "own", "left_anti").checkpoint()
     leaders = reduce(DataFrame.unionByName, lead).select(F.col("own").alias("other")).checkpoint()
     best = links.join(leaders, "other", "left_semi").groupBy("own").agg(F.min("other").alias("best"))
     leads = leaders.select(F.col("other").alias("own"), F.lit(True).alias("leads"))
