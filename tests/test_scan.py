@@ -1,11 +1,17 @@
 import json
 import os
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 from test_sources import make, photo, png  # noqa: F401
 
 from twinsift import cli, scan
-from twinsift.operators import exact
+from twinsift.functions import paths
+from twinsift.job import Job
+from twinsift.operators import exact, stages
+from twinsift.operators.stages import GroupingStage
 from twinsift.sources import images, perceptual, tree
 
 
@@ -158,3 +164,67 @@ def test_paranoid_tells_equal_digests_apart(spark, make):  # noqa: F811
     told, failed = tree.told_apart(rows)
     groups = exact.grouped(told, "twin").groupBy("group_id").agg(F.count("*").alias("n")).collect()
     assert [x["n"] for x in groups] == [2, 2] and failed.count() == 0
+
+
+def test_progress_agrees_with_the_result(spark, make):  # noqa: F811
+    root = make({"a": b"same", "b": b"same", "c": b"else", "d": b"longer", "e": b"longer", "f": b"1", "g": b""})
+    seen = []
+    found = scan.exact_scan(spark, root, tree.TreeOptions(min_size=0), job=Job(spark, seen.append))
+    assert [(x.stage, x.rows, x.size) for x in seen] == [
+        ("listed", 7, 25), ("partial", 5, 24), ("full", 4, 20), ("hashed", 4, 20), ("members", 4, 20),
+    ]
+    assert found.n_files == found.files.count() == 7 and found.members.count() == seen[-1].rows and not found.cancelled
+
+
+def test_cancel_from_another_thread(spark, make):  # noqa: F811
+    def sleep(batches):
+        for batch in batches:
+            time.sleep(40)
+            yield batch
+
+    def slow(rows):
+        fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
+        return rows.mapInPandas(sleep, fields).withColumns({"slow": F.lit(1), "error": F.lit(None).cast("string")})
+
+    root = make({"a": b"same", "b": b"same", "c": b"else"})
+    hashed = threading.Event()
+    job = Job(spark, lambda x: hashed.set() if x.stage == "full" else None)
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(scan.exact_scan, spark, root, job=job, more=[GroupingStage("slow", slow)])
+        assert hashed.wait(120)
+        time.sleep(3)  # the slow stage runs
+        began = time.monotonic()
+        job.cancel()
+        found = running.result(timeout=30)
+    assert time.monotonic() - began < 10
+    assert found.cancelled and found.n_files == 3 and found.members.count() == found.groups.count() == 0
+    assert spark.range(5).count() == 5  # nobody else is stopped
+    again = scan.exact_scan(spark, root, job=job)
+    assert again.cancelled  # a handle is used once
+
+
+def test_an_added_stage_splits_groups(spark, make):  # noqa: F811
+    root = make({"a.txt": b"same", "b.txt": b"same", "c.dat": b"same", "d.dat": b"same", "e.bin": b"same"})
+    suffix = GroupingStage("suffix", lambda rows: rows.withColumns({"suffix": paths.suffix(F.col("path")), "error": F.lit(None).cast("string")}))
+    plain, split = scan.exact_scan(spark, root), scan.exact_scan(spark, root, more=[suffix])
+    names = lambda found: sorted(sorted(os.path.basename(p) for p in x[1]) for x in found.members.groupBy("group_id").agg(F.collect_list("path")).collect())
+    assert names(plain) == [["a.txt", "b.txt", "c.dat", "d.dat", "e.bin"]] and names(split) == [["a.txt", "b.txt"], ["c.dat", "d.dat"]]
+
+
+def test_stages_that_cost_nothing_share_a_join(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 2), ("d", 2, 2)], "path string, size long, owner long")
+    joined, whole = [], stages.shared_keys
+
+    def counted(rows, keys):
+        joined.append(list(keys))
+        return whole(rows, keys)
+
+    compute = lambda r: r.withColumns({"costly": F.lit(0), "error": F.when(F.col("path") == "b", "gone")})
+    mine = [GroupingStage("size"), GroupingStage("owner"), GroupingStage("costly", compute)]
+    stages.shared_keys, found = counted, None
+    try:
+        found = stages.refine(rows, mine, lambda r, _: r)
+    finally:
+        stages.shared_keys = whole
+    assert joined == [["size", "owner"]] and [x["path"] for x in found.rows.collect()] == ["a"]
+    assert [tuple(x) for x in found.skipped.collect()] == [("b", "gone")]

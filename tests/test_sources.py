@@ -141,13 +141,34 @@ def test_borders_go():
     assert abs(images.trimmed(framed).shape[0] - 100) <= 4
 
 
+def plain_ssim(a, b, side=images.SSIM_SIDE):
+    scores = []
+    for r in range(a.shape[0] - side + 1):
+        for c in range(a.shape[1] - side + 1):
+            x, y = (v[r : r + side, c : c + side].astype(float).ravel() for v in (a, b))
+            both = np.cov(x, y)
+            c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+            scores.append((2 * x.mean() * y.mean() + c1) * (2 * both[0, 1] + c2) / ((x.mean() ** 2 + y.mean() ** 2 + c1) * (both[0, 0] + both[1, 1] + c2)))
+    return np.mean(scores)
+
+
 def test_ssim_and_shifts():
-    a = images.working_copy(photo(4)).astype(float)
-    assert images.ssim(a, a) == pytest.approx(1)
+    a = images.working_copy(photo(4))
+    far = images.working_copy(photo(5))
+    assert images.ssims(np.stack([a, a]), np.stack([a, far])) == pytest.approx([1, plain_ssim(a, far)])
     wide = images.resized(photo(4), 80, 80)
-    x, y = wide[:64, :64], wide[5:69, 3:67]
-    assert images.aligned_ssim(x, y) > 0.95 > images.ssim(x, y)
-    assert images.aligned_ssim(images.working_copy(photo(4)), images.working_copy(photo(5))) < 0.6
+    x = np.stack([wide[:64, :64]] * 2 + [a])
+    y = np.stack([wide[5:69, 3:67], wide[:64, :64], far])
+    assert images.likely_shifts(x, y)[:2, 0].tolist() == [[5, 3], [0, 0]]
+    scores = images.aligned_ssims(x, y)
+    assert scores[0] > 0.95 > images.ssims(x, y)[0] and scores[1] == pytest.approx(1) and scores[2] < 0.6
+    one_by_one = [images.aligned_ssims(x[k : k + 1], y[k : k + 1])[0] for k in range(3)]
+    assert scores.tolist() == pytest.approx(one_by_one)
+
+
+def test_sketches_are_means_of_blocks():
+    copy = np.arange(64 * 64).reshape(64, 64).astype(np.uint8)
+    assert images.sketch(copy)[3, 5] == round(copy[6:8, 10:12].mean())
 
 
 def test_exif():

@@ -6,11 +6,13 @@ import argparse
 import os
 import sys
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import human_size
+from .job import Job
 from .operators import exact, hidden, similar, view
 from .scan import exact_scan, hidden_scan, similar_scan
 from .sources import perceptual, report, settings, snapshot, tree
@@ -75,7 +77,20 @@ def _scan(spark: SparkSession, args: argparse.Namespace) -> None:
     )
     protected = (*own.protected_folders, *map(os.path.abspath, args.protect))
     cache = _cache_folder(spark) if own.use_cache and not args.no_cache else None
-    found = exact_scan(spark, root, options, protected, cache, own.paranoid or args.paranoid)
+    job = Job(spark)
+    # on a thread of its own, so that an interrupt can stop its Spark jobs and still get what is known
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(exact_scan, spark, root, options, protected, cache, own.paranoid or args.paranoid, job)
+        try:
+            found = running.result()
+        except KeyboardInterrupt:
+            job.cancel()
+            found = running.result()
+    if found.cancelled:
+        if args.json:
+            head = {"root": root, "files_scanned": found.n_files, "reclaimable": 0, "cancelled": True}
+            report.write_document(sys.stdout.write, head, {"groups": report.as_json(found.skipped, "path")})
+        raise KeyboardInterrupt
     pictures = similar_scan(spark, found, threshold, protected, cache).checkpoint() if own.similar_images or args.similar else None
     for warning in found.warnings:
         _say(f"warning: {warning}")
@@ -90,7 +105,7 @@ def _scan(spark: SparkSession, args: argparse.Namespace) -> None:
         if pictures is not None:
             order = view.similar_groups(pictures).select("group_id", "place")
             lists["similar_groups"] = report.similar_json(pictures).join(order, "group_id").orderBy("place")
-        head = {"root": root, "files_scanned": totals["files_scanned"], "reclaimable": totals["reclaimable"], "cancelled": False}
+        head = {"root": root, "files_scanned": totals["files_scanned"], "reclaimable": totals["reclaimable"], "cancelled": found.cancelled}
         report.write_document(sys.stdout.write, head, lists)
         return
     freed = spark.range(1).select(human_size(F.lit(totals["reclaimable"]))).first()[0]
@@ -145,18 +160,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("twinsift").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     tag = f"twinsift-{uuid.uuid4().hex}"
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         {"scan": _scan, "hidden": _hidden, "cache": _cache}[args.command](spark, args)
     except ValueError as problem:
         _say(f"error: {problem}")
         return 2
     except KeyboardInterrupt:
-        spark.interruptTag(tag)  # stops the jobs, not the session
+        spark.sparkContext.cancelJobsWithTag(tag)  # stops the jobs, not the session
         _say("cancelled")
         return 130
     except BrokenPipeError:  # the reader of our output has seen enough
         sys.stderr.close()
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
     return 0

@@ -334,6 +334,16 @@ ORACLES |= {
       coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable from ranked""",
     "hidden_risky": HIDDEN + " select path, size from hidden where protected or home_dot",
     "mtime_shown": BASE + " select path, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d %H:%M') as shown from files",
+    "pixel_similarity": """with points as (
+        select vec_id, (k - 1) // 8 as r, (k - 1) % 8 as c, greatest(0, least(255, floor(embedding[k]::double * 512 + 128))) as v
+        from embeddings, (select unnest(range(1, 65)) as k) where len(embedding) >= 64
+      ), windows as (
+        select a.vec_id as i, top, side, avg(a.v) as mx, avg(b.v) as my, var_samp(a.v) as vx, var_samp(b.v) as vy, covar_samp(a.v, b.v) as vxy
+        from points a join points b on b.vec_id = a.vec_id + 1 and a.r = b.r and a.c = b.c
+        join (select unnest(range(2)) as top) on a.r between top and top + 6 join (select unnest(range(2)) as side) on a.c between side and side + 6
+        group by all
+      ) select i, i + 1 as j, round(avg((2 * mx * my + 6.5025) * (2 * vxy + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))), 6) as similarity
+      from windows group by i""",
     "image_cache_states": HASHES + """ select concat('/r/pics/', idx, '.jpg') as path,
       case when idx % 5 = 0 then 'new' when idx % 13 = 0 then 'changed' when idx % 17 = 0 then 'stamp' else 'hit' end as state from hashes""",
     "image_cache_hits": HASHES + """ select concat('/r/pics/', idx, '.jpg') as path, 640 as width, case when idx % 3 = 0 then idx * 60 end as taken, phash,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .operators import exact, hidden, keep, similar, view
 from .plans import actions
-from .sources import adapters, perceptual, report, snapshot
+from .sources import adapters, images, perceptual, report, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROTECTED = (adapters.KEEP,)
@@ -544,5 +544,16 @@ def perceptual_text(spark, sf_dir):
     return rows.select("path", "text", same.alias("same"), perceptual.from_text(F.concat("text", F.lit("x"))).isNull().alias("refused"))
 
 
+@query
+def pixel_similarity(spark, sf_dir):
+    """Vectors of 64 components as pictures of 8 by 8 levels, each held against the next."""
+    level = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 512 + 128)))
+    hexes = F.array_join(F.transform(F.slice("embedding", 1, 64), lambda x: F.lpad(F.hex(level(x)), 2, "0")), "")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) >= 64").select("vec_id", F.unhex(hexes).alias("a"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    pairs = rows.join(after, "vec_id").select(F.col("vec_id").alias("i"), (F.col("vec_id") + 1).alias("j"), "a", "b")
+    return images.structural_similarity(pairs, 8).withColumn("similarity", F.round("similarity", 6))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

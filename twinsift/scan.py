@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
+from .job import Job
 from .operators import exact, hidden, keep, similar
+from .operators.stages import GroupingStage
 from .sources import images, perceptual, snapshot, tree
 
 
@@ -32,34 +34,56 @@ class ScanResult:
     skipped: DataFrame
     similar: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
+    cancelled: bool = False
+    n_files: int | None = None
+
+
+def _stopped(spark: SparkSession, root: str, job: Job) -> ScanResult:
+    """What a cancelled scan leaves: the files counted so far, and no groups."""
+    none = lambda columns: spark.createDataFrame([], columns)
+    file = "path string, size long, mtime_ns long, inode long, device long"
+    listed = job.seen.get("listed")
+    return ScanResult(
+        root, none(file), none(f"group_id string, {file}, links array<string>, verdict string, reason string"),
+        none("group_id string, size long, n_files long, reclaimable long"), none(file), none("paths array<string>"),
+        none("path string, reason string"), cancelled=True, n_files=listed.rows if listed else 0,
+    )
 
 
 def exact_scan(
     spark: SparkSession, root: str, options: tree.TreeOptions = tree.TreeOptions(), protected: Sequence[str] = (),
-    cache: str | None = None, paranoid: bool = False,
+    cache: str | None = None, paranoid: bool = False, job: Job | None = None, more: Sequence[GroupingStage] = (),
 ) -> ScanResult:
-    """Exact duplicates of a tree; ``cache`` is the folder of a hash snapshot that is read and renewed."""
+    """Exact duplicates of a tree; ``cache`` is the folder of a hash snapshot that is read and renewed.
+
+    ``job`` lets other threads watch and cancel; ``more`` are stages after those of the digests, whose keys
+    members of a group share too.
+    """
+    own = job or Job(spark)
+    return own.run(lambda: _exact(spark, root, options, protected, cache, paranoid, own, more), lambda: _stopped(spark, root, own))
+
+
+def _exact(spark, root, options, protected, cache, paranoid, job, more) -> ScanResult:
     similar.ensure_checkpoints(spark)
     listed, skipped = tree.scan(spark, root, options)
-    rows = listed.withColumn("reason", F.lit(None).cast("string")).unionByName(skipped, allowMissingColumns=True).checkpoint()
-    files = rows.where("reason is null").drop("reason")
-    skipped, warnings, known = rows.where("reason is not null").select("path", "reason"), [], None
+    files = job.stage(listed, "listed")
+    warnings, known = [], None
     if cache is not None:
         known, warning = snapshot.load(spark, cache)
         warnings += [warning] if warning not in (None, snapshot.NONE_YET) else []
     single = exact.collapse_links(files.where("size > 0"))
-    digested, failed, read = tree.with_digests(single, known=known)
-    more = []
+    digested, failed, read = tree.with_digests(single, known=known, more=more, keep=job.stage)
+    keys = [x.key for x in more]
     if paranoid:
         digested, unread = tree.told_apart(exact.shared(digested, "size", "partial", "full").drop("sharing"))
-        failed, more = failed.unionByName(unread), ["twin"]
-    members = keep.recommend(exact.grouped(digested.checkpoint(), *more), protected, root).checkpoint()
+        failed, keys = failed.unionByName(unread), [*keys, "twin"]
+    members = job.stage(keep.recommend(exact.grouped(job.stage(digested, "hashed"), *keys), protected, root), "members")
     if known is not None:
         fresh = read.withColumns({x: F.lit(None).cast("string") for x in ("perceptual", "perceptual_algo")})
         warnings += _kept(lambda: snapshot.save(snapshot.upsert(known, fresh), cache))
     return ScanResult(
         root, files, members, exact.groups(members), exact.empty_files(files), exact.hardlink_sets(files),
-        skipped.unionByName(failed), warnings=warnings,
+        skipped.unionByName(failed), warnings=warnings, n_files=job.seen["listed"].rows,
     )
 
 

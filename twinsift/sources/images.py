@@ -109,16 +109,35 @@ def verified(candidates: DataFrame, rows: DataFrame, threshold: int) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for x in batch.itertuples():
-                side, bar = (images.SKETCH, images.SCENE_BAR) if x.by_time else (images.WORK, images.SSIM_BAR)
-                a, b = (x.sketch_i, x.sketch_j) if x.by_time else (x.pixels_i, x.pixels_j)
-                if a is None or b is None:
-                    continue
-                a, b = (np.frombuffer(v, np.uint8).reshape(side, side) for v in (a, b))
-                score = images.aligned_ssim(images.variant(a, x.variant), b, bar)
-                if score >= bar:
-                    found.append((x.i, x.j, x.variant, x.dp, score))
-            yield pd.DataFrame(found, columns=["i", "j", "variant", "distance", "similarity"])
+            for by_time, rows in batch.groupby(batch["by_time"].astype(bool)):
+                what, side, bar = ("sketch", images.SKETCH, images.SCENE_BAR) if by_time else ("pixels", images.WORK, images.SSIM_BAR)
+                rows = rows.dropna(subset=[f"{what}_i", f"{what}_j"])
+                for first in range(0, len(rows), STACK):
+                    part = rows[first : first + STACK]
+                    a, b = (_stacked(part[f"{what}_{k}"], side) for k in "ij")
+                    a = np.stack([images.variant(x, k) for x, k in zip(a, part["variant"])])
+                    score = images.aligned_ssims(a, b, bar)
+                    good = part[score >= bar]
+                    yield pd.DataFrame({"i": good["i"], "j": good["j"], "variant": good["variant"], "distance": good["dp"], "similarity": score[score >= bar]})
 
     return by_hash.unionByName(rest.mapInPandas(run, "i long, j long, variant int, distance int, similarity double"))
+
+
+#: Pairs that are compared together.
+STACK = 256
+
+
+def _stacked(packed: pd.Series, side: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), side, side)
+
+
+def structural_similarity(pairs: DataFrame, side: int) -> DataFrame:
+    """(i, j, similarity) of pairs (i, j, a, b) of square images in bytes, as they lie, in stacks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), STACK):
+                part = batch[first : first + STACK]
+                score = images.ssims(_stacked(part["a"], side), _stacked(part["b"], side))
+                yield pd.DataFrame({"i": part["i"], "j": part["j"], "similarity": score})
+
+    return pairs.select("i", "j", "a", "b").mapInPandas(run, "i long, j long, similarity double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 from functools import reduce
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.similar import ensure_checkpoints as checkpoint_folder
+from ..operators.base import ensure_checkpoints as checkpoint_folder
+from ..operators.stages import GroupingStage, Keep, refine
 from . import snapshot
 
 #: Names and folders that are left out unless told otherwise.
@@ -208,29 +209,32 @@ def scan(spark: SparkSession, root: str, options: TreeOptions = TreeOptions()) -
     return files, rows.where("error is not null").select("path", F.col("error").alias("reason"))
 
 
+def default_stages(edge: int = 1 << 16) -> list[GroupingStage]:
+    """Sizes, then both ends, then whole contents."""
+    return [
+        GroupingStage("size"), GroupingStage("partial", lambda rows: _filled(rows, "partial", edge)),
+        GroupingStage("full", lambda rows: _filled(rows, "full", 0)),
+    ]
+
+
 def with_digests(
-    files: DataFrame, edge: int = 1 << 16, known: DataFrame | None = None
+    files: DataFrame, edge: int = 1 << 16, known: DataFrame | None = None, more: Sequence[GroupingStage] = (),
+    keep: Keep = lambda rows, _: rows.checkpoint(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Digests by stages: ends first, whole files only where size and ends agree.
+    """Digests by stages: ends first, whole files only where size and ends agree, then whatever stages are added.
 
     ``known`` is a hash snapshot: what it knows of this version of a file isn't read again.
-    Returns (files with ``partial`` and ``full``, skipped, rows for the snapshot).  Files are
+    Returns (files with ``partial``, ``full`` and further keys, skipped, rows for the snapshot).  Files are
     read in pieces, and each once: stages are written to the checkpoint folder.
     """
-    bucket = files.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    rows = files.join(bucket, "size", "left_semi")
     if known is None:
-        rows = rows.withColumns({x: F.lit(None).cast("string") for x in ("partial", "full")})
+        rows = files.withColumns({x: F.lit(None).cast("string") for x in ("partial", "full")})
     else:
-        rows = snapshot.hits(rows, known).drop("perceptual")
-    ends = _filled(rows, "partial", edge).checkpoint()
-    good = ends.where("error is null").drop("error")
-    same = good.groupBy("size", "partial").agg(F.count("*").alias("n")).where("n > 1").select("size", "partial")
-    whole = _filled(good.join(same, ["size", "partial"], "left_semi"), "full", 0).checkpoint()
-    failed = ends.select("path", "error").unionByName(whole.select("path", "error")).where("error is not null")
-    done = whole.where("error is null").drop("error")
-    read = good.drop("full").join(done.select("path", "full"), "path", "left").select("path", *snapshot.VERSION, "partial", "full")
-    return done, failed.withColumnRenamed("error", "reason"), read
+        rows = snapshot.hits(files, known).drop("perceptual")
+    found = refine(rows, [*default_stages(edge), *more], keep)
+    ends, whole = found.computed["partial"], found.computed["full"]
+    read = ends.drop("full").join(whole.select("path", "full"), "path", "left").select("path", *snapshot.VERSION, "partial", "full")
+    return found.rows, found.skipped, read
 
 
 def _filled(rows: DataFrame, column: str, edge: int) -> DataFrame:
