@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -234,3 +235,23 @@ def test_snapshot(spark, tmp_path):
     hit = {x["path"]: (x["partial"], x["perceptual"]) for x in snapshot.hits(files_now, kept, "v1").collect()}
     assert hit == {"/a": ("p", "x"), "/b": (None, None)}
     assert snapshot.hits(files_now, kept, "v2").where("perceptual is not null").count() == 0
+
+
+def test_groups_are_written_member_by_member(spark):
+    n = 60_000
+    one = spark.range(n).select(
+        F.lit("g1").alias("group_id"), F.lit("h").alias("hash"), F.lit(7).cast("long").alias("size"), F.format_string("/r/%07d", "id").alias("path"),
+        F.col("id").alias("mtime_ns"), F.when(F.col("id") % 1000 == 5, F.array(F.format_string('/l"/%d', "id"))).otherwise(F.array().cast("array<string>")).alias("links"),
+    )
+    few = spark.createDataFrame([("g0", "k", 3, f"/q/{x}", 1, []) for x in "ab"], one.schema)
+    members = few.unionByName(one)
+    found, longest = [], []
+
+    def write(text):
+        found.append(text), longest.append(len(text))
+
+    report.write_document(write, {"root": "/r"}, {"groups": report.exact_groups(members), "none": report.exact_groups(members.limit(0))})
+    document = json.loads("".join(found))
+    rows = [json.loads(x["json"]) for x in report.exact_json(members).orderBy("group_id").collect()]
+    assert document["groups"] == rows and document["none"] == [] and len(rows[1]["files"]) == n and len(rows[1]["hardlinked"]) == 60
+    assert max(longest) < 200

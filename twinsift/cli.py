@@ -97,14 +97,14 @@ def _scan(spark: SparkSession, args: argparse.Namespace) -> None:
     totals = exact.totals(found.files, found.members).first()
     if args.json:
         lists = {
-            "groups": report.exact_json(found.members).orderBy("group_id"),
+            "groups": report.exact_groups(found.members),
             "empty_files": report.as_json(found.empty_files, "path"),
             "hardlink_sets": report.as_json(found.hardlink_sets, "paths"),
             "skipped": report.as_json(found.skipped, "path", "reason"),
         }
         if pictures is not None:
             order = view.similar_groups(pictures).select("group_id", "place")
-            lists["similar_groups"] = report.similar_json(pictures).join(order, "group_id").orderBy("place")
+            lists["similar_groups"] = report.similar_groups(pictures, order)
         head = {"root": root, "files_scanned": totals["files_scanned"], "reclaimable": totals["reclaimable"], "cancelled": found.cancelled}
         report.write_document(sys.stdout.write, head, lists)
         return

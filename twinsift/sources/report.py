@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import human_size
@@ -53,14 +54,82 @@ def as_json(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.orderBy(*columns).select(value.alias("json"))
 
 
-def write_document(write, head: dict[str, object], lists: dict[str, DataFrame]) -> None:
-    """One JSON document, its long lists (column ``json``) one partition after the other."""
+@dataclass
+class Grouped:
+    """Groups to be written member by member: ``rows`` has (place, section, at, json), section 0 opens a group.
+
+    Sections from 1 on are the lists of a group, named by ``sections``; ``place`` orders groups and ``at`` members.
+    """
+
+    rows: DataFrame
+    sections: tuple[str, ...]
+
+
+def _row(section: int, at: Column, text: Column, place: Column) -> list[Column]:
+    return [place.alias("place"), F.lit(section).alias("section"), at.alias("at"), text.alias("json")]
+
+
+def exact_groups(members: DataFrame) -> Grouped:
+    """What ``exact_json`` says of each group, but no row holds a group, however many members it has."""
+    place, path = F.col("group_id"), F.col("path")
+    heads = members.groupBy("group_id", "hash", "size").agg((F.col("size") * (F.count("*") - 1)).alias("reclaimable"))
+    known = [x for x in ("verdict", "reason") if x in members.columns]
+    files = members.select(*_row(1, path, F.to_json(F.struct("path", "size", "mtime_ns", *known)), place))
+    links = members.select("group_id", F.explode("links").alias("link")).select(*_row(2, F.col("link"), F.to_json(F.array("link")), place))
+    links = links.withColumn("json", F.expr("substring(json, 2, length(json) - 2)"))
+    rows = heads.select(*_row(0, F.lit(""), F.to_json(F.struct("hash", "size", "reclaimable")), place)).unionByName(files).unionByName(links)
+    return Grouped(rows, ("files", "hardlinked"))
+
+
+def similar_groups(members: DataFrame, order: DataFrame) -> Grouped:
+    """The same for similar groups, best member first; ``order`` has (group_id, place)."""
+    row = F.struct(
+        "rank", "path", "size", "mtime_ns", "width", "height", "distance", F.round("similarity", 4).alias("similarity"), "aliases", "verdict", "reason",
+    )
+    freed = F.sum(F.when(F.col("rank") > 1, F.col("size")).otherwise(0)).alias("reclaimable")
+    heads = members.groupBy(F.col("group_id").alias("id")).agg(freed).join(order.withColumnRenamed("group_id", "id"), "id")
+    rank = F.lpad(F.col("rank").cast("string"), 12, "0")
+    own = members.join(order, "group_id").select(*_row(1, rank, F.to_json(row), F.col("place")))
+    return Grouped(heads.select(*_row(0, F.lit(""), F.to_json(F.struct("id", "reclaimable")), F.col("place"))).unionByName(own), ("members",))
+
+
+def _write_groups(write, groups: Grouped) -> None:
+    section = -1
+
+    def through(to: int) -> None:
+        """Close the open list, and write those up to ``to`` that have nothing in them."""
+        nonlocal section
+        while section < to:
+            write((", " if section == 0 else "], ") + f"{json.dumps(groups.sections[section])}: [")
+            section += 1
+
+    for row in groups.rows.orderBy("place", "section", "at").toLocalIterator():
+        if row["section"] == 0:
+            if section >= 0:
+                through(len(groups.sections))
+                write("]}")
+            write((",\n " if section >= 0 else "\n ") + row["json"][:-1])
+            section = 0
+            continue
+        first = section < row["section"]
+        through(row["section"])
+        write(("" if first else ", ") + row["json"])
+    if section >= 0:
+        through(len(groups.sections))
+        write("]}")
+
+
+def write_document(write, head: dict[str, object], lists: dict[str, DataFrame | Grouped]) -> None:
+    """One JSON document, its long lists (column ``json``, or groups) one partition after the other."""
     parts = [f"{json.dumps(k)}: {json.dumps(v)}" for k, v in head.items()]
     write("{" + ", ".join(parts))
     for number, (name, rows) in enumerate(lists.items()):
         write(("," if number or parts else "") + f"\n{json.dumps(name)}: [")
-        for place, row in enumerate(rows.toLocalIterator()):
-            write((",\n " if place else "\n ") + row["json"])
+        if isinstance(rows, Grouped):
+            _write_groups(write, rows)
+        else:
+            for place, row in enumerate(rows.toLocalIterator()):
+                write((",\n " if place else "\n ") + row["json"])
         write("]")
     write("}\n")
 
