@@ -36,6 +36,10 @@ def test_query_equals_sql(name, spark, small, duck):
     assert mine == theirs
 
 
+def test_queries_whose_rows_are_few_have_some(spark, small):
+    assert entry.queries()["gone_paths"](spark, small).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -354,8 +354,8 @@ ORACLES |= {
         select idx, string_agg(format('{:016x}{:016x}', vp, vd), ';' order by k) as body from variants group by idx)
       select concat('/r/pics/', idx, '.jpg') as path, true as same, true as refused,
         concat('640,480', case when idx % 3 = 0 then concat(',', idx * 60) else '' end, ';', body) as text from forms where idx % 5 <> 0""",
-    "gone_paths": ORACLES["dry_run_hardlink"].replace(" select path, case when problem", " , results as (select path, case when problem", 1)
-      + ") select distinct path from results where status = 'already hard-linked'",
+    "gone_paths": CHECKED + """ select path from checked
+      where problem is null and inode % 2 = 0 and link_target is not null and group_id in (select group_id from linked)""",
 }
 
 

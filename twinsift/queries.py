@@ -403,7 +403,14 @@ def plan_similar_refusals(spark, sf_dir):
 
 @query
 def gone_paths(spark, sf_dir):
-    return actions.gone(_dry(spark, sf_dir, actions.HARDLINK))
+    """Every other item was linked to its kept copy since the scan."""
+    planned, recommended = _plan(spark, sf_dir)
+    linked = (F.col("inode") % 2 == 0) & F.col("link_target").isNotNull()
+    own = ("inode", "device")
+    ids = planned.where(linked).select("path", *[F.col(f"target_{c}").alias(f"new_{c}") for c in own])
+    listing = _listing(spark, sf_dir).drop("content").join(ids, "path", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in own})
+    planned = planned.withColumns({c: F.when(linked, F.col(f"target_{c}")).otherwise(F.col(c)) for c in own})
+    return actions.gone(actions.dry_run(planned, recommended, listing, actions.HARDLINK))
 
 
 def _similar_recommended(spark, sf_dir):
