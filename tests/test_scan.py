@@ -97,7 +97,7 @@ def test_command_line(spark, make, capsys, monkeypatch, tmp_path_factory):  # no
     assert len(found["groups"]) == 1 and base(f["path"] for f in group["files"]) == ["a", "b"] and base(group["hardlinked"]) == ["l"]
     assert group["files"][0]["verdict"] == "keep" and found["reclaimable"] == group["reclaimable"] == 4
     assert base(found["empty_files"]) == ["e"] and [base(x) for x in found["hardlink_sets"]] == [["a", "l"]]
-    assert [(os.path.basename(x["path"]), x["reason"]) for x in found["skipped"]] == [("x.png", "cannot be decoded")]
+    assert [(os.path.basename(x["path"]), x["reason"]) for x in found["skipped"]] == [("x.png", "unsupported or unrecognised image format")]
     pictures = found["similar_groups"]
     assert len(pictures) == 1 and base(x["path"] for x in pictures[0]["members"]) == ["_y.PNG", ".z.Png"]
     assert pictures[0]["members"][0]["width"] == 640 and pictures[0]["reclaimable"] == pictures[0]["members"][1]["size"]

@@ -224,3 +224,20 @@ def test_text_form_of_hashes(spark):
     got = {x["text"]: (x["v"], x["back"]) for x in rows.withColumn("back", back).collect()}
     assert all(got[x][1] == x for x in good) and all(got[x][0] is None for x in [*bad, None])
     assert got[good[1]][0]["variants"][3] == (3, -4) and got[good[1]][0]["taken"] == -5
+
+
+def test_headers_tell_what_is_not_decoded(spark, make):
+    good = png(photo(1))
+    bomb = good[:16] + struct.pack(">II", 20_000, 20_000) + good[24:]
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 70) + b"x" * 68 + b"\xff\xff\xc2" + struct.pack(">HBHH", 17, 8, 480, 640)
+    bmp = b"BM" + bytes(12) + struct.pack("<Iii", 40, 30, -20)
+    shapes = {good: (320, 240), bomb: (20_000, 20_000), jpeg: (640, 480), bmp: (30, 20), b"GIF89a\x05\0\x07\0": (5, 7)}
+    assert all(images.dimensions(io.BytesIO(k)) == v for k, v in shapes.items())
+    assert all(images.dimensions(io.BytesIO(x)) is None for x in (b"", b"II*\0", jpeg[:60], b"RIFF....WEBP", good[:18]))
+    root = make({"good.png": good, "bomb.png": bomb, "cut.png": good[:60], "no.webp": b"RIFF....WEBPVP8 ", "empty.jpg": b""})
+    names = spark.createDataFrame([(os.path.join(root, x),) for x in (*os.listdir(root), "gone.gif")], "path string")
+    why = {os.path.basename(x["path"]): x["error"] for x in image_source.hashed(names).collect()}
+    assert why == {
+        "good.png": None, "bomb.png": image_source.TOO_LARGE, "cut.png": image_source.CORRUPT, "no.webp": image_source.UNKNOWN,
+        "empty.jpg": image_source.UNKNOWN, "gone.gif": "No such file or directory",
+    }

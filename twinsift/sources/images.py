@@ -21,12 +21,18 @@ SCHEMA = (
 )
 
 
+#: Why an image has no hashes; only the last is found by decoding.
+UNKNOWN, TOO_LARGE = "unsupported or unrecognised image format", "image too large (decompression bomb)"
+CORRUPT = "corrupt or truncated image"
+
+
 def hashed(files: DataFrame) -> DataFrame:
     """One row per image of ``files`` (path); those that can't be decoded have an error.
 
     Exactly the given files are read, whatever their names: each gets a link with a plain name in a
     shared folder, which Spark's image reader reads (JPEG, PNG, GIF, BMP).  Only the small working
-    copies and a few tags are shuffled, never pixels or contents.  Images without content to
+    copies and a few tags are shuffled, never pixels or contents.  Headers tell beforehand what isn't an image
+    or is too large, so that its pixels are never made.  Images without content to
     compare have no variants; a sketch is made only where the capture time is known.
     """
     spark = files.sparkSession
@@ -62,7 +68,13 @@ def _linked(stage: str, path: str) -> tuple:
     folder = f"{stage}/{name[:2]}"
     try:
         with open(path, "rb") as file:
+            shape = images.dimensions(file)
+            file.seek(0)
             tags = images.exif(file)
+        if shape is None:
+            return path, name, None, None, UNKNOWN
+        if shape[0] * shape[1] > images.MOST_PIXELS:
+            return path, name, None, None, TOO_LARGE
         os.makedirs(folder, exist_ok=True)
         place = f"{folder}/{name}{os.path.splitext(path)[1].lower()}"
         if not os.path.islink(place):  # a task that runs again finds its links
@@ -84,7 +96,7 @@ def _shrunk(x) -> tuple:
 
 def _row(x) -> tuple:
     if x.upright is None or pd.isna(x.h):
-        return x.path, None, None, None, None, None, [], None, None, x.error or "cannot be decoded"
+        return x.path, None, None, None, None, None, [], None, None, x.error or CORRUPT
     copy = np.frombuffer(x.upright, np.uint8).reshape(images.WORK, images.WORK)
     copy = np.ascontiguousarray(images.oriented(copy, int(x.turned)))
     width, height = (int(x.w), int(x.h)) if x.turned < 5 else (int(x.h), int(x.w))
