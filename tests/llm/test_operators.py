@@ -478,64 +478,86 @@ def test_components_against_brute_force(spark, most_pairs):
     assert all(got.get(x, x) == find(x) for x in known)
 
 
-def brute_wide(text):
+def brute_shape(text):
+    """The set of five-word shingles, and the fingerprint of the distinct words."""
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
-    out = []
-    for k in range(simhash.WORDS):
-        bits = [0] * 64
-        for x in shingles:
-            h = xxhash.xxh64_intdigest(x.encode(), 42)
-            if k:
-                h = (h + k * 0x9E3779B97F4A7C15) % 2**64
-                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
-                h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
-                h ^= h >> 31
-            bits = [b + (h >> i & 1) for i, b in enumerate(bits)]
-        out.append(sum(1 << i for i, b in enumerate(bits) if 2 * b > len(shingles)))
-    return out
-
-
-def wide_link(a, b):
-    apart = [(x ^ y).bit_count() for x, y in zip(a, b)]
-    return apart[0] <= simhash.NEAR and sum(apart) <= simhash.FAR
-
-
-def test_wide_fingerprints():
-    for text in ("Some Words\there é and\x0bthere " * 30 + "end", "", "one", "one TWO", None, "a b c d"):
-        assert simhash.wide_fingerprint(text).tolist() == brute_wide(text)
-        assert simhash.wide_fingerprint(text, block=9).tolist() == brute_wide(text)
-
-
-@pytest.mark.parametrize("n, most_pairs, block", [(10, 1 << 16, 8192), (10, 0, 16), (1 << 25, 1 << 16, 8192), (1 << 25, 1, 7)])
-def test_wide_components_against_brute_force(spark, monkeypatch, n, most_pairs, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    rng = random.Random(7)
-    bases = [[rng.getrandbits(64) for _ in range(4)] for _ in range(6)]
-    known = []
-    for i in range(240):
-        own = list(bases[i % 6])
-        for _ in range(rng.randint(0, 24)):
-            own[rng.randrange(4)] ^= 1 << rng.randrange(64)
-        known.append(own)
-    root = list(range(len(known)))
+    known = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(words)]
+    return known, sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def near_copy(a, b):
+    """Whether two shapes link: four in five shingles common, fingerprints within the fetch."""
+    common = len(a[0] & b[0])
+    return 5 * common >= 4 * (len(a[0]) + len(b[0]) - common) and (a[1] ^ b[1]).bit_count() <= simhash.NEAR
+
+
+def roots_of(shapes):
+    root = {i: i for i in shapes}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, a in enumerate(known):
-        for j in range(i):
-            if wide_link(a, known[j]):
-                p, q = find(i), find(j)
+    ids = sorted(shapes)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if near_copy(shapes[a], shapes[b]):
+                p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
-    assert 6 < len({find(i) for i in range(240)}) < 200
+    return {i: find(i) for i in ids}
+
+
+def test_shapes():
+    for text in ("Some Words\there é and\x0bthere " * 30 + "end", "", "one", "one TWO", None, "a b c d", "a b c d e", "a a a a a a a a"):
+        known, print_ = brute_shape(text)
+        for block in (9, 8 << 20):
+            want = sorted(xxhash.xxh64_intdigest(x.encode(), 42) for x in known)
+            assert simhash.shingle_set(text, block).tolist() == want
+            assert simhash.word_print(text, block) == print_
+
+
+def families(seed=7, n=240):
+    """Texts that differ from one of six, or from another such text, by a few words: some pairs are close, some just not."""
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(120)) for _ in range(6)]
+    while len(texts) < n:
+        words = texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(400)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("n, most_pairs, block, set_block", [(10, 1 << 16, 8192, 1 << 22), (10, 0, 8192, 1 << 22), (10, 0, 16, 900), (1 << 25, 1, 7, 1 << 22)])
+def test_near_copies_against_brute_force(spark, monkeypatch, n, most_pairs, block, set_block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SET_BLOCK", set_block)
+    texts = families()
+    shapes = {i: brute_shape(x) for i, x in enumerate(texts)}
+    want = roots_of(shapes)
+    assert 6 < len(set(want.values())) < 200
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [(i, *map(signed, x)) for i, x in enumerate(known)]
-    df = simhash.checkpointed(spark.createDataFrame(rows, "node long, fp0 long, fp1 long, fp2 long, fp3 long"))
-    got = {x["node"]: x["root"] for x in simhash.components(simhash.wide_links(df, simhash.segments(n), most_pairs=most_pairs)).collect()}
-    assert [got.get(i, i) for i in range(240)] == [find(i) for i in range(240)]
+    rows = [(i, signed(fp), len(known), i) for i, (known, fp) in shapes.items()]
+    nodes = simhash.checkpointed(spark.createDataFrame(rows, "node long, fp long, size long, key long"))
+    own = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "key long, text string")
+    got = {x["node"]: x["root"] for x in simhash.near_copies(nodes, own, simhash.segments(n), most_pairs=most_pairs).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_copies_below_the_similarity_stay(spark):
+    """A crowd of texts whose fingerprints are close but whose sets aren't: none goes."""
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(300)]
+    texts = set()
+    while len(texts) < 80:
+        words = list(base)
+        for at in range(0, 300, 12):  # each fifth-word window of every dozen differs
+            words[at], words[at + 6] = (f"w{rng.randrange(300)}" for _ in range(2))
+        texts.add(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(sorted(texts))), SHAPE)
+    assert simhash.representatives(df).count() == 80
 
 
 def test_near_duplicates_query(spark):

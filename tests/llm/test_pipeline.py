@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import tiktoken
 from public_tokenizers import PATTERN
-from test_operators import brute_own_spans, brute_spans, brute_wide, wide_link
+from test_operators import brute_own_spans, brute_shape, brute_spans, roots_of
 
 import corpus_pipeline
 from twinsift.llm import bpe, langid
@@ -61,21 +61,8 @@ def test_pipeline_equals_the_plain_version(spark, small):
     rejected = model.predict([t for _, t, _ in rows])[2]
     rows = [r for r, gone in zip(rows, rejected) if not gone]
 
-    prints = {i: brute_wide(t) for i, t, _ in rows}
-    root = {i: i for i in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(prints)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if wide_link(prints[a], prints[b]):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    rows = [(i, redacted(t), s) for i, t, s in rows if find(i) == i]
+    root = roots_of({i: brute_shape(t) for i, t, _ in rows})
+    rows = [(i, redacted(t), s) for i, t, s in rows if root[i] == i]
 
     encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(corpus_pipeline.RANKS), special_tokens={})
     want = Counter()

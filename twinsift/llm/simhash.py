@@ -13,13 +13,15 @@ own.  What is fetched is verified by its complete distance.  A half that would g
 an exact other way, the fingerprints one bit away from each (two fingerprints share one of these, or
 each other, if and only if they differ in two bits at most), linked as stars.
 
-``representatives`` links wider, by fingerprints of ``WORDS`` times 64 bits whose first 64 are the same as
-above: within ``NEAR`` bits of the first 64 and ``FAR`` of all.  The first 64 are cut into segments, few
-long ones for many fingerprints and more short ones for few; a segment's ball is so large that by
-the pigeonhole principle no pair is missed, and what is fetched is verified by both complete
-distances.  Where a key of a segment's table would give more than ``most_pairs`` times as many pairs as
-it has rows, its fingerprints are compared in blocks, of which each gives for every fingerprint no more
-than the smallest that it reaches there, so that nothing grows with the square of a group.
+``representatives`` removes near copies: texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more.  It fetches by SimHash and decides by the sets.  Five words spread so far by one edit
+that no small ball would hold a copy's fingerprint, so the fetch takes those of the texts' distinct words, within
+``NEAR`` bits: these are cut into segments, few long ones for many texts and more short ones for few, with balls so large that
+by the pigeonhole principle no pair is missed; what is fetched is verified by its complete distance, by the
+sizes of both sets, then by the sets themselves.  Where a key of a segment's table would give more than
+``most_pairs`` times as many pairs as it has rows, its texts meet in blocks: first each gives the smallest that it may
+link to, which are verified as the others are; texts of different components that may still link then meet again
+in blocks with their sets.  So no link is lost behind a crowded key, and nothing written grows with the square of a group.
 
 Null and wordless texts have fingerprint zero and link like any other; rows with a null id
 belong to the component but never name it; a component without any id is named null.
@@ -42,11 +44,12 @@ from pyspark.sql import functions as F
 from .common import blocks, checkpointed
 
 SEED, SHINGLE, HALF = 42, 3, 32
-#: Words of a wide fingerprint, and how many bits of the first and of all may differ: five-word shingles
-#: of which four in five are common mostly stay within these, and few of which less are.
-WORDS, NEAR, FAR = 4, 7, 30
-#: Fingerprints of a block; two blocks are compared in one task.
-BLOCK = 8_192
+#: Near copies: words of a shingle, and the least similarity as a fraction.
+LONG_SHINGLE, COMMON, OF = 5, 4, 5
+#: How many bits of the distinct words' fingerprints may differ.
+NEAR = 7
+#: Fingerprints of a block, and shingles of a block of sets; two blocks are compared in one task.
+BLOCK, SET_BLOCK = 8_192, 1 << 22
 #: So many crowded keys, of 12 bytes each, are small enough to send to every executor.
 FEW_KEYS = 1 << 20
 
@@ -62,25 +65,10 @@ def _word_blocks(raw: bytes, size: int) -> Iterator[list[bytes]]:
         at = stop
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 8 << 20) -> int:
-    """64 bits, the majority of the shingles' hashes; works through long texts in blocks."""
-    return int(wide_fingerprint(text, shingle, block, 1)[0])
-
-
-def wide_fingerprint(
-    text: str | None, shingle: int = SHINGLE, block: int = 8 << 20, words: int = WORDS
-) -> np.ndarray:
-    """``words`` times 64 bits; the first 64 are those of the hashes themselves, the others of hashes of these."""
-    counts, total = np.zeros((words, 64), np.int64), 0
+def _hashes(text: str | None, shingle: int, block: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, or of the whole sequence if it is shorter; works through long texts in blocks."""
     carried: list[bytes] = []
-
-    def add(hashes: np.ndarray) -> None:
-        for first in range(0, len(hashes), 1 << 14):
-            part = hashes[first : first + (1 << 14)]
-            for k in range(words):
-                bits = np.unpackbits((_mixed(part, k) if k else part).view(np.uint8), bitorder="little")
-                counts[k] += bits.reshape(-1, 64).sum(0, dtype=np.uint32)
-
+    none = True
     for found in _word_blocks((text or "").encode().lower(), block):
         found = carried + found
         carried = found[max(0, len(found) - shingle + 1) :]
@@ -92,38 +80,55 @@ def wide_fingerprint(
         starts = (ends - sizes)[: len(found) - shingle + 1].tolist()
         stops = (ends[shingle - 1 :] - 1).tolist()
         slices = [joined[a:b] for a, b in zip(starts, stops)]
-        add(np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(SEED)), "<u8", len(slices)))
-        total += len(slices)
-    if not total and carried:
-        add(np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], "<u8"))
-        total = 1
-    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8")[:, 0]
-
-
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of each hash, by the published finaliser of SplitMix64."""
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str, words: int = 1
-) -> DataFrame:
-    """(id, more..., fp...): the fingerprint as signed 64-bit integers, ``fp`` or ``fp0`` to ``fp3``."""
-    kept = [id_col, *more]
-    names = ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
-    fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in kept)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(SEED)), "<u8", len(slices))
+        none = False
+    if none and carried:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], "<u8")
+
+
+def _majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        for first in range(0, len(hashes), 1 << 14):
+            bits = np.unpackbits(hashes[first : first + (1 << 14)].view(np.uint8), bitorder="little")
+            counts += bits.reshape(-1, 64).sum(0, dtype=np.uint32)
+        total += len(hashes)
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 8 << 20) -> int:
+    """64 bits, the majority of the shingles' hashes; works through long texts in blocks."""
+    return _majority(_hashes(text, shingle, block))
+
+
+def shingle_set(text: str | None, block: int = 8 << 20) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, ascending."""
+    known = np.zeros(0, "<u8")
+    for hashes in _hashes(text, LONG_SHINGLE, block):
+        known = np.union1d(known, hashes)
+    return known
+
+
+def word_print(text: str | None, block: int = 8 << 20) -> int:
+    """64 bits, the majority of the distinct words' hashes."""
+    words: set[bytes] = set()
+    for found in _word_blocks((text or "").encode().lower(), block):
+        words.update(found)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), "<u8", len(words))
+    return _majority(iter([hashes]))
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): the fingerprint as a signed 64-bit integer."""
+    fields = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            found = np.array([wide_fingerprint(x, words=words) for x in batch.column(1).to_pylist()], np.uint64)
-            columns = [batch.column(i) for i in range(len(kept) + 1) if i != 1]
-            columns += [pa.array(x) for x in found.reshape(-1, words).T.copy().view(np.int64)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
+            found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"])
 
-    return df.select(id_col, text_col, *more).mapInArrow(run, fields + "".join(f", {x} long" for x in names))
+    return df.select(id_col, text_col).mapInArrow(run, fields)
 
 
 def _bits(n: int) -> Column:
@@ -238,79 +243,213 @@ def segments(n: int, near: int = NEAR) -> list[tuple[int, int, int]]:
     ]
 
 
-def wide_links(distinct: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, far: int = FAR, most_pairs: int = 8) -> DataFrame:
-    """(a, b), nodes that link: enough to connect all that links connect.
+def shapes(keyed: DataFrame) -> DataFrame:
+    """(of, key, s0, s1, size, fp) of (of, text, key): 128 bits of the set of shingles, its size, the words' fingerprint."""
+    fields = ", ".join(f"{x} {keyed.schema[x].dataType.simpleString()}" for x in ("of", "key"))
 
-    ``distinct`` has (node, fp0...), best checkpointed: it is read several times.
-    """
-    prints = [x for x in distinct.columns if x != "node"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            rows = []
+            for text in batch.column(1).to_pylist():
+                known = shingle_set(text)
+                digest = xxhash.xxh3_128_digest(known.tobytes())
+                rows.append((*np.frombuffer(digest, "<i8").tolist(), len(known), int(np.uint64(word_print(text)).view(np.int64))))
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["of", "key", "s0", "s1", "size", "fp"])
+
+    return keyed.select("of", "text", "key").mapInArrow(run, f"{fields}, s0 long, s1 long, size long, fp long")
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """(node, known) of (node, text): the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            found = [shingle_set(x).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "known"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, known array<long>")
+
+
+def _slots(nodes: DataFrame, cuts: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(key, node, fp, size), as held in the segments' tables and as asked for; a key names its segment too."""
     held, asked = [], []
     for number, (shift, width, radius) in enumerate(cuts):
-        key = F.shiftrightunsigned("fp0", shift).bitwiseAND((1 << width) - 1)
+        key = F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
         flips = [sum(1 << i for i in at) for r in range(1, radius + 1) for at in combinations(range(width), r)]
         # of two that differ the one asks that has the lowest differing bit unset
         asks = F.filter(F.array(*map(F.lit, flips or [0])), lambda x: key.bitwiseAND(x.bitwiseAND(-x)) == 0)  # noqa: B023
         ball = F.concat(F.array(key), F.transform(asks, key.bitwiseXOR)) if flips else F.array(key)
-        held.append(F.struct(F.lit(number).alias("cut"), key.cast("long").alias("key")))
-        asked.append(F.transform(ball, lambda x: F.struct(F.lit(number).alias("cut"), x.cast("long").alias("key"))))  # noqa: B023
-    held = distinct.select("*", F.explode(F.array(*held)).alias("k")).select("k.cut", "k.key", "node", *prints)
-    asked = distinct.select("*", F.explode(F.flatten(F.array(*asked))).alias("k")).select("k.cut", "k.key", "node", *prints)
-    count = lambda rows, name: rows.groupBy("cut", "key").agg(F.count("*").alias(name))
-    sizes = count(held, "n_held").join(count(asked, "n_asked"), ["cut", "key"])
-    hot = checkpointed(sizes.where(
-        F.col("n_held") * F.col("n_asked") > most_pairs * (F.col("n_held") + F.col("n_asked"))
-    ))
-    calm = F.broadcast(hot.select("cut", "key")) if hot.count() <= FEW_KEYS else hot.select("cut", "key")
-    a, b = asked.join(calm, ["cut", "key"], "left_anti").alias("a"), held.join(calm, ["cut", "key"], "left_anti").alias("b")
-    differ = lambda names: sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in names), F.lit(0))
-    pairs = (
-        a.join(b, (F.col("a.cut") == F.col("b.cut")) & (F.col("a.key") == F.col("b.key")))
-        .where((F.col("a.node") != F.col("b.node")) & (differ(prints[:1]) <= near) & (differ(prints) <= far))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        named = lambda x: x.cast("long") * len(cuts) + number  # noqa: B023, E731
+        held.append(named(key))
+        asked.append(F.transform(ball, named))
+    rest = ("node", "fp", "size")
+    return (
+        nodes.select(F.explode(F.array(*held)).alias("key"), *rest),
+        nodes.select(F.explode(F.flatten(F.array(*asked))).alias("key"), *rest),
     )
-    # crowded keys: blocks of those who ask meet blocks of those held
-    n_blocks = lambda x: F.ceil(F.col(x) / BLOCK)
-    own_block = lambda x: F.pmod(F.xxhash64("node"), n_blocks(x))
-    every_block = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), n_blocks(x) - 1))
-    crowd = asked.join(hot, ["cut", "key"]).select("cut", "key", own_block("n_asked").alias("x"), every_block("n_held").alias("y"), "node", *prints)
-    table = held.join(hot, ["cut", "key"]).select("cut", "key", every_block("n_asked").alias("x"), own_block("n_held").alias("y"), *[F.col(x).alias(x) for x in ("node", *prints)])
-
-    def smallest(asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
-        left, right = _groups(_bits_of(asks, prints), _bits_of(has, prints), near, far)
-        both = pd.DataFrame({"b": np.concatenate([asks["node"], has["node"]]), "group": np.concatenate([left, right])})
-        both = both[both["group"] >= 0]  # the others link to nothing here
-        both["a"] = both.groupby("group")["b"].transform("min")
-        return both.loc[both["a"] != both["b"], ["a", "b"]].drop_duplicates()
-
-    keys = ("cut", "key", "x", "y")
-    found = crowd.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(smallest, "a long, b long")
-    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.unionByName(found).select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
 
 
-def _bits_of(rows: pd.DataFrame, prints: list[str]) -> np.ndarray:
-    return rows[prints].to_numpy(np.int64).view(np.uint64).reshape(-1, len(prints))
+def _dealt(asked: DataFrame, held: DataFrame, weights: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both with blocks (x, y), so that each block of those who ask meets each block of those held in one group.
+
+    ``weights`` has (key, n_asked, n_held); a block weighs about ``limit``.
+    """
+    n_blocks = lambda x: F.ceil(F.col(x) / limit)
+    own = lambda x: F.pmod(F.xxhash64("node"), n_blocks(x))
+    every = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), n_blocks(x) - 1))
+    return (
+        asked.join(weights, "key").select(*asked.columns, own("n_asked").alias("x"), every("n_held").alias("y")),
+        # new names for the same columns, as both sides may come from the same rows
+        held.join(weights, "key").select(*[F.col(x).alias(x) for x in held.columns], every("n_asked").alias("x"), own("n_held").alias("y")),
+    )
 
 
-def _groups(asks: np.ndarray, has: np.ndarray, near: int, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Groups that links between the two connect, as a number for each row of both; -1 for rows without a link."""
-    label, linked, met = np.arange(len(has)), np.zeros(len(has), bool), np.full(len(asks), -1)
-    for first in range(0, len(asks), 256) if len(has) else ():
-        close = np.bitwise_count(asks[first : first + 256, None, 0] ^ has[None, :, 0]) <= near
-        for row in np.flatnonzero(close.any(1)).tolist():
-            at, row = np.flatnonzero(close[row]), first + row
-            at = at[np.bitwise_count(asks[row] ^ has[at]).sum(1, dtype=np.int64) <= far]
-            if not len(at):
-                continue
-            met[row], linked[at] = at[0], True
-            groups = np.unique(label[at])
-            for other in groups[1:].tolist():
-                label[label == other] = groups[0]
-    return np.where(met < 0, -1, label[met]) if len(has) else met, np.where(linked, label, -1)
+def _near(a: pd.DataFrame, b: pd.DataFrame, near: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of ``a`` from which on, and which of them may link to which of ``b``, by fingerprints and sizes."""
+    fp_a, fp_b = a["fp"].to_numpy(np.int64).view(np.uint64), b["fp"].to_numpy(np.int64).view(np.uint64)
+    n_a, n_b = a["size"].to_numpy(np.int64), b["size"].to_numpy(np.int64)
+    node_a, node_b = a["node"].to_numpy(np.int64), b["node"].to_numpy(np.int64)
+    for first in range(0, len(a), 256):
+        at = slice(first, first + 256)
+        may = np.bitwise_count(fp_a[at, None] ^ fp_b[None]) <= near
+        may &= (OF * n_a[at, None] >= COMMON * n_b[None]) & (OF * n_b[None] >= COMMON * n_a[at, None])
+        yield first, may & (node_a[at, None] != node_b[None])
+
+
+def _smallest(a: pd.DataFrame, b: pd.DataFrame, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of both the smallest node of the other that it may link to; the largest integer where none is."""
+    none = np.iinfo(np.int64).max
+    node_a, node_b = a["node"].to_numpy(np.int64), b["node"].to_numpy(np.int64)
+    of_a, of_b = np.full(len(a), none), np.full(len(b), none)
+    for first, may in _near(a, b, near):
+        of_a[first : first + len(may)] = np.where(may, node_b[None], none).min(1, initial=none)
+        of_b = np.minimum(of_b, np.where(may, node_a[first : first + len(may), None], none).min(0, initial=none))
+    return of_a, of_b
+
+
+def _first_pairs(a: pd.DataFrame, b: pd.DataFrame, near: int) -> pd.DataFrame:
+    of_a, of_b = _smallest(a, b, near)
+    found = pd.DataFrame({"a": np.concatenate([a["node"], b["node"]]), "b": np.concatenate([of_a, of_b])}, dtype=np.int64)
+    found = found[found["b"] != np.iinfo(np.int64).max]
+    return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)}, dtype=np.int64).drop_duplicates()
+
+
+def _undecided(a: pd.DataFrame, b: pd.DataFrame, near: int) -> pd.DataFrame:
+    """Rows of both that may link to one of another component and weren't each other's smallest."""
+    of_a, of_b = _smallest(a, b, near)
+    root_a, root_b = a["root"].to_numpy(np.int64), b["root"].to_numpy(np.int64)
+    node_a, node_b = a["node"].to_numpy(np.int64), b["node"].to_numpy(np.int64)
+    some_a, some_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for first, may in _near(a, b, near):
+        at = slice(first, first + len(may))
+        may &= root_a[at, None] != root_b[None]
+        may &= (of_a[at, None] != node_b[None]) & (of_b[None] != node_a[at, None])
+        some_a[at], some_b = may.any(1), some_b | may.any(0)
+    key = a["key"].iloc[0] if len(a) else b["key"].iloc[0] if len(b) else 0
+    nodes = np.concatenate([node_a[some_a], node_b[some_b]])
+    return pd.DataFrame({"key": np.full(len(nodes), key), "node": nodes, "asks": np.arange(len(nodes)) < some_a.sum()})
+
+
+def _by_sets(a: pd.DataFrame, b: pd.DataFrame, near: int) -> pd.DataFrame:
+    """Links between the two, enough to connect all that links connect."""
+    linked = []
+    if len(a) and len(b):
+        values, places = np.unique(np.concatenate(list(b["known"])), return_inverse=True)
+        ends = np.cumsum([len(x) for x in b["known"]])
+        parts = np.split(places, ends[:-1])
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        node_a, node_b, n_b = a["node"].tolist(), b["node"].tolist(), b["size"].tolist()
+        root_a, root_b, n_a, known_a = a["root"].tolist(), b["root"].tolist(), a["size"].tolist(), a["known"].tolist()
+        for first, may in _near(a, b, near):
+            for row in np.flatnonzero(may.any(1)).tolist():
+                i = first + row
+                has = np.zeros(len(values), bool)
+                at = np.searchsorted(values, known_a[i])
+                at[at == len(values)] = 0
+                has[at[values[at] == known_a[i]]] = True
+                for j in np.flatnonzero(may[row]).tolist():
+                    p, q = root(root_a[i]), root(root_b[j])
+                    if p != q:
+                        both = int(np.count_nonzero(has[parts[j]]))
+                        if OF * both >= COMMON * (n_a[i] + n_b[j] - both):
+                            up[max(p, q)] = min(p, q)
+                            linked.append((node_a[i], node_b[j]))
+    return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
+
+
+def near_copies(nodes: DataFrame, texts: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, most_pairs: int = 8) -> DataFrame:
+    """(node, root) of all nodes that link to others: the smallest node that each reaches.
+
+    ``nodes`` has (node, fp, size, key), best checkpointed; ``texts`` has (key, text), where repeated rows do no harm.
+    """
+    held, asked = _slots(nodes, cuts)
+    count = lambda rows, name: rows.groupBy("key").agg(F.count("*").alias(name))
+    weights = count(held, "n_held").join(count(asked, "n_asked"), "key")
+    hot = checkpointed(weights.where(
+        F.col("n_held") * F.col("n_asked") > most_pairs * (F.col("n_held") + F.col("n_asked"))
+    ))
+    hot_keys = F.broadcast(hot.select("key")) if hot.count() <= FEW_KEYS else hot.select("key")
+    one, two = asked.join(hot_keys, "key", "left_anti").alias("a"), held.join(hot_keys, "key", "left_anti").alias("b")
+    fits = F.expr(f"{OF} * a.size >= {COMMON} * b.size and {OF} * b.size >= {COMMON} * a.size and bit_count(a.fp ^ b.fp) <= {near}")
+    pairs = (
+        one.join(two, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node")) & fits)
+        .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    )
+    block = ("key", "x", "y")
+    met = lambda a, b: a.groupBy(*block).cogroup(b.groupBy(*block))
+    first = met(*_dealt(asked, held, hot, BLOCK)).applyInPandas(lambda a, b: _first_pairs(a, b, near), "a long, b long")
+    fetched = checkpointed(pairs.unionByName(first).distinct())
+    needed = fetched.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    known = checkpointed(sets(texts.join(needed, "key").dropDuplicates(["node"])))
+    left, right = known.toDF("a", "known_a"), known.toDF("b", "known_b")
+    both = F.size(F.array_intersect("known_a", "known_b"))
+    linked = (
+        fetched.join(left, "a").join(right, "b")
+        .where(OF * both >= COMMON * (F.size("known_a") + F.size("known_b") - both)).select("a", "b")
+    )
+    roots = components(_turned(linked))
+    if hot.isEmpty():
+        return roots
+    labelled = checkpointed(
+        nodes.join(needed.select("node"), "node").join(roots, "node", "left")
+        .select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
+    )
+    rooted = lambda rows: rows.join(hot_keys, "key", "left_semi").join(labelled.select("node", "root"), "node")
+    again = checkpointed(
+        met(*_dealt(rooted(asked), rooted(held), hot, BLOCK))
+        .applyInPandas(lambda a, b: _undecided(a, b, near), "key long, node long, asks boolean").distinct()
+    )
+    if again.isEmpty():
+        return roots
+    again = again.join(labelled, "node")
+    weights = again.groupBy("key").agg(
+        F.sum(F.when(F.col("asks"), F.col("size"))).alias("n_asked"), F.sum(F.when(~F.col("asks"), F.col("size"))).alias("n_held")
+    )
+    again = again.join(known, "node")
+    rest = met(*_dealt(again.where("asks"), again.where("not asks"), weights, SET_BLOCK)).applyInPandas(
+        lambda a, b: _by_sets(a, b, near), "a long, b long"
+    )
+    rest = checkpointed(rest)
+    if rest.isEmpty():
+        return roots
+    return components(_turned(rest.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each wide component, with all columns: the smallest id, null last, then the smallest hash.
+    """One row of each component of near copies, with all columns: the smallest id, null last, then the smallest hash.
 
     Rows are told apart by 128 bits over all their columns, not by their ids.
     """
@@ -318,16 +457,16 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows += [x.isNull() for x in rows]  # a null leaves a hash as it is
     key = F.struct(F.xxhash64(*rows).alias("a"), F.xxhash64(F.lit(1), *rows).alias("b"))
     keyed = df.select(F.col(f"`{id_col}`").alias("of"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
-    found = checkpointed(fingerprints(keyed, "of", "text", "key", words=WORDS))
-    # equal rows have equal fingerprints, so that their component is the same
-    prints = [f"fp{k}" for k in range(WORDS)]
+    found = checkpointed(shapes(keyed))
+    # equal rows have equal sets, so that their component is the same
     rank = F.struct(F.col("of").isNull().alias("unnamed"), "of", "key")
-    by_print = found.groupBy(*prints, rank.alias("rank")).agg(F.count("*").alias("n"))
-    by_print = by_print.groupBy(*prints).agg(F.min(F.struct("rank", "n")).alias("least"))
-    nodes = checkpointed(by_print.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(wide_links(nodes.select("node", *prints), segments(nodes.count())))
+    by_rank = found.groupBy("s0", "s1", rank.alias("rank")).agg(F.count("*").alias("n"), F.min("size").alias("size"), F.min("fp").alias("fp"))
+    by_set = by_rank.groupBy("s0", "s1").agg(F.min(F.struct("rank", "n", "size", "fp")).alias("least"))
+    nodes = checkpointed(by_set.select("least", F.monotonically_increasing_id().alias("node")))
+    narrow = nodes.select("node", "least.fp", "least.size", F.col("least.rank.key").alias("key"))
+    roots = near_copies(narrow, keyed.select("key", "text"), segments(nodes.count()))
     chosen = checkpointed(
-        nodes.select("node", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+        nodes.join(roots, "node", "left")
         .groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("least").alias("least"))
         .select(F.col("least.rank.key").alias("stays"), F.col("least.n").alias("n"))
     )
