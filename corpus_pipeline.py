@@ -2,14 +2,16 @@
 
 1. ``language_id``: documents whose language the model rejects (among them those without a
    letter) go.
-2. ``near_dedup``: of each component of linked wide SimHash fingerprints one row stays, that with
+2. ``near_dedup``: texts link if four in five of their five-word shingles are common and the SimHash
+   fingerprints of their distinct words differ in seven bits at most.  Of each component one row stays, that with
    the smallest id, then the smallest hash of its columns.  A row with a null id stays only if
    its component has no id at all; an id that names rows of several components can stay in each.
 3. ``pii``: personal data gives way to ``<KIND>`` marks.
 4. ``mix``: documents are dropped or repeated so that each source comes near its target.
 5. ``bpe``: the result, a row for each kept copy: doc_id, n_tokens, ids and digests.
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``.  Null and empty texts go with the first stage, as they have no
+letter; very long ones are worked through whole, in blocks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
