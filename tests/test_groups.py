@@ -220,6 +220,26 @@ def test_plan_guards_and_dry_run(spark):
     assert {x["path"] for x in actions.groups_after(df, pick("/r/a", "/r/d")).collect()} == {"/r/b", "/r/c"}
 
 
+def test_a_dry_run_is_logged_record_by_record(spark, tmp_path):
+    shape = "group_id string, path string, size long, mtime_ns long, inode long, device long, hash string, verdict string"
+    df = spark.createDataFrame([("g", f"/r/{x}", 5, 1, i, 1, "h", "keep" if x == "a" else "delete") for i, x in enumerate("abc")], shape)
+    planned, folder = actions.plan(df, df.where("verdict = 'delete'")), str(tmp_path / "log")
+    now = df.withColumn("mtime_ns", F.when(F.col("path") == "/r/c", 2).otherwise(F.col("mtime_ns")).cast("long"))
+    for mode in (actions.TRASH, actions.HARDLINK):  # the second adds to the first
+        assert actions.logged_dry_run(planned, df, now, folder, mode).count() == 2
+    lines = [json.loads(x["value"]) for x in spark.read.text(folder).collect()]
+    assert {x["action"] for x in lines} == {"trash", "hardlink"} and len(lines) == 4
+    by = {(x["action"], x["path"]): x for x in lines}
+    plain = by["trash", "/r/b"]
+    assert plain.pop("ts").endswith("+00:00")
+    assert plain == {"action": "trash", "kind": "file", "path": "/r/b", "size": 5, "hash": "h", "status": "would act"}
+    assert by["hardlink", "/r/b"]["linked_to"] == "/r/a" and "identity" in by["trash", "/r/c"]["detail"]
+    assert report.read_log(spark, folder).where("linked_to is null").count() == 2
+    # folders of a hidden plan say what they are, and have no hash
+    hidden_plan = planned.drop("hash").withColumn("is_dir", F.lit(True))
+    assert {(x["kind"], x["hash"]) for x in actions.log_records(hidden_plan, actions.dry_run(planned, df, now)).collect()} == {("folder", None)}
+
+
 def test_snapshot(spark, tmp_path):
     row = ("/a", 1, 2, 3, 4, "p", None, "x", "v1")
     old = spark.createDataFrame([row, ("/b", 1, 2, 3, 4, "p", "f", None, None)], snapshot.SCHEMA)

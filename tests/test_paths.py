@@ -1,3 +1,5 @@
+import stat
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,11 @@ def test_categories(spark):
     assert column(spark, files, paths.category) == ["Images", "Video", "Documents", "Archives", "Audio", "Other", "Images", "Images"]
     assert column(spark, files, paths.is_raster) == [True, False, False, False, False, False, False, False]
     assert column(spark, files, lambda p: paths.is_raster(p, codec=True))[6]
+
+
+def test_modes_as_text(spark):
+    modes = list(range(0, 1 << 16, 7)) + [0o100644, 0o104755, 0o042755, 0o041777, 0o120777]
+    rows = spark.createDataFrame([(x,) for x in modes], "mode int").select("mode", paths.mode_text(F.col("mode"))).collect()
+    known = {1, 2, 4, 6, 8, 10, 12}
+    assert all(shown[1:] == f"{stat.filemode(mode)[1:]} ({mode & 0o7777:04o})" for mode, shown in rows)
+    assert all(shown[0] == (stat.filemode(mode)[0] if mode >> 12 in known else "?") for mode, shown in rows)

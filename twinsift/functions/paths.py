@@ -139,6 +139,27 @@ def human_size(n: Column) -> Column:
     return out
 
 
+#: The letter of each kind of file, by the mode's bits from the twelfth on.
+KINDS_OF_MODE = {1: "p", 2: "c", 4: "d", 6: "b", 8: "-", 10: "l", 12: "s"}
+
+
+def mode_text(mode: Column) -> Column:
+    """A mode as ``-rw-r--r-- (0644)``: kind, rights with the set-id and sticky bits, then the rights as octal digits."""
+    has = lambda bit: mode.bitwiseAND(bit) != 0
+    kind = F.lit("?")
+    for number, letter in KINDS_OF_MODE.items():
+        kind = F.when(F.shiftright(mode, 12).bitwiseAND(15) == number, letter).otherwise(kind)
+    parts = [kind]
+    for shift, special, letter in ((6, 0o4000, "s"), (3, 0o2000, "s"), (0, 0o1000, "t")):
+        parts += [F.when(has(bit << shift), name).otherwise("-") for bit, name in ((4, "r"), (2, "w"))]
+        runs = has(1 << shift)
+        parts.append(
+            F.when(has(special), F.when(runs, letter).otherwise(letter.upper())).otherwise(F.when(runs, "x").otherwise("-"))
+        )
+    octal = F.lpad(F.conv(mode.bitwiseAND(0o7777).cast("string"), 10, 8), 4, "0")
+    return F.concat(*parts, F.lit(" ("), octal, F.lit(")"))
+
+
 def partial_digest(content: Column, edge: int = 1 << 16) -> Column:
     """Of the size and both ends of the content, which don't overlap."""
     raw = content.cast("binary")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import exact, keep
+from . import base, exact, keep
 
 SORTS = ("reclaimable", "size", "count", "name", "path")
 
@@ -26,12 +28,14 @@ def by_text(members: DataFrame, text: str) -> DataFrame:
     return members.join(some, "group_id", "left_semi")
 
 
-def ordered(members: DataFrame, sort: str = "reclaimable") -> DataFrame:
-    """Groups with their sort keys, in order."""
+def _with_names(members: DataFrame) -> DataFrame:
     names = members.groupBy("group_id").agg(
         F.min(F.lower(paths.name(F.col("path")))).alias("first_name"), F.min(F.lower("path")).alias("first_lower_path")
     )
-    rows = exact.groups(members).join(names, "group_id")
+    return exact.groups(members).join(names, "group_id")
+
+
+def _order(sort: str) -> list[Column]:
     orders: dict[str, list[Column]] = {
         "reclaimable": [F.desc("reclaimable"), F.col("hash")],
         "size": [F.desc("size"), F.desc("reclaimable"), F.col("hash")],
@@ -39,7 +43,21 @@ def ordered(members: DataFrame, sort: str = "reclaimable") -> DataFrame:
         "name": [F.col("first_name"), F.col("hash")],
         "path": [F.col("first_lower_path"), F.col("hash")],
     }
-    return rows.orderBy(*orders[sort], "group_id")
+    return [*orders[sort], F.col("group_id")]
+
+
+def ordered(members: DataFrame, sort: str = "reclaimable") -> DataFrame:
+    """Groups with their sort keys, in order."""
+    return _with_names(members).orderBy(*_order(sort))
+
+
+def places(members: DataFrame, *sorts: str) -> DataFrame:
+    """(sort, group_id, place): each group's place, from 0, in each of the orders (all of them, if none is named)."""
+    groups = base.checkpointed(_with_names(members))
+    found = [
+        base.numbered(groups, _order(sort), "place").select(F.lit(sort).alias("sort"), "group_id", "place") for sort in sorts or SORTS
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def representatives(members: DataFrame) -> DataFrame:

@@ -217,6 +217,14 @@ ORACLES: dict[str, str] = {
     "view_by_text": BASE + " select group_id, path, size from members where group_id in (select group_id from members where contains(lower(path), 'downloads/copy'))",
     "view_sort_count": BASE + f" select group_id, n_files, reclaimable, size from ({GROUPS}) order by n_files desc, reclaimable desc",
     "view_sort_name": BASE + f" select group_id, min(lower({NAME})) as first_name, min(lower(path)) as first_lower_path from members group by group_id order by first_name",
+    "view_places": BASE + f""", named as (
+        select group_id, hash, size, count(*) as n, size * (count(*) - 1) as reclaimable, min(lower({NAME})) as first_name,
+          min(lower(path)) as first_path from members group by group_id, hash, size
+      ) select 'reclaimable' as sort, group_id, row_number() over (order by reclaimable desc, hash, group_id) - 1 as place from named
+      union all select 'size', group_id, row_number() over (order by size desc, reclaimable desc, hash, group_id) - 1 from named
+      union all select 'count', group_id, row_number() over (order by n desc, reclaimable desc, hash, group_id) - 1 from named
+      union all select 'name', group_id, row_number() over (order by first_name, hash, group_id) - 1 from named
+      union all select 'path', group_id, row_number() over (order by first_path, hash, group_id) - 1 from named""",
     "view_representatives": BASE + f" select group_id, min(path) as representative from members where {CATEGORY} = 'Images' group by group_id",
     "row_status": STATUS + f" select group_id, path, checked, case when {SHIELDED} then 'protected' when checked then 'delete' else 'keep' end as status from checked",
     "selection_totals": STATUS + " select count(*) filter (checked) as n_selected, coalesce(sum(size) filter (checked), 0)::bigint as selected_size from checked",
@@ -227,6 +235,8 @@ ORACLES: dict[str, str] = {
       from members group by group_id, hash, size""",
     "hidden_items": HIDDEN + """ select *, concat_ws('; ', case when protected then 'Protected: essential configuration' end,
       case when home_dot then 'Inside a hidden folder of your home' end) as notes from hidden""",
+    "hidden_json": HIDDEN + """ select path, concat('{"path":"', path, '","type":"', case when is_dir then 'folder' else 'file' end, '","size":', size,
+      ',"category":"', category, '","protected":', protected, ',"home_toplevel_dot":', home_dot, ',"preselect":', preselect, '}') as json from hidden""",
     "hidden_preselected": HIDDEN + " select coalesce(sum(size) filter (preselect), 0)::bigint as reclaimable_preselected, count(*) filter (preselect) as n from hidden",
     "tree_size": BASE + f""", steps as (select size, {PARTS} as parts, unnest(range(1, len({PARTS}))) as lvl from files)
       select '/' || array_to_string(parts[1:lvl], '/') as folder, count(*) as n_files, sum(size)::bigint as size from steps group by folder""",
@@ -272,6 +282,12 @@ ORACLES: dict[str, str] = {
     "dry_run_hardlink": CHECKED + """ select path, case when problem is not null then 'changed since scan' when group_id not in (select group_id from linked) then 'kept copy missing or changed'
         when target_device <> device then 'failed' when target_inode = inode then 'already hard-linked' else 'would act' end as status,
       case when problem is not null then problem when group_id in (select group_id from linked) and target_device <> device then 'different filesystem' else '' end as detail from checked""",
+    "action_log": CHECKED + """, logged as (
+        select *, case when problem is not null then 'changed since scan' when group_id not in (select group_id from linked) then 'kept copy missing or changed'
+          when target_device <> device then 'failed' when target_inode = inode then 'already hard-linked' else 'would act' end as status
+        from checked
+      ) select 'hardlink' as action, 'file' as kind, path, size, hash, status,
+        case when problem is not null then problem when status = 'failed' then 'different filesystem' end as detail, link_target as linked_to from logged""",
     "dry_run_summary": DRY + " select status, count(*) as n, coalesce(sum(size) filter (status = 'would act'), 0)::bigint as freed from dry group by status",
     "dry_run_examples": DRY + " select path, status, row_number() over (partition by status order by group_id, path)::int as place from dry where status <> 'would act' qualify place <= 10",
     "hidden_plan": HIDDEN + " select distinct concat(path, ': is on the protected list and was not explicitly confirmed') as reason from hidden where protected and path not like '%1.swp'",
@@ -334,6 +350,15 @@ ORACLES |= {
       coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable from ranked""",
     "hidden_risky": HIDDEN + " select path, size from hidden where protected or home_dot",
     "mtime_shown": BASE + " select path, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d %H:%M') as shown from files",
+    "mode_shown": BASE + """, modes as (select path, (inode * 7919 % 65536)::int as mode from files)
+      select path, mode, concat(case mode >> 12 when 1 then 'p' when 2 then 'c' when 4 then 'd' when 6 then 'b' when 8 then '-' when 10 then 'l' when 12 then 's' else '?' end,
+        case when mode & 256 > 0 then 'r' else '-' end, case when mode & 128 > 0 then 'w' else '-' end,
+        substr('-xSs', (2 * (mode >> 11 & 1) + (mode >> 6 & 1) + 1)::int, 1),
+        case when mode & 32 > 0 then 'r' else '-' end, case when mode & 16 > 0 then 'w' else '-' end,
+        substr('-xSs', (2 * (mode >> 10 & 1) + (mode >> 3 & 1) + 1)::int, 1),
+        case when mode & 4 > 0 then 'r' else '-' end, case when mode & 2 > 0 then 'w' else '-' end,
+        substr('-xTt', (2 * (mode >> 9 & 1) + (mode & 1) + 1)::int, 1),
+        ' (', mode >> 9 & 7, mode >> 6 & 7, mode >> 3 & 7, mode & 7, ')') as shown from modes""",
     "pixel_similarity": """with points as (
         select vec_id, (k - 1) // 8 as r, (k - 1) % 8 as c, greatest(0, least(255, floor(embedding[k]::double * 512 + 128))) as v
         from embeddings, (select unnest(range(1, 65)) as k) where len(embedding) >= 64

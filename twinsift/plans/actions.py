@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..operators.similar import checkpointed
+from ..sources import report
 
 TRASH, PERMANENT, HARDLINK = "trash", "permanent", "hardlink"
 #: What can come of an item.
@@ -73,7 +74,7 @@ def plan(members: DataFrame, selection: DataFrame) -> DataFrame:
     return chosen.join(keepers, "group_id", "left").select(
         "group_id", "path", "size", "mtime_ns", "inode", "device", "n_keepers",
         F.col("keeper.path").alias("link_target"), F.col("keeper.device").alias("target_device"),
-        F.col("keeper.inode").alias("target_inode"),
+        F.col("keeper.inode").alias("target_inode"), *[x for x in ("hash", "is_dir") if x in chosen.columns],
     )
 
 
@@ -178,6 +179,28 @@ def dry_run(planned: DataFrame, members: DataFrame, listing: DataFrame, mode: st
     return rows.select("group_id", "path", "size", status.otherwise(WOULD_ACT).alias("status"), F.coalesce(detail, F.lit("")).alias("detail"))
 
 
+def log_records(planned: DataFrame, results: DataFrame, mode: str = TRASH) -> DataFrame:
+    """What the action log says of each result: nulls, which JSON leaves out, where there is nothing to say."""
+    known = planned.select(
+        F.col("path").alias("of"), *[x for x in ("hash", "is_dir") if x in planned.columns],
+        (F.col("link_target") if mode == HARDLINK else F.lit(None).cast("string")).alias("linked_to"),
+    )
+    folder = F.col("is_dir") if "is_dir" in planned.columns else F.lit(False)
+    digest = F.col("hash") if "hash" in planned.columns else F.lit(None).cast("string")
+    return results.join(known, F.col("path") == F.col("of")).select(
+        F.lit(mode).alias("action"), F.when(folder, "folder").otherwise("file").alias("kind"), "path", "size", digest.alias("hash"),
+        "status", F.nullif(F.col("detail"), F.lit("")).alias("detail"), "linked_to",
+    )
+
+
+def logged_dry_run(planned: DataFrame, members: DataFrame, listing: DataFrame, folder: str, mode: str = TRASH) -> DataFrame:
+    """The results of a dry run, of which the log in ``folder`` has a record each before they are returned."""
+    planned = checkpointed(planned)
+    results = checkpointed(dry_run(planned, members, listing, mode))
+    report.append_log(log_records(planned, results, mode), folder)
+    return results
+
+
 def summary(results: DataFrame, dry: bool = True) -> DataFrame:
     """(status, n, freed) of every status that occurs."""
     ok = WOULD_ACT if dry else DONE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .operators import exact, hidden, keep, similar, view
+from .operators.base import ensure_checkpoints
 from .plans import actions
 from .sources import adapters, images, perceptual, report, snapshot
 
@@ -165,6 +167,11 @@ def view_sort_name(spark, sf_dir):
     return view.ordered(_members(spark, sf_dir), "name").select("group_id", "first_name", "first_lower_path")
 
 
+@query
+def view_places(spark, sf_dir):
+    return view.places(_members(spark, sf_dir))
+
+
 @query
 def view_representatives(spark, sf_dir):
     return view.representatives(_members(spark, sf_dir))
@@ -208,6 +215,11 @@ def hidden_items(spark, sf_dir):
     return found.withColumn("notes", hidden.notes(F.col("protected"), F.col("home_dot")))
 
 
+@query
+def hidden_json(spark, sf_dir):
+    return report.hidden_json(_hidden(spark, sf_dir))
+
+
 @query
 def hidden_preselected(spark, sf_dir):
     return hidden.reclaimable_preselected(_hidden(spark, sf_dir))
@@ -445,6 +457,13 @@ def mtime_shown(spark, sf_dir):
     return adapters.files(spark, sf_dir).select("path", view.shown_time(F.col("mtime_ns")).alias("shown"))
 
 
+@query
+def mode_shown(spark, sf_dir):
+    """Identities stand for modes, of all kinds and rights."""
+    mode = (F.col("inode") * 7919 % 65536).cast("int")
+    return adapters.files(spark, sf_dir).select("path", mode.alias("mode"), paths.mode_text(mode).alias("shown"))
+
+
 def _listing(spark, sf_dir):
     """The same files later: some gone, some touched."""
     later = F.when(F.col("inode") % 11 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns"))
@@ -472,6 +491,15 @@ def dry_run_hardlink(spark, sf_dir):
     return _dry(spark, sf_dir, actions.HARDLINK).select("path", "status", "detail")
 
 
+@query
+def action_log(spark, sf_dir):
+    """The log of a dry run, read again from its folder."""
+    planned, recommended = _plan(spark, sf_dir)
+    folder = f"{ensure_checkpoints(spark)}/log-{uuid.uuid4().hex}"
+    actions.logged_dry_run(planned, recommended, _listing(spark, sf_dir), folder, actions.HARDLINK)
+    return report.read_log(spark, folder).drop("ts")
+
+
 @query
 def dry_run_summary(spark, sf_dir):
     return actions.summary(_dry(spark, sf_dir, actions.TRASH))

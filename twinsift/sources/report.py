@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import human_size
@@ -134,9 +134,18 @@ def write_document(write, head: dict[str, object], lists: dict[str, DataFrame |
     write("}\n")
 
 
-def append_log(results: DataFrame, folder: str, mode: str) -> None:
-    """Results of actions as JSON lines, added to those before."""
-    results.withColumns({"mode": F.lit(mode), "at": F.current_timestamp()}).write.mode("append").json(folder)
+#: Columns of the action log; each record also has ``ts``, its time in UTC to the second.
+LOG = "ts string, action string, kind string, path string, size long, hash string, status string, detail string, linked_to string"
+
+
+def append_log(records: DataFrame, folder: str) -> None:
+    """Results of actions as JSON lines, added to those before; an attempt that fails leaves no records."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    records.select(now.alias("ts"), "*").write.mode("append").json(folder)
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LOG).json(folder)
 
 
 def summary_text(summary: DataFrame, examples: DataFrame, mode: str = "trash", dry: bool = True) -> str:
