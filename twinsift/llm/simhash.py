@@ -243,6 +243,14 @@ def segments(n: int, near: int = NEAR) -> list[tuple[int, int, int]]:
     ]
 
 
+def crowded(n: int, cuts: list[tuple[int, int, int]]) -> float:
+    """From how many pairs a row on a key of ``n`` texts is crowded: a dozen times its share of them, eight at least.
+
+    So a key counts as crowded because of its group, however many texts there are.
+    """
+    return max(8.0, 12 * n / (1 << min(width for _, width, _ in cuts)))
+
+
 def shapes(keyed: DataFrame) -> DataFrame:
     """(of, key, s0, s1, size, fp) of (of, text, key): 128 bits of the set of shingles, its size, the words' fingerprint."""
     fields = ", ".join(f"{x} {keyed.schema[x].dataType.simpleString()}" for x in ("of", "key"))
@@ -390,7 +398,7 @@ def _turned(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
 
 
-def near_copies(nodes: DataFrame, texts: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, most_pairs: int = 8) -> DataFrame:
+def near_copies(nodes: DataFrame, texts: DataFrame, cuts: list[tuple[int, int, int]], near: int = NEAR, most_pairs: float = 8) -> DataFrame:
     """(node, root) of all nodes that link to others: the smallest node that each reaches.
 
     ``nodes`` has (node, fp, size, key), best checkpointed; ``texts`` has (key, text), where repeated rows do no harm.
@@ -464,7 +472,9 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_set = by_rank.groupBy("s0", "s1").agg(F.min(F.struct("rank", "n", "size", "fp")).alias("least"))
     nodes = checkpointed(by_set.select("least", F.monotonically_increasing_id().alias("node")))
     narrow = nodes.select("node", "least.fp", "least.size", F.col("least.rank.key").alias("key"))
-    roots = near_copies(narrow, keyed.select("key", "text"), segments(nodes.count()))
+    n = nodes.count()
+    cuts = segments(n)
+    roots = near_copies(narrow, keyed.select("key", "text"), cuts, most_pairs=crowded(n, cuts))
     chosen = checkpointed(
         nodes.join(roots, "node", "left")
         .groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("least").alias("least"))
