@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 
 NAMES = (
     "best_variant",
+    "image_cache_hits",
 )
 
 

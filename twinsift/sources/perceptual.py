@@ -44,9 +44,12 @@ def save(rows: DataFrame, folder: str) -> None:
 
 
 def hits(files: DataFrame, known: DataFrame, algo: str = ALGO) -> DataFrame:
-    """(path, values...) of the files that ``known`` has in this very version, by this very algorithm."""
+    """(path, values...) of the files that ``known`` has in this very version, by this very algorithm.
+
+    Each row of ``known`` comes once, however many files or rows share its path.
+    """
     current = known.where(F.col("algo") == algo).select("path", *VERSION, *VALUES)
-    return files.select("path", *VERSION).join(current, ["path", *VERSION]).select("path", *VALUES)
+    return current.join(files.select("path", *VERSION), ["path", *VERSION], "left_semi").select("path", *VALUES)
 
 
 def states(files: DataFrame, known: DataFrame, algo: str = ALGO) -> DataFrame:
