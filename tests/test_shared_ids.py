@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 NAMES = (
     "best_variant",
     "image_cache_hits",
+    "image_cache_states",
 )
 
 

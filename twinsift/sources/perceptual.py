@@ -53,13 +53,15 @@ def hits(files: DataFrame, known: DataFrame, algo: str = ALGO) -> DataFrame:
 
 
 def states(files: DataFrame, known: DataFrame, algo: str = ALGO) -> DataFrame:
-    """(path, state): ``hit``, or why a file is decoded anew: ``new``, ``changed`` or ``stamp``."""
-    same = F.lit(True)
-    for c in VERSION:
-        same = same & (F.col(f"f.{c}") == F.col(f"k.{c}"))
-    rows = files.alias("f").join(known.select("path", *VERSION, "algo").alias("k"), F.col("f.path") == F.col("k.path"), "left")
-    state = F.when(F.col("k.path").isNull(), "new").when(~same, "changed").when(F.col("k.algo") != algo, "stamp").otherwise("hit")
-    return rows.select(F.col("f.path").alias("path"), state.alias("state"))
+    """(path, state): ``hit``, or why a file is decoded anew: ``new``, ``changed`` or ``stamp``.
+
+    Each file comes once; of several known rows of its path the one nearest to a hit counts.
+    """
+    there = known.select("path", F.lit(True).alias("there")).distinct()
+    stamped = known.groupBy("path", *VERSION).agg(F.max(F.coalesce(F.col("algo") == algo, F.lit(False))).alias("stamped"))
+    rows = files.select("path", *VERSION).join(there, "path", "left").join(stamped, ["path", *VERSION], "left")
+    state = F.when(F.col("there").isNull(), "new").when(F.col("stamped").isNull(), "changed").when(~F.col("stamped"), "stamp").otherwise("hit")
+    return rows.select("path", state.alias("state"))
 
 
 def renewed(known: DataFrame, fresh: DataFrame, algo: str = ALGO) -> DataFrame:
