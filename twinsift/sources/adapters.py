@@ -35,7 +35,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, phash, dhash, variants) from the signs of vectors, with near copies."""
+    """(idx, phash, dhash, near, variants) from the signs of vectors, with near copies, whose ids can be other vectors' too."""
     e = F.col("embedding")
     bits = lambda hit: F.aggregate(F.sequence(F.lit(0), F.lit(61)), F.lit(0).cast("long"), lambda a, i: a + F.when(hit(i), F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long"))
     signs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
@@ -43,7 +43,7 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     mask = F.pow(F.lit(2.0), F.col("vec_id") % 17).cast("long") - 1
     near = signs.select((F.col("vec_id") + 100000).alias("idx"), F.col("phash").bitwiseXOR(mask).alias("phash"), F.col("dhash").bitwiseXOR(mask).alias("dhash"))
-    rows = signs.withColumnRenamed("vec_id", "idx").unionByName(near)
+    rows = signs.withColumnRenamed("vec_id", "idx").withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
     turned = [F.struct(F.col("phash").bitwiseXOR(F.lit(k * MASK)).alias("p"), F.col("dhash").bitwiseXOR(F.lit(k * MASK)).alias("d")) for k in range(8)]
     return rows.withColumn("variants", F.array(*turned))
 
