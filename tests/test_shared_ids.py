@@ -14,6 +14,8 @@ NAMES = (
     "perceptual_text",
     "plan_similar_refusals",
     "similar_groups_after",
+    "similar_status",
+    "similar_verdicts",
 )
 
 

@@ -68,9 +68,14 @@ def representatives(members: DataFrame) -> DataFrame:
     ).where("image is not null").select("group_id", F.coalesce("image", "first").alias("representative"))
 
 
+def _overridden(recommended: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Rows with ``selected`` of their path; a path that is overridden more than once is selected only if all say so."""
+    return recommended.join(overrides.groupBy("path").agg(F.min("selected").alias("selected")), "path", "left")
+
+
 def statuses(recommended: DataFrame, overrides: DataFrame, protected: Column) -> DataFrame:
     """(group_id, path, checked, status): overrides (path, selected) go before recommendations."""
-    joined = recommended.join(overrides.select("path", "selected"), "path", "left")
+    joined = _overridden(recommended, overrides)
     checked = ~protected & F.coalesce("selected", F.col("verdict") == "delete")
     status = F.when(protected, "protected").when(checked, "delete").otherwise("keep")
     return joined.select("group_id", "path", "size", checked.alias("checked"), status.alias("status"))
@@ -78,7 +83,7 @@ def statuses(recommended: DataFrame, overrides: DataFrame, protected: Column) ->
 
 def similar_statuses(recommended: DataFrame, overrides: DataFrame, protected: Column) -> DataFrame:
     """(group_id, path, checked, status, suggestion): only what was overridden is checked, advice is beside it."""
-    joined = recommended.join(overrides.select("path", "selected"), "path", "left")
+    joined = _overridden(recommended, overrides)
     checked = ~protected & F.coalesce("selected", F.lit(False))
     status = F.when(protected, "protected").when(checked, "delete").otherwise("keep")
     return joined.select("group_id", "path", "size", checked.alias("checked"), status.alias("status"), F.col("verdict").alias("suggestion"))
