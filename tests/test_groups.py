@@ -275,3 +275,41 @@ def test_groups_are_written_member_by_member(spark):
     rows = [json.loads(x["json"]) for x in report.exact_json(members).orderBy("group_id").collect()]
     assert document["groups"] == rows and document["none"] == [] and len(rows[1]["files"]) == n and len(rows[1]["hardlinked"]) == 60
     assert max(longest) < 200
+
+
+def _pair_rows(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        p, d = rng.getrandbits(63), rng.getrandbits(63)
+        flip = sum(1 << b for b in rng.sample(range(62), rng.randrange(0, 16)))
+        turned = [(p ^ m * 1234567890123, d ^ m * 1234567890123) for m in range(8)]
+        near = turned[rng.randrange(8)]
+        rows += [(k, turned, p, d), (k + n // 2, [(x ^ flip, y ^ flip) for x, y in turned], near[0] ^ flip, near[1] ^ flip)]
+    return rows
+
+
+@pytest.mark.parametrize("bound", [0, 1, 5, 12, 16])
+@pytest.mark.parametrize("size", [30_000, 500_000])
+def test_indexed_pairs_equal_all_compared(bound, size):
+    import numpy as np
+
+    plan = similar._segments(bound, size)
+    assert plan and sum(t + 1 for _, _, t in plan) == bound + 1
+    p = np.array([x[2] for x in _pair_rows(800, bound)], np.uint64)
+    want = {(q, c) for a in similar._plain(p[::3], p, bound) for q, c in zip(*map(np.ndarray.tolist, a))}
+    got = {(q, c) for a in similar._indexed(p[::3], p, bound, plan) for q, c in zip(*map(np.ndarray.tolist, a))}
+    assert len(want) >= len(p[::3]) and got == want
+
+
+def test_a_look_up_costs_a_fraction_of_its_block():
+    for bound in (12, 16):
+        cost = sum(len(similar._ball(w, t)) * (similar.LOOK_UP + similar.FOUND * similar._slots(similar.BLOCK, w)) for _, w, t in similar._segments(bound, similar.BLOCK))
+        assert cost < similar.PLAIN * similar.BLOCK * {12: 0.1, 16: 0.7}[bound]
+
+
+def test_images_that_share_an_index_give_a_pair_once(spark):
+    rows = [(i, [(p ^ m * 99991, p ^ m * 99991) for m in range(8)], p, p) for i, p in [(1, 0xF0F0F0F0), (2, 0xF0F0F0F1), (2, 0xF0F0F0F3)]]
+    df = spark.createDataFrame(rows, "idx long, variants array<struct<p:long,d:long>>, phash long, dhash long")
+    found = similar.hamming_candidates(df, 12)
+    assert [(x["i"], x["j"], x["variant"], x["dp"], x["dd"]) for x in found.collect()] == [(1, 2, 0, 1, 1)]

@@ -6,8 +6,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import count
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,12 @@ from .base import checkpointed, components, ensure_checkpoints, numbered
 LEAST_BOUND, MOST_BOUND = 12, 16
 WINDOW_S, NEIGHBOURS = 60, 6
 THRESHOLDS = {"strict": 4, "normal": 8, "loose": 12}
-#: Images of a block; a pair of blocks is compared in one task.
-BLOCK = 2048
+#: Images of an indexed block, and of a chunk that is looked up in it; a chunk and a block are one task's.
+BLOCK, CHUNK = 1 << 19, 1 << 14
+#: Bits of a hash, of an index at most, and pairs that are looked at together, so that they stay in a core's cache.
+BITS, MOST_WIDTH, AT_ONCE = 64, 16, 1 << 14
+#: Nanoseconds that a look-up, each pair that it leads to and a pair without an index cost.
+LOOK_UP, FOUND, PLAIN = 6, 3, 2
 #: Shots of a stretch of the order by capture time, which is one task's.
 STRETCH = 4096
 #: Every so many rounds what is undecided is cut into components; those of so many links at most are decided in one go.
@@ -70,59 +76,133 @@ def collapse_exact(images: DataFrame, recommended: DataFrame) -> DataFrame:
     )
 
 
-def hamming_candidates(hashes: DataFrame, bound: int, block: int = BLOCK) -> DataFrame:
+def hamming_candidates(hashes: DataFrame, bound: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(i, j, variant, dp, dd) of pairs i < j of which one variant is near in both hashes.
 
-    At bounds of 12 and more an index of 64 bits has to look up thousands of keys for each of
-    eight variants, more than there are images in a block, so that all pairs are
-    compared, block by block: packed blocks meet each other, a task holds two of them and
-    no row is ever joined with another; few images make smaller blocks, so that no core is idle.  Of all eight variants the best is reported, by the
-    larger of its two distances, then their sum, then its number.
+    Chunks of images meet blocks of them, each pair of these in one task, so that memory is bounded and no row is joined with
+    another.  A task indexes its block by segments of the first hash: two hashes within the
+    bound are, in one segment at least, within its share of it.  All keys so near are looked up, and
+    what they lead to is compared whole, so that no pair is lost; how many segments there are goes by the block's size, and small
+    blocks are compared without.  Of all eight variants the best is reported, by the
+    larger of its two distances, then their sum, then its number; of images that share an index, the best pair.
     """
+    hashes = checkpointed(hashes.select("idx", F.col("variants.p").alias("vp"), F.col("variants.d").alias("vd"), "phash", "dhash"))
     n = hashes.count()
-    n_blocks = max(1, -(-n // block), min(6, n // 256))
-    spread = F.pmod(F.xxhash64("idx"), F.lit(n_blocks)).cast("int")
-    rows = hashes.select("idx", F.col("variants.p").alias("vp"), F.col("variants.d").alias("vd"), "phash", "dhash", spread.alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    meeting = rows.withColumn("other", other).select(
-        F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "idx", "vp", "vd", "phash", "dhash"
-    )
+    n_blocks, n_chunks = max(1, -(-n // block)), max(1, -(-n // min(block, chunk)), min(32, n // 512))
+
+    def dealt(salt: int, parts: int) -> Column:
+        return F.pmod(F.xxhash64("idx", "phash", F.lit(salt)), F.lit(parts)).cast("int")
+
+    def each(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
-    def near(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        a, b = (both[both["b"] == k] for k in key)
-        return _near(a, b, bound) if key[0] == key[1] else pd.concat([_near(a, b, bound), _near(b, a, bound)])
+    asking = hashes.select("idx", "vp", "vd", dealt(1, n_chunks).alias("x"), each(n_blocks).alias("y"))
+    asked = hashes.select("idx", "phash", "dhash", each(n_chunks).alias("x"), dealt(2, n_blocks).alias("y"))
 
-    return meeting.groupBy("x", "y").applyInPandas(near, "i long, j long, variant int, dp int, dd int")
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _near(a, b, bound)
+
+    found = asking.groupBy("x", "y").cogroup(asked.groupBy("x", "y")).applyInPandas(near, "i long, j long, variant int, dp int, dd int")
+    cost = F.struct(F.greatest("dp", "dd").alias("larger"), (F.col("dp") + F.col("dd")).alias("both"), "variant", "dp", "dd")
+    return found.groupBy("i", "j").agg(F.min(cost).alias("b")).select("i", "j", "b.variant", "b.dp", "b.dd")
 
 
 def _near(a: pd.DataFrame, b: pd.DataFrame, bound: int) -> pd.DataFrame:
     """Pairs with a's index below b's, a's variants held against b's plain hashes."""
-    columns = ["i", "j", "variant", "dp", "dd"]
     if a.empty or b.empty:
-        return pd.DataFrame(columns=columns)
+        return pd.DataFrame(columns=["i", "j", "variant", "dp", "dd"])
     ia, ib = a["idx"].to_numpy(), b["idx"].to_numpy()
     vp, vd = (np.stack(a[c].map(np.asarray).to_list()).astype(np.int64).view(np.uint64) for c in ("vp", "vd"))
     p, d = (b[c].to_numpy(np.int64).view(np.uint64) for c in ("phash", "dhash"))
+    keys = [np.empty(0, np.int64)]
+    plan = _segments(bound, len(ib))
+    for q, c in _indexed(vp.ravel(), p, bound, plan) if plan else _plain(vp.ravel(), p, bound):
+        r = q // vp.shape[1]
+        good = (ia[r] < ib[c]) & (np.bitwise_count(vd.ravel()[q] ^ d[c]) <= bound)
+        keys.append(r[good] * len(ib) + c[good])
+    r, c = np.divmod(np.unique(np.concatenate(keys)), len(ib))
     found = []
-    for first in range(0, len(ia), 128):
-        part = slice(first, first + 128)
-        hit = np.zeros((len(ia[part]), len(ib)), bool)
-        for k in range(vp.shape[1]):
-            at = np.nonzero(np.bitwise_count(vp[part, k, None] ^ p) <= bound)
-            if len(at[0]):
-                good = np.bitwise_count(vd[part][at[0], k] ^ d[at[1]]) <= bound
-                hit[at[0][good], at[1][good]] = True
-        hit &= ia[part, None] < ib
-        r, c = np.nonzero(hit)
-        dp = np.bitwise_count(vp[part][r] ^ p[c, None]).astype(np.int32)
-        dd = np.bitwise_count(vd[part][r] ^ d[c, None]).astype(np.int32)
+    for first in range(0, max(1, len(r)), AT_ONCE):
+        rr, cc = r[first : first + AT_ONCE], c[first : first + AT_ONCE]
+        dp = np.bitwise_count(vp[rr] ^ p[cc, None]).astype(np.int32)
+        dd = np.bitwise_count(vd[rr] ^ d[cc, None]).astype(np.int32)
         cost = (np.maximum(dp, dd) * 1000 + dp + dd) * 10 + np.arange(vp.shape[1])
-        best = cost.argmin(1) if len(r) else np.empty(0, int)
-        row = np.arange(len(r))
-        found.append(pd.DataFrame({"i": ia[part][r], "j": ib[c], "variant": best, "dp": dp[row, best], "dd": dd[row, best]}))
+        best, row = cost.argmin(1), np.arange(len(rr))
+        found.append(pd.DataFrame({"i": ia[rr], "j": ib[cc], "variant": best, "dp": dp[row, best], "dd": dd[row, best]}))
     return pd.concat(found)
 
 
+def _plain(asking: np.ndarray, asked: np.ndarray, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in both) of hashes within the bound of each other, all compared."""
+    step = max(1, AT_ONCE // len(asked))
+    for first in range(0, len(asking), step):
+        q, c = np.nonzero(np.bitwise_count(asking[first : first + step, None] ^ asked) <= bound)
+        yield q + first, c
+
+
+@lru_cache(64)
+def _segments(bound: int, n: int) -> tuple[tuple[int, int, int], ...]:
+    """(first bit, bits, distance) of the segments whose index of n hashes costs least; none if comparing all costs less.
+
+    The distances, each plus one, add up to the bound plus one, so that not all of them can be exceeded.
+    """
+    least, best = PLAIN * n, ()
+    for m in range(-(-BITS // MOST_WIDTH), 9):
+        edges = [BITS * k // m for k in range(m + 1)]
+        widths = [b - a for a, b in zip(edges, edges[1:])]
+        share, rest = divmod(bound + 1, m)
+        wide = sorted(range(m), key=lambda k: -widths[k])[:rest]
+        reach = [share - 1 + (k in wide) for k in range(m)]
+        keys = [sum(comb(w, x) for x in range(t + 1)) for w, t in zip(widths, reach)]
+        cost = sum(k * (LOOK_UP + FOUND * _slots(n, w)) for k, w in zip(keys, widths))
+        if cost < least:
+            least, best = cost, tuple((e, w, t) for e, w, t in zip(edges, widths, reach) if t >= 0)
+    return best
+
+
+@lru_cache(16)
+def _ball(width: int, reach: int) -> np.ndarray:
+    """All numbers of so many bits with as few ones."""
+    return np.flatnonzero(np.bitwise_count(np.arange(1 << width, dtype=np.uint32)) <= reach).astype(np.int32)
+
+
+def _slots(n: int, width: int) -> int:
+    """Hashes that are looked at together from where a key's begin, those of the next key among them."""
+    return int(1.5 * n / 2**width) + 2
+
+
+def _indexed(
+    asking: np.ndarray, asked: np.ndarray, bound: int, plan: tuple[tuple[int, int, int], ...]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same by an index of each segment, a pair possibly more than once.
+
+    Both sides are sorted by the segment, so that look-ups stand close together.
+    """
+    for first, width, reach in plan:
+        key = lambda x: (x >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int32)  # noqa: B023, E731
+        ka, kb = key(asking), key(asked)
+        by_a, by_b = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        ka, a = ka[by_a], asking[by_a]
+        size = np.bincount(kb, minlength=1 << width)
+        start = np.cumsum(size) - size
+        slots = _slots(len(kb), width)
+        by_b = np.append(by_b, np.full(slots, by_b[-1]))
+        b = asked[by_b]
+        for begin in range(0, len(ka), AT_ONCE):
+            part = ka[begin : begin + AT_ONCE]
+            for mask in _ball(width, reach):
+                at = part ^ mask
+                held, place, own, q = size[at], start[at], a[begin : begin + AT_ONCE], None
+                while len(place):
+                    for slot in range(slots):
+                        near = np.flatnonzero(np.bitwise_count(b[slot:].take(place) ^ own) <= bound)
+                        if len(near):
+                            yield by_a[begin + (near if q is None else q[near])], by_b[place[near] + slot]
+                    more = np.flatnonzero(held > slots)
+                    q = more if q is None else q[more]
+                    held, place, own = held[more] - slots, place[more] + slots, own[more]
+
+
 def best_variant(variants: Column, phash: Column, dhash: Column) -> Column:
     """The variant nearest to a plain pair of hashes, as (larger, both, variant, dp, dd)."""
     def cost(v: Column, k: Column) -> Column:
