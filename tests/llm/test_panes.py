@@ -107,3 +107,12 @@ def test_hot_pane_is_few_rows_before_the_shuffle():
     })
     parts = pd.concat(panes.summed(iter([rows[: n // 2], rows[n // 2 :]])))
     assert len(parts) == 2 and parts.loc[~parts["late"], ["n_rows", "cents"]].values.tolist() == [[n - 1, 2 * (n - 1)]]
+
+
+def test_state_takes_no_native_memory(spark):
+    at = datetime.datetime(2024, 2, 1)
+    rows = [(i, at, at, 1, "a", 1.0) for i in range(4)]
+    assert found(spark, rows, 2) == brute(rows, 2)
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    with open(f"/proc/{pid}/maps") as maps:
+        assert "rocksdb" not in maps.read()

@@ -3,7 +3,7 @@
 Rows are cut into batches, written to a folder and fed in order to a stateful streaming query, which is started
 anew for each batch on one checkpoint.  Every batch, even an empty one, holds a control row for each
 state shard: the watermark W, the greatest event time of all earlier batches, and whether it is the last.  A
-shard first adds the batch's rows to its panes (a map state), then the control row settles
+shard first adds the batch's rows to its panes (the state of its group), then the control row settles
 them: due panes are emitted, emitted ones with new rows are retracted and replaced, closed ones are
 forgotten, and at the end what was never emitted is final.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import checkpoint_folder
 
@@ -38,6 +38,8 @@ DUE, CLOSED = 2 * HOUR, 3 * DAY
 MOST_PANES = 50_000
 ROWS = "kind string, hour long, click_id long, cents long, event long, shard int, w long, last boolean"
 PARTS = "shard int, batch long, late boolean, kind string, hour long, click_id long, n_rows long, cents long, w long, last boolean"
+#: A shard's open panes, column by column.
+STATE = "kind array<string>, hour array<long>, n_rows array<long>, cents array<long>, emitted array<boolean>"
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 
 
@@ -95,54 +97,47 @@ def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-class Panes(StatefulProcessor):
-    """A shard's open panes by kind and hour."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.panes = handle.getMapState("panes", "kind string, hour long", "n_rows long, cents long, emitted boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[tuple, list[int]] = {}
-        control = None
-        for part in rows:
-            late = part[part["late"]]
-            if len(late):
-                yield _records(late["batch"], late["hour"], late["click_id"], late["n_rows"], late["cents"], "late", late["kind"])
-            for x in part[part["last"].notna()].itertuples():
-                control = int(x.batch), None if pd.isna(x.w) else int(x.w), bool(x.last)
-            data = part[~part["late"] & part["last"].isna()]
-            for kind, hour, n, cents in zip(data["kind"], data["hour"].tolist(), data["n_rows"].tolist(), data["cents"].tolist()):
-                sums = fresh.setdefault((kind, int(hour)), [0, 0])
-                sums[0] += int(n)
-                sums[1] += int(cents)
-        if control is None:
-            raise ValueError("a batch came without its control row")
-        found = self._settle(fresh, *control)
-        if found:
-            yield _records(control[0], *zip(*found))
-
-    def _settle(self, fresh: dict, batch: int, w: int | None, last: bool) -> list[tuple]:
-        """(hour, click_id, n_rows, cents, record, kind) of what the batch makes known."""
-        held = {(k[0], int(k[1])): (int(v[0]), int(v[1]), bool(v[2])) for k, v in self.panes.iterator()}
-        found = []
-        for pane in held.keys() | fresh.keys():
-            kind, hour = pane
-            n, cents, emitted = held.get(pane, (0, 0, False))
-            more, rise = fresh.get(pane, (0, 0))
-            due = w is not None and w >= (hour + 1) * HOUR + DUE
-            if emitted and more:
-                found += [(hour, -1, n, cents, "retract", kind), (hour, -1, n + more, cents + rise, "replace", kind)]
-            elif not emitted and (due or last):
-                found.append((hour, -1, n + more, cents + rise, "emit" if due else "final", kind))
-            if w is not None and w >= (hour + 1) * HOUR + CLOSED:
-                if pane in held:
-                    self.panes.removeKey(pane)
-            elif more or due and not emitted:
-                self.panes.updateValue(pane, (n + more, cents + rise, emitted or due))
-        return found
-
-    def close(self) -> None:
-        pass
+def settled(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a batch makes known of a shard, whose open panes are the state."""
+    fresh: dict[tuple, list[int]] = {}
+    control = None
+    for part in parts:
+        late = part[part["late"]]
+        if len(late):
+            yield _records(late["batch"], late["hour"], late["click_id"], late["n_rows"], late["cents"], "late", late["kind"])
+        for x in part[part["last"].notna()].itertuples():
+            control = int(x.batch), None if pd.isna(x.w) else int(x.w), bool(x.last)
+        data = part[~part["late"] & part["last"].isna()]
+        for kind, hour, n, cents in zip(data["kind"], data["hour"].tolist(), data["n_rows"].tolist(), data["cents"].tolist()):
+            sums = fresh.setdefault((kind, int(hour)), [0, 0])
+            sums[0] += int(n)
+            sums[1] += int(cents)
+    if control is None:
+        raise ValueError("a batch came without its control row")
+    held = {(k, h): (n, c, e) for k, h, n, c, e in zip(*state.get)} if state.exists else {}
+    found = _settle(held, fresh, *control[1:])
+    state.update(tuple(map(list, zip(*((*k, *v) for k, v in held.items())))) if held else ([], [], [], [], []))
+    if found:
+        yield _records(control[0], *zip(*found))
+
+
+def _settle(held: dict, fresh: dict, w: int | None, last: bool) -> list[tuple]:
+    """(hour, click_id, n_rows, cents, record, kind) of what the batch makes known; ``held`` becomes the panes after it."""
+    found = []
+    for pane in held.keys() | fresh.keys():
+        kind, hour = pane
+        n, cents, emitted = held.get(pane, (0, 0, False))
+        more, rise = fresh.get(pane, (0, 0))
+        due = w is not None and w >= (hour + 1) * HOUR + DUE
+        if emitted and more:
+            found += [(hour, -1, n, cents, "retract", kind), (hour, -1, n + more, cents + rise, "replace", kind)]
+        elif not emitted and (due or last):
+            found.append((hour, -1, n + more, cents + rise, "emit" if due else "final", kind))
+        if w is not None and w >= (hour + 1) * HOUR + CLOSED:
+            held.pop(pane, None)
+        else:
+            held[pane] = n + more, cents + rise, emitted or due
+    return found
 
 
 def _records(batch, hour, click_id, n_rows, cents, record, kind) -> pd.DataFrame:
@@ -150,11 +145,10 @@ def _records(batch, hour, click_id, n_rows, cents, record, kind) -> pd.DataFrame
     return pd.DataFrame(found if isinstance(hour, pd.Series) else {k: list(v) if isinstance(v, tuple) else v for k, v in found.items()}).reset_index(drop=True)
 
 
-#: A state store for each shard; small stores reserve no disk space, and those of earlier starts are closed soon.
+#: State is kept in the executors' heaps: a store of RocksDB takes native memory for each of its shards, starts and executors,
+#: which no heap bounds.  Stores of earlier starts are closed soon.
 SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -191,7 +185,7 @@ def revisions(clicks: DataFrame, n_batches: int = BATCHES, n_shards: int = SHARD
         rows = rows.withColumns({"batch": F.lit(k).cast("long"), "late": late, "n_rows": F.lit(1).cast("long")})
         dealt = F.when(F.col("last").isNotNull(), F.col("shard")).when(late, _shard(n_shards, "click_id")).otherwise(_shard(n_shards, "kind", "hour"))
         parts = rows.withColumn("shard", dealt).select(*[x.split()[0] for x in PARTS.split(", ")]).mapInPandas(summed, PARTS)
-        found = parts.groupBy("shard").transformWithStateInPandas(Panes(), RECORDS, "Append", "None")
+        found = parts.groupBy("shard").applyInPandasWithState(settled, RECORDS, STATE, "append", GroupStateTimeout.NoTimeout)
         written = found.writeStream.format("parquet").options(path=f"{folder}/out", checkpointLocation=f"{folder}/state")
         written.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(RECORDS).parquet(f"{folder}/out")
