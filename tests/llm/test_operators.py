@@ -560,6 +560,50 @@ def test_copies_below_the_similarity_stay(spark):
     assert simhash.representatives(df).count() == 80
 
 
+def test_sketches_rule_out_no_link(spark):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, "u8"))
+        for changed in (0, 1, n // 9, n // 2):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, min(n, changed), "u8")]))
+            apart = int(np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+    texts = families()
+    known = {i: simhash.shingle_set(x) for i, x in enumerate(texts)}
+    pairs = [(i, j) for i in known for j in range(i)]
+    common = {(i, j): len(np.intersect1d(known[i], known[j])) for i, j in pairs}
+    links = {(i, j) for (i, j), n in common.items() if 5 * n >= 4 * (len(known[i]) + len(known[j]) - n)}
+    sets = simhash.sets(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    left = {tuple(x) for x in simhash._alike(spark.createDataFrame(pairs, "a long, b long"), sets, len(texts)).collect()}
+    assert links and links <= left and len(left) < len(pairs) / 5
+
+
+def tasks_of(spark, run):
+    """How many tasks the stages of a run have, with 64 partitions for a shuffle."""
+    context, group, before = spark.sparkContext, f"tasks-{random.random()}", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup(group, "")
+    try:
+        out = run()
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(x) for x in tracker.getJobIdsForGroup(group)]
+        stages = [tracker.getStageInfo(x) for x in {x for job in jobs if job for x in job.stageIds}]
+        return out, sum(x.numCompletedTasks for x in stages if x)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Each shuffle of a round left small files of all its tasks on disk, however few the edges were."""
+    edges = spark.createDataFrame([x for i in range(40) for x in ((i, i + 1), (i + 1, i))], "a long, b long")
+    rows, n = tasks_of(spark, lambda: simhash.components(edges.repartition(64)).collect())
+    assert {x["root"] for x in rows} == {0} and len(rows) == 41
+    assert n < 64 * 8
+
+
 def test_near_duplicates_query(spark):
     base = " ".join(f"word{i}" for i in range(400))
     df = spark.createDataFrame([(5, base), (3, base), (9, base.upper()), (1, "other text here"), (2, None), (4, "")], SHAPE)

@@ -21,7 +21,8 @@ by the pigeonhole principle no pair is missed; what is fetched is verified by it
 sizes of both sets, then by the sets themselves.  Where a key of a segment's table would give more than
 ``most_pairs`` times as many pairs as it has rows, its texts meet in blocks: first each gives the smallest that it may
 link to, which are verified as the others are; texts of different components that may still link then meet again
-in blocks with their sets.  So no link is lost behind a crowded key, and nothing written grows with the square of a group.
+in blocks with their sets.  Sets are large, so that they only go to pairs that short sketches leave: these rule out no pair
+that links.  So no link is lost behind a crowded key, and nothing written grows with the square of a group.
 
 Null and wordless texts have fingerprint zero and link like any other; rows with a null id
 belong to the component but never name it; a component without any id is named null.
@@ -52,6 +53,10 @@ NEAR = 7
 BLOCK, SET_BLOCK = 8_192, 1 << 22
 #: So many crowded keys, of 12 bytes each, are small enough to send to every executor.
 FEW_KEYS = 1 << 20
+#: So many rows of a few numbers, too; and rows for which a task is worth starting.
+FEW_ROWS, TASK_ROWS = 1 << 17, 1 << 16
+#: Numbers of 64 bits in a set's sketch.
+MARKS = ("m0", "m1", "m2", "m3")
 
 
 def _word_blocks(raw: bytes, size: int) -> Iterator[list[bytes]]:
@@ -182,30 +187,43 @@ def links(distinct: DataFrame, most_pairs: int = 1 << 16) -> DataFrame:
     return found.select(F.explode(turned).alias("link")).select("link.a", "link.b").distinct()
 
 
+def _sent(rows: DataFrame, n: int, few: int = FEW_ROWS) -> DataFrame:
+    """``n`` rows for a join, sent to every executor if they are few."""
+    return F.broadcast(rows) if n <= few else rows
+
+
+def _gathered(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows, if they are few in no more tasks than they are worth."""
+    return rows.coalesce(max(1, -(-n // TASK_ROWS))) if n <= FEW_ROWS else rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the symmetric ``edges`` reaches.
 
     Every round each node takes the smallest label among its neighbours, then its label's
-    label, so that the rounds grow with the logarithm of the longest path.
+    label, so that the rounds grow with the logarithm of the longest path.  Of a few edges the labels are sent
+    to all tasks, of which there are as many as the edges are worth.
     """
     edges = checkpointed(edges)
-    labels = checkpointed(
+    n = edges.count()
+    edges = _gathered(edges, n)
+    labels = checkpointed(_gathered(
         edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        .select("node", F.least("node", "root").alias("root"))
-    )
+        .select("node", F.least("node", "root").alias("root")), n
+    ))
     while True:
         heard = (
-            edges.join(labels, edges["b"] == labels["node"])
+            edges.join(_sent(labels, n), edges["b"] == labels["node"])
             .groupBy("a").agg(F.min("root").alias("heard"))
         )
-        lowered = labels.join(heard, labels["node"] == heard["a"]).select(
+        lowered = heard.join(_sent(labels, n), labels["node"] == heard["a"]).select(
             "node", F.col("root").alias("old"), F.least("root", "heard").alias("root")
         )
         onward = labels.select(F.col("node").alias("at"), F.col("root").alias("onward"))
-        moved = checkpointed(
-            lowered.join(onward, F.col("root") == F.col("at"))
-            .select("node", "old", F.least("root", "onward").alias("root"))
-        )
+        moved = checkpointed(_gathered(
+            lowered.join(_sent(onward, n), F.col("root") == F.col("at"))
+            .select("node", "old", F.least("root", "onward").alias("root")), n
+        ))
         labels = moved.select("node", "root")
         if moved.where("root <> old").isEmpty():
             return labels
@@ -268,15 +286,39 @@ def shapes(keyed: DataFrame) -> DataFrame:
     return keyed.select("of", "text", "key").mapInArrow(run, f"{fields}, s0 long, s1 long, size long, fp long")
 
 
+def sketch(known: np.ndarray) -> np.ndarray:
+    """256 bits of a set of hashes: whether an odd number of them falls on each.
+
+    Two sketches differ in no more bits than there are hashes that only one of the sets has.
+    """
+    odd = np.bincount((known & np.uint64(64 * len(MARKS) - 1)).astype(np.int64), minlength=64 * len(MARKS)) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def sets(texts: DataFrame) -> DataFrame:
-    """(node, known) of (node, text): the set of shingles."""
+    """(node, known, m0 to m3) of (node, text): the set of shingles and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            found = [shingle_set(x).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "known"])
+            found = [shingle_set(x) for x in batch.column(1).to_pylist()]
+            marks = np.array([sketch(x) for x in found], np.int64).reshape(-1, len(MARKS))
+            columns = [pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(marks.T))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "known", *MARKS])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, known array<long>")
+    return texts.select("node", "text").mapInArrow(run, f"node long, known array<long>, {', '.join(f'{x} long' for x in MARKS)}")
+
+
+def _alike(pairs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Pairs whose sets may have enough in common by their sketches and sizes: all that link, and few that don't.
+
+    If ``COMMON`` in ``OF`` of all are common, so many of one set aren't in the other: (OF - COMMON) / (OF + COMMON) of both sizes' sum.
+    """
+    side = lambda x: _sent(known.select(F.col("node").alias(x), F.size("known").alias(f"size_{x}"), *[F.col(m).alias(f"{m}_{x}") for m in MARKS]), n)
+    apart = " + ".join(f"bit_count({m}_a ^ {m}_b)" for m in MARKS)
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .where(f"{OF + COMMON} * ({apart}) <= {OF - COMMON} * (size_a + size_b)").select("a", "b")
+    )
 
 
 def _slots(nodes: DataFrame, cuts: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
@@ -344,15 +386,20 @@ def _first_pairs(a: pd.DataFrame, b: pd.DataFrame, near: int) -> pd.DataFrame:
 
 
 def _undecided(a: pd.DataFrame, b: pd.DataFrame, near: int) -> pd.DataFrame:
-    """Rows of both that may link to one of another component and weren't each other's smallest."""
+    """Rows of both that may link to one of another component, by their sketches too, and weren't each other's smallest."""
     of_a, of_b = _smallest(a, b, near)
     root_a, root_b = a["root"].to_numpy(np.int64), b["root"].to_numpy(np.int64)
     node_a, node_b = a["node"].to_numpy(np.int64), b["node"].to_numpy(np.int64)
+    marks_a, marks_b = (x[list(MARKS)].to_numpy(np.int64).view(np.uint64) for x in (a, b))
+    n_a, n_b = a["size"].to_numpy(np.int64), b["size"].to_numpy(np.int64)
     some_a, some_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     for first, may in _near(a, b, near):
         at = slice(first, first + len(may))
         may &= root_a[at, None] != root_b[None]
         may &= (of_a[at, None] != node_b[None]) & (of_b[None] != node_a[at, None])
+        i, j = np.nonzero(may)
+        apart = np.bitwise_count(marks_a[first + i] ^ marks_b[j]).sum(1, dtype=np.int64)
+        may[i, j] = (OF + COMMON) * apart <= (OF - COMMON) * (n_a[first + i] + n_b[j])
         some_a[at], some_b = may.any(1), some_b | may.any(0)
     key = a["key"].iloc[0] if len(a) else b["key"].iloc[0] if len(b) else 0
     nodes = np.concatenate([node_a[some_a], node_b[some_b]])
@@ -409,7 +456,8 @@ def near_copies(nodes: DataFrame, texts: DataFrame, cuts: list[tuple[int, int, i
     hot = checkpointed(weights.where(
         F.col("n_held") * F.col("n_asked") > most_pairs * (F.col("n_held") + F.col("n_asked"))
     ))
-    hot_keys = F.broadcast(hot.select("key")) if hot.count() <= FEW_KEYS else hot.select("key")
+    n_hot = hot.count()
+    hot_keys = _sent(hot.select("key"), n_hot, FEW_KEYS)
     one, two = asked.join(hot_keys, "key", "left_anti").alias("a"), held.join(hot_keys, "key", "left_anti").alias("b")
     fits = F.expr(f"{OF} * a.size >= {COMMON} * b.size and {OF} * b.size >= {COMMON} * a.size and bit_count(a.fp ^ b.fp) <= {near}")
     pairs = (
@@ -418,35 +466,36 @@ def near_copies(nodes: DataFrame, texts: DataFrame, cuts: list[tuple[int, int, i
     )
     block = ("key", "x", "y")
     met = lambda a, b: a.groupBy(*block).cogroup(b.groupBy(*block))
-    first = met(*_dealt(asked, held, hot, BLOCK)).applyInPandas(lambda a, b: _first_pairs(a, b, near), "a long, b long")
+    first = met(*_dealt(asked, held, _sent(hot, n_hot), BLOCK)).applyInPandas(lambda a, b: _first_pairs(a, b, near), "a long, b long")
     fetched = checkpointed(pairs.unionByName(first).distinct())
-    needed = fetched.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
-    known = checkpointed(sets(texts.join(needed, "key").dropDuplicates(["node"])))
-    left, right = known.toDF("a", "known_a"), known.toDF("b", "known_b")
+    needed = checkpointed(fetched.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"))
+    n = needed.count()
+    known = checkpointed(sets(texts.join(_sent(needed, n), "key").dropDuplicates(["node"])))
+    left, right = (known.select(F.col("node").alias(x), F.col("known").alias(f"known_{x}")) for x in "ab")
     both = F.size(F.array_intersect("known_a", "known_b"))
     linked = (
-        fetched.join(left, "a").join(right, "b")
+        _alike(fetched, known, n).join(left, "a").join(right, "b")
         .where(OF * both >= COMMON * (F.size("known_a") + F.size("known_b") - both)).select("a", "b")
     )
     roots = components(_turned(linked))
     if hot.isEmpty():
         return roots
-    labelled = checkpointed(
-        nodes.join(needed.select("node"), "node").join(roots, "node", "left")
-        .select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
-    )
-    rooted = lambda rows: rows.join(hot_keys, "key", "left_semi").join(labelled.select("node", "root"), "node")
+    labelled = checkpointed(_gathered(
+        nodes.join(_sent(known.select("node", *MARKS), n), "node").join(_sent(roots, n), "node", "left")
+        .select("node", "fp", "size", F.coalesce("root", "node").alias("root"), *MARKS), n
+    ))
+    rooted = lambda rows: rows.join(hot_keys, "key", "left_semi").join(_sent(labelled.select("node", "root", *MARKS), n), "node")
     again = checkpointed(
         met(*_dealt(rooted(asked), rooted(held), hot, BLOCK))
         .applyInPandas(lambda a, b: _undecided(a, b, near), "key long, node long, asks boolean").distinct()
     )
     if again.isEmpty():
         return roots
-    again = again.join(labelled, "node")
+    again = again.join(_sent(labelled.drop(*MARKS), n), "node")
     weights = again.groupBy("key").agg(
         F.sum(F.when(F.col("asks"), F.col("size"))).alias("n_asked"), F.sum(F.when(~F.col("asks"), F.col("size"))).alias("n_held")
     )
-    again = again.join(known, "node")
+    again = again.join(known.select("node", "known"), "node")
     rest = met(*_dealt(again.where("asks"), again.where("not asks"), weights, SET_BLOCK)).applyInPandas(
         lambda a, b: _by_sets(a, b, near), "a long, b long"
     )
@@ -476,13 +525,15 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cuts = segments(n)
     roots = near_copies(narrow, keyed.select("key", "text"), cuts, most_pairs=crowded(n, cuts))
     chosen = checkpointed(
-        nodes.join(roots, "node", "left")
+        nodes.join(_sent(roots, roots.count()), "node", "left")
         .groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("least").alias("least"))
         .select(F.col("least.rank.key").alias("stays"), F.col("least.n").alias("n"))
     )
 
+    n = chosen.count()
+
     def held(of: DataFrame) -> DataFrame:
-        return df.join(of.select("stays"), key == F.col("stays"), "left_semi")
+        return df.join(_sent(of.select("stays"), n), key == F.col("stays"), "left_semi")
 
     if chosen.where("n > 1").isEmpty():
         return held(chosen)
